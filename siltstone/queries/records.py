@@ -1,0 +1,12 @@
+"""Queries of the record operators over the domain tables."""
+
+from __future__ import annotations
+
+from siltstone.operators import formatting_copies
+from siltstone.session import table
+
+QUERIES = {
+    "p3_found": lambda s, d: formatting_copies.source_copies(table(s, d, "gapfill_sources")),
+    "p3_records": lambda s, d: formatting_copies.source_records(table(s, d, "gapfill_sources")),
+}
+SQL: dict[str, str] = {}
