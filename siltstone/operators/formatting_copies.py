@@ -41,7 +41,7 @@ def canonical_url(url: Column) -> Column:
 
 def canonical_title(title: Column) -> Column:
     """Words of each segment, the segments sorted; null, empty and blank titles are alike."""
-    cut = F.split(folded(F.coalesce(title, F.lit(""))), r"(?U)[|¦•»]|::|(?<=\s)[-–—_/~·‹›<>:]+(?=\s)")
+    cut = F.split(folded(F.coalesce(title, F.lit(""))), r"(?U)[|¦•»]|::|(?<=\s)[-–—_/·]+(?=\s)")
     return F.array_join(F.array_sort(F.filter(F.transform(cut, words), lambda x: x != "")), "\u0002")
 
 
