@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import files
 from siltstone.llm.transducer import Transducer, compile_lexicon
-from siltstone.session import scratch
+from siltstone.session import scratch, written
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the public pre-token pattern of the byte_bpe_50k vocabulary.
@@ -101,8 +101,19 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, text: str, ranks_file: str, lexicon_words: int = 60_000) -> str:
-    """Compiles the ``lexicon_words`` most frequent words (32 bytes each at most) into a file."""
-    top = count_words(docs, text).orderBy(F.desc("n"), "word").limit(lexicon_words).collect()
+    """Compiles the most frequent words, ``lexicon_words`` at most (of 32 bytes at most), into a file.
+
+    A histogram of the counts gives the count from which on the words are few enough, so that no
+    more than those ever come to the driver.
+    """
+    counts = written(count_words(docs, text).withColumn("level", F.floor(F.log2("n") * 8)), "words")
+    level, room = None, lexicon_words
+    for r in counts.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
+        room -= r.words
+        if room < 0:
+            break
+        level = r.level
+    top = counts.where(F.col("level") >= level).collect() if level is not None else []
     merge = merger(ranks_file)
     path = scratch(docs.sparkSession, "lexicon")
     files.put(path, compile_lexicon({w: merge(w) for w in (r.word.encode() for r in top)}))

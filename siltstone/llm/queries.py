@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import encoding, packing
+from siltstone.llm import encoding, packing, spans
 from siltstone.session import table, written
 
 
@@ -17,5 +17,10 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(sizes, "doc_id", "n_tokens")
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {
+    "p8_ids": p8_ids,
+    "p9_containers": p9_containers,
+    "p10_found": lambda s, d: spans.shared_spans(table(s, d, "documents"), "doc_id", "text"),
+    "p10_share": lambda s, d: spans.shared_share(table(s, d, "documents"), "doc_id", "text"),
+}
 SQL: dict[str, str] = {}
