@@ -66,20 +66,11 @@ class Pair:
 
 
 def packed(seg: np.ndarray) -> bytes:
-    """A segment: as it is, or as its non-zero bytes where that is shorter."""
-    at = np.flatnonzero(seg)
-    if len(at) * 5 >= len(seg):
-        return b"\x00" + seg.tobytes()
-    return b"\x01" + at.astype(np.uint32).tobytes() + seg[at].tobytes()
+    return pa.compress(seg.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    if data[:1] == b"\x00":
-        return np.frombuffer(data, dtype=np.uint8, offset=1)
-    n = (len(data) - 1) // 5
-    out = np.zeros(SEGMENT_BYTES, dtype=np.uint8)
-    out[np.frombuffer(data, dtype=np.uint32, count=n, offset=1)] = np.frombuffer(data, dtype=np.uint8, offset=1 + 4 * n)
-    return out
+    return np.frombuffer(pa.decompress(data, decompressed_size=SEGMENT_BYTES, codec="zstd"), dtype=np.uint8)
 
 
 def _place(h: np.ndarray, i: int, size: int) -> np.ndarray:
