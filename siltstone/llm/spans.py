@@ -91,12 +91,14 @@ def _runs(at: np.ndarray, before: int, after: int) -> np.ndarray:
 
 
 def _varied(x: np.ndarray) -> bytes:
-    """Rising or falling integers as differences, which the shuffle's compression then shrinks."""
-    return np.diff(x, prepend=0).astype(np.int32).tobytes()
+    """Integers in order as differences, compressed; their count stands first."""
+    d = np.diff(x.astype(np.int64), prepend=0).tobytes()
+    return len(d).to_bytes(8, "little") + pa.compress(d, codec="zstd", asbytes=True)
 
 
 def _read(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, dtype=np.int32).astype(np.int64))
+    n = int.from_bytes(data[:8], "little")
+    return np.cumsum(np.frombuffer(pa.decompress(data[8:], decompressed_size=n, codec="zstd"), dtype=np.int64)) if n else np.empty(0, np.int64)
 
 
 def window_positions(docs: DataFrame, key: str, text: str, *, length: int, bits_per_key: int = 32, k: int = 8, most_filter_bytes: int = 256 << 20) -> DataFrame:
@@ -136,15 +138,17 @@ def window_positions(docs: DataFrame, key: str, text: str, *, length: int, bits_
             row = np.repeat(several, size)
             yield from told(d[row], p[row])
             # the rest is asked of the reducer of the hash's range; a known one stands only as a witness
-            bucket = (bloom.mixed(h[at]) % np.uint64(reducers)).astype(np.int64)
+            asks = np.flatnonzero(~row)
+            asks = asks[np.lexsort((p[asks], d[asks]))]
+            knows = at[several]
+            to_ask, to_know = _bucket(h[asks], reducers), _bucket(h[knows], reducers)
             out = []
-            for r in np.unique(bucket):
-                g = np.flatnonzero(bucket == r)
-                mine = g[~several[g]]
-                take = np.repeat(at[mine], size[mine]) + _within(size[mine])
-                out.append((int(r), h[at[np.concatenate([mine, g[several[g]]])]].tobytes(), _varied(size[mine]), d[take].astype(np.int64).tobytes(), p[take].astype(np.int32).tobytes()))
+            for r in range(reducers):
+                g, w = asks[to_ask == r], knows[to_know == r]
+                if len(g) or len(w):
+                    out.append((r, h[np.concatenate([g, w])].tobytes(), _varied(d[g]), _varied(p[g])))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], names=["r", "h", "n", "d", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 3))], names=["r", "h", "d", "p"])
 
         def told(d: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(d):
@@ -153,8 +157,8 @@ def window_positions(docs: DataFrame, key: str, text: str, *, length: int, bits_
                 cut = np.flatnonzero(np.diff(d)) + 1
                 ids = d[np.concatenate([[0], cut])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((-1 - (ids % reducers)).astype(np.int32)), pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.binary()), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([_varied(x) for x in np.split(p, cut)], pa.binary())],
-                    names=["r", "h", "n", "d", "p"],
+                    [pa.array((-1 - (ids % reducers)).astype(np.int32)), pa.nulls(len(ids), pa.binary()), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([_varied(x) for x in np.split(p, cut)], pa.binary())],
+                    names=["r", "h", "d", "p"],
                 )
 
         for ids, starts, c in chunks(batches):
@@ -186,21 +190,21 @@ def window_positions(docs: DataFrame, key: str, text: str, *, length: int, bits_
         if held:
             yield from flush()
 
-    asked = rows.mapInArrow(probe, "r int, h binary, n binary, d binary, p binary")
+    asked = rows.mapInArrow(probe, "r int, h binary, d binary, p binary")
 
     def settle(t: pa.Table) -> pa.Table:
         if t.column("r")[0].as_py() < 0:
             return pa.table({"k": pa.array([int(np.frombuffer(x.as_py(), dtype=np.int64)[0]) for x in t.column("d")], pa.int64()), "at": pa.array([_read(x.as_py()).astype(np.int32) for x in t.column("p")], pa.list_(pa.int32()))})
         hs = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in t.column("h")]
-        # a task's batch has a hash once, so a hash that stands twice is of two documents
-        u, n = np.unique(np.concatenate(hs), return_counts=True)
+        # a task's batch has a hash of one document alone, or as a witness, so two batches are two documents
+        u, n = np.unique(np.concatenate([np.unique(h) for h in hs]), return_counts=True)
         u = u[n > 1]
         d, p = [], []
-        for h, sizes, docs_, at in zip(hs, t.column("n"), t.column("d"), t.column("p")):
-            size = _read(sizes.as_py())
-            ok = np.repeat(_isin(h[: len(size)], u), size)
-            d.append(np.frombuffer(docs_.as_py(), dtype=np.int64)[ok])
-            p.append(np.frombuffer(at.as_py(), dtype=np.int32)[ok])
+        for h, docs_, at in zip(hs, t.column("d"), t.column("p")):
+            of = _read(docs_.as_py())
+            ok = _isin(h[: len(of)], u)
+            d.append(of[ok])
+            p.append(_read(at.as_py())[ok])
         d, p = np.concatenate(d), np.concatenate(p)
         if not len(d):
             return pa.table({"k": pa.array([], pa.int64()), "at": pa.array([], pa.list_(pa.int32()))})
@@ -212,9 +216,8 @@ def window_positions(docs: DataFrame, key: str, text: str, *, length: int, bits_
     return asked.groupBy("r").applyInArrow(settle, "k long, at array<int>").withColumnRenamed("k", key)
 
 
-def _within(sizes: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+def _bucket(h: np.ndarray, n: int) -> np.ndarray:
+    return bloom.mixed(h) % np.uint64(n)
 
 
 def _isin(x: np.ndarray, rising: np.ndarray) -> np.ndarray:
