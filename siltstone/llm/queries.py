@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import encoding, packing, spans
+from siltstone.llm import encoding, packing, residue, spans
 from siltstone.session import table, written
 
 
@@ -18,6 +18,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": lambda s, d: residue.found(table(s, d, "fetched_pages"), table(s, d, "gapfill_results")),
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p10_found": lambda s, d: spans.shared_spans(table(s, d, "documents"), "doc_id", "text"),
