@@ -60,6 +60,11 @@ def terms(text: str) -> list[str]:
     return out
 
 
+def zh_share(text: str) -> float:
+    """The share of Chinese and Japanese characters."""
+    return sum("぀" <= c <= "鿿" for c in text) / (len(text) or 1)
+
+
 def _bag(exemplar: str) -> set[str]:
     return {"⁂" if t == "PH" else "idhex" if t == "ID" else x for t in re.split(r"(\bPH\b|\bID\b)", exemplar) for x in (terms(t) if t not in ("PH", "ID") else ["⁂"])}
 
