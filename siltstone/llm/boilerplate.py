@@ -86,7 +86,7 @@ def features(index: residue.Index, title: str | None, raw: list[str]) -> tuple[n
     for k in (KNOWN, PROSE, SHORT, HEAD, TABLE):
         is_k = kind == k
         cols += [is_k, is_k & before, is_k & after, is_k & inside, is_k & (prev == KNOWN) & (nxt == KNOWN), is_k & (prev == PROSE), is_k & (nxt == PROSE)]
-    cols += [prev_short, (kind == SHORT) & (nxt == TABLE), (kind == HEAD) & (prev == KNOWN) & ~own, (kind == SHORT) & before & (place > 0) & ~own]
+    cols += [cover >= 0.9, (cover >= 0.9) & inside, (cover >= 0.9) & inside & (prev == PROSE), prev_short, (kind == SHORT) & (nxt == TABLE), (kind == HEAD) & (prev == KNOWN) & ~own, (kind == SHORT) & before & (place > 0) & ~own]
     step = np.zeros(n, dtype=bool)
     if n:
         step[1:] = (np.diff(at) > 1) | (kind[1:] != kind[:-1]) | side[1:] | side[:-1] | own[1:]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import boilerplate, encoding, packing, residue, spans
+from siltstone.llm import boilerplate, encoding, encodings, packing, residue, spans
 from siltstone.session import table, written
 
 
@@ -19,6 +19,8 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": lambda s, d: residue.found(table(s, d, "fetched_pages"), table(s, d, "gapfill_results")),
+    "p2_found": lambda s, d: encodings.found(table(s, d, "batch_items")),
+    "p2_restored": lambda s, d: encodings.judged(table(s, d, "batch_items"), "item_id", ["company", "website"]),
     "p6_found": lambda s, d: boilerplate.furniture_lines(table(s, d, "fetched_pages"), table(s, d, "gapfill_results")),
     "p6_articles": lambda s, d: boilerplate.articles(table(s, d, "fetched_pages"), table(s, d, "gapfill_results")),
     "p8_ids": p8_ids,
