@@ -24,6 +24,8 @@ from siltstone.llm.labelled_pages import compose
 
 KNOWN, PROSE, SHORT, HEAD, TABLE = range(5)
 _WORDS = re.compile(r"\w+")
+#: A table row has numbers in two neighbouring cells at least.
+_ROW = re.compile(r"\| *[\d.,%+-]+ *\|[^|]*\d|\d[\d.,%]* *\| *[\d.,%+-]+ *$")
 _SIDE = frozenset(exemplars.SIDEBARS)
 
 
@@ -31,66 +33,96 @@ def _key(t: str) -> str:
     return " ".join(_WORDS.findall(t.lower()))
 
 
-def features(index: residue.Index, title: str | None, raw: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(numbers, features, blocks) of a page's lines that are not blank."""
-    at = [i for i, t in enumerate(raw) if t.strip()]
-    n = len(at)
-    texts = [raw[i].strip() for i in at]
-    scores = [index.line(t) for t in texts]
-    name = _key(title or "")
-    cover = np.array([max(s[0], s[1]) for s in scores])
-    kind = np.empty(n, dtype=np.int64)
-    own = np.zeros(n, dtype=bool)
-    side = np.zeros(n, dtype=bool)
-    dash = np.zeros(n, dtype=bool)
-    for j, (t, s) in enumerate(zip(texts, scores)):
-        key = _key(t)
-        side[j] = key in _SIDE
-        own[j] = bool(key) and len(key) > 5 and name.startswith(key) and not side[j] and (s[3] > 2 or key == name)
-        dash[j] = t[:2] in ("- ", "• ", "* ")
-        zh = residue.zh_share(t)
-        longer = s[3] > (8 if zh > 0.5 else 4)
-        if own[j]:
-            kind[j] = HEAD
-        elif t.count(" | ") == 2 and s[0] < 0.6 and any(c.isdigit() for c in t) and "©" not in t:
-            kind[j] = TABLE
-        elif cover[j] >= 0.5 or side[j]:
-            kind[j] = KNOWN
-        elif s[4] and longer and cover[j] < 0.35 or dash[j] and cover[j] < 0.35:
-            kind[j] = PROSE
-        else:
-            kind[j] = HEAD if longer else SHORT
+class Lines:
+    """The lines of several pages that are not blank, with their features: flat arrays."""
+
+    def __init__(self, page: np.ndarray, at: np.ndarray, x: np.ndarray, block: np.ndarray):
+        self.page, self.at, self.x, self.block = page, at, x, block
+
+
+def features(index: residue.Index, titles: list[str | None], pages: list[list[str]]) -> Lines:
+    """Kinds, places and neighbours of the lines, and the blocks they form."""
+    page_, at_, cover_, kind_, own_, side_, dash_ = [], [], [], [], [], [], []
+    for p, (title, raw) in enumerate(zip(titles, pages)):
+        name = _key(title or "")
+        begin = len(kind_)
+        for i, t in enumerate(raw):
+            t = t.strip()
+            if not t:
+                continue
+            res, fur, _, size, ends = index.line(t)
+            cover = max(res, fur)
+            key = _key(t) if len(t) < 200 else ""
+            side = key in _SIDE
+            own = len(key) > 5 and not side and (size > 2 or key == name) and name.startswith(key)
+            dash = t[:2] in ("- ", "• ", "* ")
+            longer = size > 4 and (size > 8 or residue.zh_share(t) <= 0.5)
+            if own:
+                kind = HEAD
+            elif " | " in t and _ROW.search(t):
+                kind = TABLE
+            elif cover >= 0.5 or side:
+                kind = KNOWN
+            elif cover < 0.35 and (ends and longer or dash):
+                kind = PROSE
+            else:
+                kind = HEAD if longer else SHORT
+            page_.append(p)
+            at_.append(i)
+            cover_.append(cover)
+            kind_.append(kind)
+            own_.append(own)
+            side_.append(side)
+            dash_.append(dash)
+        if not name and PROSE in (mine := kind_[begin:]):
+            # without a title, the headline is what looks like one right before the prose
+            j = begin + mine.index(PROSE) - 1
+            while j > begin and kind_[j] == SHORT:
+                j -= 1
+            if j >= begin and kind_[j] == HEAD and not (j > begin and (side_[j - 1] or kind_[j - 1] == HEAD)):
+                own_[j] = True
+    page, at, kind = np.array(page_, dtype=np.int64), np.array(at_, dtype=np.int64), np.array(kind_, dtype=np.int64)
+    cover, own, side, dash = np.array(cover_, dtype=float), np.array(own_, dtype=bool), np.array(side_, dtype=bool), np.array(dash_, dtype=bool)
+    n, m = len(page), len(pages)
+    new = np.ones(n, dtype=bool)
+    new[1:] = page[1:] != page[:-1]
     # a list of other articles: what follows its heading and looks like a headline
     listed = np.zeros(n, dtype=bool)
-    for j in range(1, n):
-        listed[j] = kind[j] == HEAD and not own[j] and (side[j - 1] or listed[j - 1]) and (at[j] == at[j - 1] + 1)
-    prose = np.flatnonzero(kind == PROSE)
-    body = np.flatnonzero((kind == PROSE) | (kind == TABLE))
-    if not name and len(prose):
-        # without a title, the headline is what looks like one right before the prose
-        j = int(prose[0]) - 1
-        while j > 0 and kind[j] == SHORT:
-            j -= 1
-        if j >= 0 and kind[j] == HEAD and not listed[j]:
-            own[j] = True
-    first_own = int(np.argmax(own)) if own.any() else -1
-    first = first_own if first_own >= 0 else (int(prose[0]) if len(prose) else n)
-    last = int(body[-1]) if len(body) else first
+    for j in np.flatnonzero((kind == HEAD) & ~own & ~new):
+        listed[j] = (side[j - 1] or listed[j - 1]) and at[j] == at[j - 1] + 1
     place = np.arange(n)
-    before, after = place < first, place > last
+    end = np.full(m, n)
+
+    def first_of(mask: np.ndarray) -> np.ndarray:
+        out = np.full(m, n)
+        w = np.flatnonzero(mask)[::-1]
+        out[page[w]] = w
+        return out
+
+    def last_of(mask: np.ndarray) -> np.ndarray:
+        out = np.full(m, -1)
+        w = np.flatnonzero(mask)
+        out[page[w]] = w
+        return out
+
+    first_own, first_prose = first_of(own), first_of(kind == PROSE)
+    first = np.where(first_own < n, first_own, np.where(first_prose < n, first_prose, end))
+    last = last_of((kind == PROSE) | (kind == TABLE))
+    last = np.where(last >= 0, last, first)
+    before, after = place < first[page], place > last[page]
     inside = ~before & ~after
-    prev = np.concatenate([[KNOWN], kind[:-1]]) if n else kind
-    nxt = np.concatenate([kind[1:], [KNOWN]]) if n else kind
-    prev_short = (kind == SHORT) & (prev == SHORT)
-    cols = [np.ones(n), cover, side, own, listed, dash, before, after, np.full(n, len(prose) == 0), np.full(n, not own.any())]
+    prev = np.where(new, KNOWN, np.roll(kind, 1))
+    nxt = np.where(np.roll(new, -1), KNOWN, np.roll(kind, -1)) if n else kind
+    cols = [np.ones(n), cover, side, own, listed, dash, before, after, (first_prose == n)[page], (first_own == n)[page]]
     for k in (KNOWN, PROSE, SHORT, HEAD, TABLE):
         is_k = kind == k
         cols += [is_k, is_k & before, is_k & after, is_k & inside, is_k & (prev == KNOWN) & (nxt == KNOWN), is_k & (prev == PROSE), is_k & (nxt == PROSE)]
-    cols += [cover >= 0.9, (cover >= 0.9) & inside, (cover >= 0.9) & inside & (prev == PROSE), prev_short, (kind == SHORT) & (nxt == TABLE), (kind == HEAD) & (prev == KNOWN) & ~own, (kind == SHORT) & before & (place > 0) & ~own]
-    step = np.zeros(n, dtype=bool)
-    if n:
-        step[1:] = (np.diff(at) > 1) | (kind[1:] != kind[:-1]) | side[1:] | side[:-1] | own[1:]
-    return np.asarray(at, dtype=np.int32), np.column_stack([np.asarray(c, dtype=np.float64) for c in cols]) if n else np.zeros((0, len(cols))), np.cumsum(step)
+    sure = cover >= 0.9
+    cols += [sure, sure & inside, sure & inside & (prev == PROSE), (kind == SHORT) & (prev == SHORT), (kind == SHORT) & (nxt == TABLE)]
+    cols += [(kind == HEAD) & (prev == KNOWN) & ~own, (kind == SHORT) & before & ~new & ~own]
+    step = new.copy()
+    step[1:] |= (np.diff(at) != 1) | (kind[1:] != kind[:-1]) | side[1:] | side[:-1] | own[1:]
+    return Lines(page, at, np.column_stack([np.asarray(c, dtype=np.float64) for c in cols]), np.cumsum(step) - 1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -108,65 +140,70 @@ class Model:
     def __init__(self, line: np.ndarray, block_line: np.ndarray, page_block: np.ndarray, page: np.ndarray):
         self.line, self.block_line, self.page_block, self.page = line, block_line, page_block, page
 
-    def marginals(self, x: np.ndarray, block: np.ndarray) -> np.ndarray:
+    def marginals(self, lines: Lines) -> np.ndarray:
         """The probability of each line to be article; messages in logarithms."""
-        if not len(x):
+        if not len(lines.x):
             return np.zeros(0)
-        z = np.clip(x @ self.line, -30, 30)
-        # the logistic part already holds the share of either state, which the edges would count again
+        z = np.clip(lines.x @ self.line, -30, 30)
         node = np.stack([-np.logaddexp(0, z), -np.logaddexp(0, -z)], axis=1)
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1])
+        block = lines.block
+        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        owner = lines.page[starts]  # the page of each block
+        tops = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        root = np.cumsum(np.concatenate([[True], owner[1:] != owner[:-1]])) - 1
+        # upward: from lines to blocks, from blocks to pages
         up = np.logaddexp(node[:, :1] + self.block_line[:, 0], node[:, 1:] + self.block_line[:, 1])
         blocks = np.add.reduceat(up, starts, axis=0)
         to_page = np.logaddexp(blocks[:, :1] + self.page_block[:, 0], blocks[:, 1:] + self.page_block[:, 1])
-        page = self.page + to_page.sum(axis=0)
-        rest = page - to_page  # the page without this block
+        page = self.page + np.add.reduceat(to_page, tops, axis=0)
+        # downward: each child gets what its parent knows from all others
+        rest = page[root] - to_page
         down = np.logaddexp(rest[:, :1] + self.page_block[0], rest[:, 1:] + self.page_block[1])
-        around = (down + blocks)[block] - up  # the block without this line
+        around = (down + blocks)[block] - up
         above = np.logaddexp(around[:, :1] + self.block_line[0], around[:, 1:] + self.block_line[1])
         both = node + above
         return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -50, 50)))
 
 
 def train(index: residue.Index, pages: int = 500) -> Model:
-    """Learns the potentials from ``pages`` labelled pages."""
-    xs, ys, child, grand, roots = [], [], np.ones((2, 2)), np.ones((2, 2)), np.ones(2)
-    for title, lines in compose(pages):
-        at, x, block = features(index, title, [t for t, _ in lines])
-        y = np.array([lines[i][1] for i in at], dtype=np.int64)
-        xs.append(x)
-        ys.append(y)
-        roots[int(y.any())] += 1
-        for b in range(int(block[-1]) + 1 if len(block) else 0):
-            mine = y[block == b]
-            state = int(mine.mean() >= 0.5)
-            grand[int(y.any()), state] += 1
-            for s in mine:
-                child[state, s] += 1
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    share = child.sum(axis=0) / child.sum()
-    edge = child / child.sum(axis=1, keepdims=True) / share
-    top = grand / grand.sum(axis=1, keepdims=True)
-    return Model(_logistic(x, y.astype(float)), np.log(edge), np.log(top), np.log(roots / roots.sum()))
+    """Learns the potentials from ``pages`` labelled pages. The edge from block to line is relative
+    to the share of either state, which the logistic part already holds."""
+    made = compose(pages)
+    lines = features(index, [t for t, _ in made], [[t for t, _ in ls] for _, ls in made])
+    y = np.array([made[p][1][i][1] for p, i in zip(lines.page, lines.at)], dtype=np.int64)
+    child, grand = np.ones((2, 2)), np.ones((2, 2))
+    has = np.bincount(lines.page, weights=y, minlength=pages) > 0
+    size, yes = np.bincount(lines.block), np.bincount(lines.block, weights=y)
+    state = (yes * 2 >= size).astype(np.int64)
+    np.add.at(child, (state[lines.block], y), 1)
+    starts = np.flatnonzero(np.concatenate([[True], lines.block[1:] != lines.block[:-1]]))
+    np.add.at(grand, (has[lines.page[starts]].astype(np.int64), state), 1)
+    roots = np.array([np.sum(~has) + 1.0, np.sum(has) + 1.0])
+    edge = child / child.sum(axis=1, keepdims=True) / (child.sum(axis=0) / child.sum())
+    return Model(_logistic(lines.x, y.astype(float)), np.log(edge), np.log(grand / grand.sum(axis=1, keepdims=True)), np.log(roots / roots.sum()))
+
+
+def model_of(counts: dict, labelled: int = 500) -> Model:
+    return train(residue.Index(counts["df"], counts["texts"]), labelled)
 
 
 def judged(pages: DataFrame, counts: dict, labelled: int = 500) -> DataFrame:
     """(page_id, line_no, is_article, residue) of each line that is not blank; a page delivered
     twice is judged twice."""
 
+    model = model_of(counts, labelled)
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = residue.Index(counts["df"], counts["texts"])
-        model = train(index, labelled)
-        for b in batches:
-            ids, titles, texts = (b.column(i).to_pylist() for i in range(3))
-            out: list[list] = [[], [], [], []]
-            for i, title, text in zip(ids, titles, texts):
-                at, x, block = features(index, title, text.split("\n"))
-                out[0] += [i] * len(at)
-                out[1] += at.tolist()
-                out[2] += (model.marginals(x, block) >= 0.5).tolist()
-                out[3] += [residue.page_is_residue(index, text)] * len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.bool_()))], names=["page_id", "line_no", "is_article", "residue"])
+        for whole in batches:
+            for cut in range(0, whole.num_rows, 500):
+                b = whole.slice(cut, 500)
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                titles, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
+                lines = features(index, titles, [t.split("\n") for t in texts])
+                bad = np.array([residue.page_is_residue(index, t) for t in texts], dtype=bool)
+                out = (ids[lines.page], lines.at, model.marginals(lines) >= 0.5, bad[lines.page])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.bool_()))], names=["page_id", "line_no", "is_article", "residue"])
 
     rows = pages.select("page_id", "title", "page_text").where("page_text is not null and page_text != ''")
     return rows.mapInArrow(judge, "page_id long, line_no long, is_article boolean, residue boolean")

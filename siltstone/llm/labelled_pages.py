@@ -41,7 +41,7 @@ _FOOT = {
     "de": ("Nach oben", "Impressum", "Datenschutz", "AGB", "© 2024 {s}. Alle Rechte vorbehalten.", "Telefon +00 123 4567", "{s}, Werkstraße 5, {n}", "Folgen Sie uns"),
     "zh": ("备案号 1234567号", "版权所有 © 2024 {z}集团", "关注公众号", "地址：{z}工业园7号", "电话：00-1234567", "隐私政策 | 法律声明"),
 }
-_SUB = {"en": ("Notes on {n}", "Numbers for May 2023", "View to 2028", "What {n} Works expects"), "de": ("Werte aus {n}", "Blick auf 2028", "Was {n} Maschinen erwartet"), "zh": ("{z}工程情况", "2027年前景")}
+_SUB = {"en": ("Notes on {n}", "Numbers for May 2023", "Prospects until 2028", "What {n} Works expects"), "de": ("Werte aus {n}", "Blick auf 2028", "Was {n} Maschinen erwartet"), "zh": ("{z}工程情况", "2027年前景")}
 _HEAD = {
     "en": ("{n} Works takes over {n} Tools for 25 million", "{t} plant in {n} opens with 410 new posts", "Report 2024 by {n} Drives, sheet 12", "Why {n} Systems left {n} for good"),
     "de": ("{n} Maschinen eröffnet Werk für Pumpen in {n}", "{n}: 310 Plätze bei {n} Technik frei"),

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import exemplars
+from siltstone.session import written
 
 RESIDUE, FURNITURE, MESSAGE = 0, 1, 2
 #: A term in fewer than one text in so many has the highest weight.
@@ -33,8 +34,10 @@ _HOLDER = re.compile(
     re.I,
 )
 _TERM = re.compile(r"⁂|[一-鿿぀-ヿ]+|\d[\d.,:]*|[^\W\d_一-鿿぀-ヿ]+(?:['’][^\W\d_]+)?|©")
-_ID = re.compile(r"\b(?=[0-9a-f]*\d)(?=\d*[a-f])[0-9a-f]{8,}\b", re.I)
-_SCRIPT = re.compile(r"\bjava ?script|\bjs\b|\bscript(?:s|ing)\b", re.I)
+_ID = re.compile(r"\b(?:[a-f]+\d|\d+[a-f])[0-9a-f]{6,}\b")
+_SCRIPT = re.compile(r"\bjava ?script|\bjs\b|\bscript(?:s|ing)\b")
+#: What only lines with placeholders, tags, paths or scripts have.
+_ODD = re.compile(r"[<{$#%\[@«/]|__|\.php|\d[a-f]|[a-f]\d|script|\bjs\b")
 _PATH = re.compile(r"[\w.\-]*(?:/[\w.\-]+)+|\b\w+\.php\b")
 _SENTENCE = re.compile(r"(?<=[.!?。！？;；>*])\s+|[\n。！？]|\s(?=[>*]+\s)|<br>|</?(?:h1|p|title|noscript)>", re.I)
 _PROSE = re.compile(r"[.。!?！？…]['\"”’»」）)\]]*\s*$")
@@ -42,21 +45,25 @@ _PROSE = re.compile(r"[.。!?！？…]['\"”’»」）)\]]*\s*$")
 
 def terms(text: str) -> list[str]:
     """Words in lower case, numbers as 0, placeholders as PH, pairs of characters of Chinese."""
-    if "<" in text:
-        text = _TAG.sub(" ", text)
-    text = _HOLDER.sub(" ⁂ ", text)
-    if "/" in text or ".php" in text:
-        text = _PATH.sub(" ", text)
-    text = _ID.sub(" idhex ", _SCRIPT.sub("javascript", text))
+    text = text.lower()
+    if _ODD.search(text):
+        if "<" in text:
+            text = _TAG.sub(" ", text)
+        text = _HOLDER.sub(" ⁂ ", text)
+        if "/" in text or ".php" in text:
+            text = _PATH.sub(" ", text)
+        text = _ID.sub(" idhex ", _SCRIPT.sub("javascript", text))
     out = []
     for t in _TERM.findall(text):
         c = t[0]
-        if "぀" <= c <= "鿿":
+        if c <= "z" and not c.isdigit():
+            out.append(t)
+        elif "぀" <= c <= "鿿":
             out += [t[i : i + 2] for i in range(len(t) - 1)] if len(t) > 1 else [t]
         elif c.isdigit():
             out.append("0")
         else:
-            out.append(t.lower())
+            out.append(t)
     return out
 
 
@@ -86,16 +93,32 @@ class Index:
                 for t in _bag(x):
                     self.postings[t].append(len(self.label))
                 self.label.append(label)
+        # weight and exemplars of every term of which either is known
+        self.all = {
+            t: (9.0 if t in _MARKS else min(self.top, self.weight.get(t, self.top)), tuple(self.postings.get(t, ()))) for t in {*self.weight, *self.postings}
+        }
         self.memo: dict[str, tuple] = {}
 
     def window(self, found: list[str]) -> tuple[float, float, float, float]:
         """Containment in the best exemplar of each label, and the weight of the terms."""
-        score: dict[int, float] = {}
-        total = 0.0
+        total = matched = 0.0
+        known = []
         for t in set(found):
-            w = 9.0 if t in _MARKS else min(self.top, self.weight.get(t, self.top))
-            total += w
-            for x in self.postings.get(t, ()):
+            w = self.all.get(t)
+            if w is None:
+                total += self.top
+            else:
+                total += w[0]
+                if w[1]:
+                    matched += w[0]
+                    known.append(w)
+        if matched < 0.3 * total:
+            # no exemplar can hold more than all of them know together
+            c = matched / total
+            return c, c, c, total
+        score: dict[int, float] = {}
+        for w, has in known:
+            for x in has:
                 score[x] = score.get(x, 0.0) + w
         best, which = [0.0, 0.0, 0.0], [-1, -1, -1]
         for x, s in score.items():
@@ -104,10 +127,8 @@ class Index:
         # what the best exemplar of residue lacks, a second one may have
         if len(found) > 4 and 0 < best[RESIDUE] < total:
             rest: dict[int, float] = {}
-            for t in set(found):
-                has = self.postings.get(t, ())
-                if has and which[RESIDUE] not in has:
-                    w = 9.0 if t in _MARKS else min(self.top, self.weight.get(t, self.top))
+            for w, has in known:
+                if which[RESIDUE] not in has:
                     for x in has:
                         if self.label[x] == RESIDUE:
                             rest[x] = rest.get(x, 0.0) + w
@@ -175,6 +196,7 @@ def build_index(texts: DataFrame, column: str) -> dict:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df: Counter[str] = Counter()
+        short: dict[str, frozenset[str]] = {}
         n = 0
 
         def flush() -> pa.RecordBatch:
@@ -186,13 +208,24 @@ def build_index(texts: DataFrame, column: str) -> dict:
             for t in b.column(0).to_pylist():
                 n += 1
                 if t:
-                    df.update(set(terms(t)))
+                    of: set[str] = set()
+                    for line in t.split("\n"):
+                        if len(line) > 60:
+                            of.update(terms(line))
+                        elif line:
+                            x = short.get(line)
+                            if x is None:
+                                if len(short) > 20_000:
+                                    short.clear()
+                                x = short[line] = frozenset(terms(line))
+                            of |= x
+                    df.update(of)
             if len(df) > 200_000:
                 yield flush()
                 n = 0
         yield flush()
 
-    counted = texts.select(column).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = written(texts.select(column).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
     counted = counted.join(F.broadcast(counted.where("term = ''").select(F.col("n").alias("texts"))))
     rows = counted.where(F.col("n") * RARE >= F.col("texts")).select("term", "n").collect()
     df = {r.term: r.n for r in rows}
