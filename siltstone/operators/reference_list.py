@@ -1,0 +1,176 @@
+"""Freely typed values mapped to the entries of a reference list, in SQL alone.
+
+Method, a partition-based pigeonhole join: each wording of an entry is cut into k + 1 segments. A
+value within k edits of it holds at least one segment unchanged, at most k places from where the
+segment stands. So an equality join of segments with the value's substrings at those places finds
+every candidate, `levenshtein` verifies them, and an anti-join reports the values with no entry.
+Wordings are made from the list by rule (word orders, shortened words) and from fixed
+translations. Values are mapped once each, however often they stand.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siltstone.session import written
+
+# Shortened words of titles, as (phrase, short form).
+SHORT_WORDS = (
+    ("director", "dir"), ("director", "directr"), ("manager", "mgr"), ("engineer", "engr"), ("officer", "off"), ("officer", "offcr"),
+    ("vice president", "vp"), ("vice president", "vice pres"), ("vice president", "v p"), ("quality", "qlty"), ("quality", "qual"),
+    ("manufacturing", "mfg"), ("manufacturing", "manuf"), ("automation", "autom"), ("maintenance", "maint"), ("maintenance", "mtce"),
+    ("logistics", "log"), ("financial", "fin"), ("finance", "fin"), ("production", "prod"), ("purchasing", "purch"), ("procurement", "procurmt"),
+    ("procurement", "procment"), ("warehouse", "whse"), ("key account", "key acct"), ("battery cell", "batt cell"), ("battery cell", "bat cell"),
+    ("technical", "tech"), ("human resources", "hr"), ("supply chain", "supplychain"), ("supply chain", "sc"), ("research development", "r d"),
+    ("research development", "rnd"), ("research development", "research dev"), ("engineering", "eng"), ("engineering", "engrg"),
+    ("software", "sw"), ("representative", "rep"), ("project", "proj"), ("information", "info"),
+)
+
+# Other wordings of titles, by the place of the entry in title_list.
+TITLE_WORDS = {
+    1: "ceo,首席执行官,geschäftsführender vorstand,vorstandsvorsitzender", 2: "coo,首席运营官,betriebsvorstand", 3: "cfo,首席财务官,finanzvorstand", 4: "cto,首席技术官,technikvorstand",
+    5: "cio,首席信息官,it vorstand", 6: "cpo,首席采购官,einkaufsvorstand", 7: "制造副总裁", 8: "质量副总裁", 9: "供应链副总裁", 10: "工程副总裁", 11: "销售副总裁",
+    12: "采购总监,einkaufsdirektor", 13: "制造总监,produktionsdirektor", 14: "自动化总监,automatisierungsdirektor", 15: "质量总监,qualitätsdirektor", 16: "供应链总监",
+    17: "财务总监,finanzdirektor", 18: "研发总监,entwicklungsdirektor", 19: "物流主管,logistikleiter,leiter logistik", 20: "leiter instandhaltung",
+    21: "人力资源主管,personalleiter,leiter personal", 22: "法务主管,leiter recht,rechtsleiter", 23: "厂长,werkleiter,werksleiter", 24: "生产经理,produktionsleiter",
+    25: "质量经理,qualitätsmanager,qualitätsleiter", 26: "采购经理,einkaufsleiter", 27: "仓库经理,lagerleiter", 28: "维护经理,instandhaltungsleiter",
+    29: "自动化工程师,automatisierungsingenieur", 30: "工艺工程师,prozessingenieur", 31: "测试工程师,prüfingenieur,testingenieur", 32: "软件工程师,softwareentwickler,softwareingenieur",
+    33: "电芯工程师,zellingenieur", 34: "项目经理,projektleiter,projektmanager", 35: "大客户经理,großkundenbetreuer", 36: "销售代表,vertriebsmitarbeiter", 37: "财务主管,finanzcontroller",
+    38: "采购员,einkäufer", 39: "安全员,sicherheitsbeauftragter,sicherheitsbeauftragte", 40: "技术文档工程师,technischer redakteur",
+}
+
+# Other wordings of departments, by the place of the entry in department_list.
+DEPARTMENT_WORDS = {
+    1: "board,exec board,c suite,management board,geschäftsführung,vorstand,管理层", 2: "fin,finanzen,财务部", 3: "tech,technik,技术部", 4: "it,is,info systems,it abteilung,信息部",
+    5: "purchasing,sourcing procurement,procurmt,einkauf,采购部", 6: "mfg,production,fertigung,produktion,生产部", 7: "qa,qm,q m,quality mgmt,quality management,qualität,质量部",
+    8: "scm,supplychain,supplychain mgmt,supply chain mgmt,lieferkette,供应链部", 9: "eng,konstruktion,工程部", 10: "field sales,vertrieb,销售部", 11: "autom,automatisierung,自动化部",
+    12: "r d,rd,rnd,f e,research dev,forschung entwicklung,研发部", 13: "log,logistik,物流部", 14: "maint,mtce,instandhaltung,设备维护部", 15: "hr,h r,personal,人力资源部",
+    16: "recht,法务部", 17: "plant mgmt,plant mgt,werkleitung,werksleitung,工厂管理部", 18: "pmo,project off,projektbüro,项目部",
+}
+
+_CLEAN = r"""
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    lower(regexp_replace({v}, '(?U)\\s+', ' ')),
+    '\\([^)]*\\)|（[^）]*）', ' '),
+    '\\|.*$|@.*$|(?<=[ ,])/ .*$|(?<=[ ,])[-–—] ?(asia|emea|apac|americas|eu|dach|china|europe)\\b.*$', ' '),
+    '^ *(\\*|mr\\.?|mrs\\.?|ms\\.?|dr\\.?|interim|acting) +((interim|acting) +)?', ''),
+    '[ ,_]+(plant (north|south|east|west)|group|eu|emea|asia|hq)[ _]*$', ' '),
+    '(?<![a-z])([a-z])\\.', '$1'),
+    '[''’`]', ''),
+    '([ -]+(dept\\.?|department|team))+ *$', ''),
+    'ß', 'ss'),
+    '(?U)[^\\p{{L}}\\p{{N}}]+', ' '),
+    '(^| )(of|the|and|interim|acting)(?= |$)', ' ')
+"""
+
+
+def _clean(v: str) -> str:
+    return f"trim(regexp_replace({_CLEAN.format(v=v)}, ' +', ' '))"
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    text = ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+    return f"(SELECT * FROM VALUES {text} AS t({names}))"
+
+
+def forms_sql() -> str:
+    """Every wording (field_name, ref_id, form): the entries, both word orders, shortened words, fixed ones."""
+    said = [("title", i, w.replace("ß", "ss")) for i, ws in TITLE_WORDS.items() for w in ws.split(",")] + [("department", i, w) for i, ws in DEPARTMENT_WORDS.items() for w in ws.split(",")]
+    said += [(f, i, w + "in") for f, i, w in said if w.endswith(("leiter", "ingenieur", "entwickler", "manager", "betreuer", "mitarbeiter", "controller", "einkäufer", "direktor"))]
+    said += [("title", i, "leiterin" + w[6:]) for f, i, w in said if w.startswith("leiter ")] + [("title", 40, "technische redakteurin")]
+    return f"""
+WITH entry AS (
+  SELECT 'title' AS field_name, ref_id, {_clean('title')} AS form FROM title_list
+  UNION ALL SELECT 'department', ref_id, {_clean('department')} FROM department_list
+), part AS (
+  SELECT field_name, ref_id,
+    CASE WHEN form LIKE 'vice president %' THEN 'vice president' WHEN form RLIKE '^(director|head) ' THEN split_part(form, ' ', 1)
+         WHEN form LIKE 'chief % officer' THEN 'officer' WHEN field_name = 'title' AND form LIKE '% %' THEN regexp_extract(form, '([^ ]+)$', 1) ELSE '' END AS role,
+    CASE WHEN form LIKE 'vice president %' THEN substr(form, 16) WHEN form RLIKE '^(director|head) ' THEN regexp_replace(form, '^[^ ]+ ', '')
+         WHEN form LIKE 'chief % officer' THEN regexp_replace(form, ' officer$', '') WHEN field_name = 'title' AND form LIKE '% %' THEN regexp_replace(form, ' [^ ]+$', '') ELSE form END AS area
+  FROM entry
+), short AS {_values(list(SHORT_WORDS), 'phrase, alt')},
+roles AS (SELECT DISTINCT p.field_name, p.ref_id, coalesce(s.alt, p.role) AS role, p.area FROM part p LEFT JOIN (SELECT phrase, alt FROM short UNION ALL SELECT phrase, phrase FROM short) s ON s.phrase = p.role),
+areas AS (
+  SELECT field_name, ref_id, role, area FROM roles
+  UNION SELECT r.field_name, r.ref_id, r.role, trim(replace(concat(' ', r.area, ' '), concat(' ', s.phrase, ' '), concat(' ', s.alt, ' '))) FROM roles r JOIN short s ON r.field_name = 'title' AND concat(' ', r.area, ' ') LIKE concat('% ', s.phrase, ' %')
+), made AS (
+  SELECT field_name, ref_id, area AS form FROM areas WHERE role = ''
+  UNION SELECT field_name, ref_id, concat(area, ' ', role) FROM areas WHERE role != ''
+  UNION SELECT field_name, ref_id, concat(role, ' ', area) FROM areas WHERE role != '' AND area NOT LIKE 'chief %'
+  UNION SELECT * FROM {_values(said, 'field_name, ref_id, form')}
+)
+SELECT field_name, CAST(ref_id AS BIGINT) AS ref_id, form, length(form) AS n,
+  CASE WHEN length(form) < 5 OR form RLIKE '[一-鿿]' THEN 0 WHEN length(form) < 13 THEN 2 ELSE 3 END AS k
+FROM made WHERE form != ''"""
+
+
+#: Candidates share a segment; then the edits must be few for the length, or two swapped letters.
+MATCH_SQL = """
+WITH seg AS (
+  SELECT field_name, ref_id, form, n, k, i, CAST(floor(n * i / (k + 1)) AS INT) AS at, CAST(floor(n * (i + 1) / (k + 1)) - floor(n * i / (k + 1)) AS INT) AS size
+  FROM (SELECT *, explode(sequence(0, k)) AS i FROM siltstone_forms)
+), place AS (
+  SELECT DISTINCT field_name, n, k, at, size FROM seg
+), piece AS (
+  SELECT /*+ BROADCAST(p) */ v.field_name, v.value, p.n, p.k, p.at, p.size, substr(v.value, shifted + 1, p.size) AS piece
+  FROM siltstone_values v JOIN place p ON p.field_name = v.field_name AND abs(length(v.value) - p.n) <= p.k
+  LATERAL VIEW explode(sequence(greatest(0, p.at - p.k), least(p.at + p.k, greatest(0, length(v.value) - p.size)))) s AS shifted
+  WHERE p.at - p.k <= length(v.value) - p.size
+), cand AS (
+  SELECT /*+ BROADCAST(s) */ DISTINCT q.field_name, q.value, s.ref_id, s.form
+  FROM piece q JOIN seg s ON s.field_name = q.field_name AND s.n = q.n AND s.k = q.k AND s.at = q.at AND s.size = q.size AND substr(s.form, s.at + 1, s.size) = q.piece
+), near AS (
+  SELECT *, levenshtein(value, form) AS d FROM cand
+), ok AS (
+  SELECT * FROM near WHERE d = 0 OR (length(form) >= 5 AND NOT form RLIKE '[一-鿿]' AND NOT value RLIKE '^(pa|assistant|secretary|office|trainee|driver|chauffeur|sekretariat) ' AND (
+    d = 1 OR (d = 2 AND (length(form) >= 9 OR array_sort(split(value, '')) = array_sort(split(form, ''))))
+    OR (d = 3 AND length(form) >= 13 AND size(split(value, ' ')) = size(split(form, ' ')))))
+)
+SELECT field_name, value, min_by(ref_id, struct(d, ref_id)) AS ref_id FROM ok GROUP BY field_name, value"""
+
+
+def mapped(contacts: DataFrame, titles: DataFrame, departments: DataFrame) -> DataFrame:
+    """(crm_contact_id, field_name, ref_id) of each title and department that is neither null nor
+    blank; ref_id 0 if no entry fits.
+
+    A row delivered twice counts once. Of several entries at the same distance the smaller ref_id
+    is taken. Remarks on site, region or interim status are dropped; whoever only serves the holder
+    of a title has none. An empty table gives an empty result, an empty list only zeros. The lists
+    and their wordings (some hundreds) are broadcast; values never are.
+    """
+    spark = contacts.sparkSession
+    titles.select("ref_id", "title").createOrReplaceTempView("title_list")
+    departments.select("ref_id", "department").createOrReplaceTempView("department_list")
+    contacts.select("crm_contact_id", "title", "department").createOrReplaceTempView("siltstone_contacts")
+    written(spark.sql(forms_sql()), "forms").createOrReplaceTempView("siltstone_forms")
+    typed = spark.sql(
+        r"""SELECT DISTINCT crm_contact_id, field_name, raw FROM siltstone_contacts
+        LATERAL VIEW stack(2, 'title', title, 'department', department) s AS field_name, raw WHERE raw RLIKE '(?U)\\S'"""
+    )
+    written(typed, "typed").createOrReplaceTempView("siltstone_typed")
+    raws = spark.sql(f"SELECT field_name, raw, {_clean('raw')} AS value FROM (SELECT DISTINCT field_name, raw FROM siltstone_typed)")
+    written(raws, "raws").createOrReplaceTempView("siltstone_raws")
+    spark.sql("SELECT DISTINCT field_name, value FROM siltstone_raws WHERE value != '' AND length(value) <= 120").createOrReplaceTempView("siltstone_values")
+    written(spark.sql(MATCH_SQL), "matched").createOrReplaceTempView("siltstone_matched")
+    entries = written(spark.sql("SELECT r.field_name, r.raw, m.ref_id FROM siltstone_raws r JOIN siltstone_matched m ON r.field_name = m.field_name AND r.value = m.value"), "entries")
+    entries.createOrReplaceTempView("siltstone_entries")
+    unmatched(contacts).createOrReplaceTempView("siltstone_unmatched")
+    # the same value may stand in a third of all rows; adaptive execution splits such a partition of rows
+    return spark.sql(
+        """SELECT t.crm_contact_id, t.field_name, e.ref_id FROM siltstone_typed t JOIN siltstone_entries e ON t.field_name = e.field_name AND t.raw = e.raw
+        UNION ALL SELECT t.crm_contact_id, t.field_name, CAST(0 AS BIGINT) FROM siltstone_typed t JOIN siltstone_unmatched u ON t.field_name = u.field_name AND t.raw = u.raw"""
+    )
+
+
+def unmatched(contacts: DataFrame) -> DataFrame:
+    """(field_name, raw): the values that fit no entry; after :func:`mapped` has set up its views."""
+    return contacts.sparkSession.sql("SELECT r.field_name, r.raw FROM siltstone_raws r LEFT ANTI JOIN siltstone_entries e ON r.field_name = e.field_name AND r.raw = e.raw")
+
+
+def unmatched_report(contacts: DataFrame, titles: DataFrame, departments: DataFrame) -> DataFrame:
+    """(field_name, value, n_rows): each typed value without an entry and how many rows have it."""
+    found = mapped(contacts, titles, departments).where("ref_id = 0")
+    typed = contacts.sparkSession.table("siltstone_typed")
+    return found.join(typed, ["crm_contact_id", "field_name"]).groupBy("field_name", F.col("raw").alias("value")).agg(F.count("*").alias("n_rows"))

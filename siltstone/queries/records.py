@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from siltstone.operators import formatting_copies
+from siltstone.operators import formatting_copies, reference_list
 from siltstone.session import table
 
 QUERIES = {
     "p3_found": lambda s, d: formatting_copies.source_copies(table(s, d, "gapfill_sources")),
     "p3_records": lambda s, d: formatting_copies.source_records(table(s, d, "gapfill_sources")),
+    "p5_found": lambda s, d: reference_list.mapped(table(s, d, "crm_contacts"), table(s, d, "title_list"), table(s, d, "department_list")),
+    "p5_unmatched": lambda s, d: reference_list.unmatched_report(table(s, d, "crm_contacts"), table(s, d, "title_list"), table(s, d, "department_list")),
 }
 SQL: dict[str, str] = {}
