@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.operators import formatting_copies, reference_list
+from siltstone.operators import formatting_copies, name_variants, reference_list
 from siltstone.session import table
 
 QUERIES = {
@@ -10,5 +10,7 @@ QUERIES = {
     "p3_records": lambda s, d: formatting_copies.source_records(table(s, d, "gapfill_sources")),
     "p5_found": lambda s, d: reference_list.mapped(table(s, d, "crm_contacts"), table(s, d, "title_list"), table(s, d, "department_list")),
     "p5_unmatched": lambda s, d: reference_list.unmatched_report(table(s, d, "crm_contacts"), table(s, d, "title_list"), table(s, d, "department_list")),
+    "p7_found": lambda s, d: name_variants.pairs(table(s, d, "upload_names")),
+    "p7_groups": lambda s, d: name_variants.groups(table(s, d, "upload_names")),
 }
 SQL: dict[str, str] = {}
