@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from siltstone.operators import formatting_copies, name_variants, reference_list
+from siltstone.operators import entity_linkage, formatting_copies, name_variants, reference_list
 from siltstone.session import table
 
 QUERIES = {
     "p3_found": lambda s, d: formatting_copies.source_copies(table(s, d, "gapfill_sources")),
     "p3_records": lambda s, d: formatting_copies.source_records(table(s, d, "gapfill_sources")),
+    "p4_found": lambda s, d: entity_linkage.linked(table(s, d, "crm_contacts"), table(s, d, "directory_people")).select("crm_contact_id", "person_id"),
+    "p4_confidence": lambda s, d: entity_linkage.linked(table(s, d, "crm_contacts"), table(s, d, "directory_people")),
     "p5_found": lambda s, d: reference_list.mapped(table(s, d, "crm_contacts"), table(s, d, "title_list"), table(s, d, "department_list")),
     "p5_unmatched": lambda s, d: reference_list.unmatched_report(table(s, d, "crm_contacts"), table(s, d, "title_list"), table(s, d, "department_list")),
     "p7_found": lambda s, d: name_variants.pairs(table(s, d, "upload_names")),
