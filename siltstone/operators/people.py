@@ -19,8 +19,12 @@ def title_score(title: Column, seniority: Column, rules: Sequence[tuple[int, str
     extra = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in bonus.items() for x in kv]), F.lower(F.coalesce(seniority, F.lit("")))), F.lit(0)) if bonus else F.lit(0)
     nothing = F.struct(F.lit(0).alias("score"), F.lit("").alias("department"))
     out = F.when(F.exists(variants, lambda v: v.rlike(f"(?i){excluded}")), nothing)
+
+    def matches(pattern: str) -> Column:
+        return F.exists(variants, lambda v: v.rlike(f"(?i){pattern}"))
+
     for score, department, pattern in rules:
-        out = out.when(F.exists(variants, lambda v, p=pattern: v.rlike(f"(?i){p}")), F.struct((F.lit(score) + extra).alias("score"), F.lit(department).alias("department")))
+        out = out.when(matches(pattern), F.struct((F.lit(score) + extra).alias("score"), F.lit(department).alias("department")))
     return out.otherwise(nothing)
 
 
