@@ -53,7 +53,7 @@ def edits(a: str, b: str) -> int:
     """Edits from a to b, a swap of neighbouring letters being one."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > 3:
+    if abs(len(a) - len(b)) > 3 or max(len(a), len(b)) > 80:
         return 4
     prev2: list[int] = []
     prev = list(range(len(b) + 1))
@@ -94,7 +94,8 @@ def same_given(a: str, b: str) -> bool | None:
         return bool({a, *SHARED.get(a, ())} & {b, *SHARED.get(b, ())})
     if a in GIVEN and b in GIVEN:
         return False
-    return edits(a, b) <= 2 and min(len(a), len(b)) > 3
+    e, n = edits(a, b), min(len(a), len(b))
+    return e <= 1 and n >= 3 or e <= 2 and n > 3
 
 
 def person(name: str | None) -> tuple[str, str]:

@@ -54,7 +54,7 @@ _CLEAN = r"""
     lower(regexp_replace({v}, '(?U)\\s+', ' ')),
     '\\([^)]*\\)|（[^）]*）', ' '),
     '\\|.*$|@.*$|(?<=[ ,])/ .*$|(?<=[ ,])[-–—] ?(asia|emea|apac|americas|eu|dach|china|europe)\\b.*$', ' '),
-    '^ *(\\*|mr\\.?|mrs\\.?|ms\\.?|dr\\.?|interim|acting) +((interim|acting) +)?', ''),
+    '^ *((\\*|mr\\.?|mrs\\.?|ms\\.?|dr\\.?|interim|acting) +)+', ''),
     '[ ,_]+(plant (north|south|east|west)|group|eu|emea|asia|hq)[ _]*$', ' '),
     '(?<![a-z])([a-z])\\.', '$1'),
     '[''’`]', ''),

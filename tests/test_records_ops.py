@@ -1,0 +1,244 @@
+"""The record operators: against brute force, and on odd inputs (nulls, empty and long texts, repeats,
+empty tables, extra columns whose names clash with inner ones)."""
+
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from siltstone.functions import bloom, graphs, names
+from siltstone.operators import entity_linkage, formatting_copies, name_variants, reference_list
+
+CLASH = ("id", "h", "g", "k", "n", "maybe", "first_id", "node", "key", "kind", "w", "value", "raw", "field_name", "x", "y", "s", "title_list")
+
+
+def odd(df):
+    """The table with columns of clashing names."""
+    for c in CLASH:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit("clash"))
+    return df
+
+
+def test_bloom_has_no_misses(spark):
+    rnd = np.random.default_rng(1)
+    once, twice = rnd.integers(0, 1 << 62, 20_000), rnd.integers(0, 1 << 62, 500)
+    df = spark.createDataFrame([(int(x),) for x in np.concatenate([once, twice, twice])], "h long").repartition(5)
+    path, size, k = bloom.build(df, lambda b: b.column("h").to_numpy().view(np.uint64), 21_000, bits_per_key=16, k=4, most_bytes=1 << 20)
+    a, b = bloom.load(path, size)
+    assert bloom.has(a, once.view(np.uint64), k).all() and bloom.has(b, twice.view(np.uint64), k).all()
+    assert bloom.has(b, once.view(np.uint64), k).mean() < 0.01
+    assert bloom.has(a, rnd.integers(0, 1 << 62, 20_000).view(np.uint64), k).mean() < 0.02
+    seg = np.zeros(bloom.SEGMENT_BYTES, dtype=np.uint8)
+    seg[5] = 3
+    assert (bloom.unpacked(bloom.packed(seg)) == seg).all()
+
+
+def test_components(spark):
+    rnd = random.Random(2)
+    edges = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
+    par = {}
+
+    def find(x):
+        while par.setdefault(x, x) != x:
+            x = par[x]
+        return x
+
+    for a, b in edges:
+        par[max(find(a), find(b))] = min(find(a), find(b))
+    got = graphs.components(spark.createDataFrame(edges, "a int, b int"), "a", "b").collect()
+    assert {r.node: r.component for r in got} == {x: find(x) for x in par}
+    assert graphs.components(spark.createDataFrame([], "a int, b int"), "a", "b").count() == 0
+
+
+URL = "https://a-site.example/x/y_z?id=5&lang=de"
+SAME = [
+    (URL, "A plan: 1.5 percent | Press | The Site"), (URL.upper(), "a plan 1.5 PERCENT — The Site — Press"), ("<" + URL + ">", "«A plan: 1.5 percent»  |  Press | The　Site..."),
+    ("https://a-site.example//x/y-z/?lang=de;id=5,", "A plan : 1.5 percent • Press • The Site"), (" " + URL + "\n", "A plan: 1.5 percent|Press|The Site"),
+]
+OTHER = [(URL, "A plan: 15 percent | Press | The Site"), (URL + "&p=1", SAME[0][1]), (URL.replace("y_z", "yz"), SAME[0][1]), (URL, None), (URL, ""), (None, None)]
+
+
+def test_formatting_copies(spark):
+    rows = [(i, u, t) for i, (u, t) in enumerate(SAME + OTHER)] + [(0, *SAME[0]), (99, "https://b.example/德国 车", "勤福 慧联：395.3秒"), (98, "https://b.example/德国车", "勤福慧联395.3秒")]
+    df = odd(spark.createDataFrame(rows, "source_id long, url string, title string"))
+    got = {(r.first_id, r.copy_id) for r in formatting_copies.source_copies(df).collect()}
+    assert got == {(0, i) for i in range(1, 5)} | {(8, 9), (98, 99)}
+    rec = {r.source_id: r.n_copies for r in formatting_copies.source_records(df).collect()}
+    assert rec == {0: 5, 5: 1, 6: 1, 7: 1, 8: 2, 10: 1, 98: 2}
+    assert formatting_copies.source_copies(df.limit(0)).count() == 0 and formatting_copies.source_records(df.limit(0)).count() == 0
+
+
+def test_formatting_copies_with_hot_group(spark):
+    df = spark.range(6000).select(F.col("id").alias("source_id"), F.when(F.col("id") % 3 == 0, "https://hot.example").otherwise(F.concat(F.lit("https://x.example/"), (F.col("id") % 1500).cast("string"))).alias("url"), F.lit("t").alias("title"))
+    got = formatting_copies.source_copies(df).groupBy("first_id").count().collect()
+    assert {r.first_id: r["count"] for r in got}[0] == 1999
+    want = df.groupBy("url").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") - 1)).first()[0]
+    assert sum(r["count"] for r in got) == want
+
+
+@pytest.mark.parametrize("name,want", [
+    ("Berg, Anna", ("anna", "berg")), ("Prof. Dr. Sam O. Vugrad jr.", ("samuel", "vugrad")), ("K. Lund", ("k", "lund")), ("Lund Kenji", ("kenji", "lund")), ("RENÉE GLAGÅRD (she/her)", ("renee", "glagard")),
+    ("Wilkiam Terej", ("william", "terej")), ("", ("", "")), (None, ("", "")), ("Anna", ("", "anna")), ("Bischit,D.", ("d", "bischit")), ("Zoë Bim, MBA", ("zoe", "bim")),
+])
+def test_person(name, want):
+    assert names.person(name) == want
+
+
+@pytest.mark.parametrize("firm,city,want", [
+    ("Stolostule Therm. Syst. O.O.O.", None, ("stolostule", "systems thermal", "ooo", "")), ("AB Skoreputru Cells and Modules (Nordvåla)", None, ("skoreputru", "cells modules", "ab", "nordvala")),
+    ("TrovumezaDrive Technology", "Bo", ("trovumeza", "drive technology", "", "bo")), ("Brugaskuna, Wexcombe", None, ("brugaskuna", "", "", "wexcombe")), ("Göbä Power Elec. GmbH & Co. KG (GPE)", None, ("goba", "electronics power", "co gmbh kg", "")),
+    ("hegitabrelelectrodes", None, ("hegitabrel", "electrodes", "", "")), ("Suske mukran Batt. Ltd", None, ("suskemukran", "batteries", "ltd", "")), (None, None, ("", "", "", "")), ("GmbH", None, ("", "", "gmbh", "")),
+])
+def test_firm(firm, city, want):
+    assert names.firm(firm, city) == want
+
+
+def test_edits_against_plain():
+    assert names.edits("abcd", "abdc") == 1 and names.edits("abcd", "xbcd") == 1 and names.edits("", "ab") == 2 and names.edits("a" * 500, "a" * 499) == 4
+
+
+TITLES = [(1, "Chief Executive Officer"), (2, "Director of Quality"), (3, "Plant Manager"), (4, "Buyer"), (5, "Project Manager")]
+
+
+def lists(spark):
+    return spark.createDataFrame([(i, t, "x") for i, t in TITLES], "ref_id long, title string, department string"), spark.createDataFrame([(1, "Executive Board"), (2, "Finance"), (3, "Technology")], "ref_id long, department string")
+
+
+def test_reference_list(spark):
+    cases = [
+        ("Chief Executive Officer", 1), ("CEO", 1), ("c.e.o. (interim)", 1), ("chief executve off.", 1), ("* Mr. Quality Dir. - Asia", 2), ("Dir of Qlty, Plant North", 2), ("Manager, Plant", 3), ("plant_manger @ HQ", 3), ("bueyr", 4), ("Buyer | Cells BU", 4),
+        ("proj. mgr / site 2", 5), ("首席执行官（兼）", 1), ("Assistant to the CEO", 0), ("PA of the Plant Manager", 0), ("Secretary of the plant manager", 0), ("beekeeper", 0), ("x", 0), ("—", 0), ("y" * 5000, 0), ("Acting Plant Mangaer", 3),
+    ]
+    rows = [(i, t, None) for i, (t, _) in enumerate(cases)] + [(100, None, "finnace dept."), (101, "", "  "), (102, None, "财务部 (HQ)"), (103, None, "Choir"), (0, cases[0][0], None)]
+    df = odd(spark.createDataFrame(rows, "crm_contact_id long, title string, department string"))
+    t, d = lists(spark)
+    got = {(r.crm_contact_id, r.field_name): r.ref_id for r in reference_list.mapped(df, t, d).collect()}
+    want = {(i, "title"): e for i, (_, e) in enumerate(cases)} | {(100, "department"): 2, (102, "department"): 2, (103, "department"): 0}
+    assert got == want
+    assert reference_list.mapped(df.limit(0), t, d).count() == 0
+    rep = {(r.field_name, r.value): r.n_rows for r in reference_list.unmatched_report(df, t, d).collect()}
+    assert rep[("title", "beekeeper")] == 1 and ("title", "CEO") not in rep
+
+
+def test_pigeonhole_finds_all_near_strings(spark):
+    """Every value within k edits of a wording is found: against all pairs."""
+    rnd = random.Random(5)
+    t, d = lists(spark)
+    reference_list.mapped(spark.createDataFrame([], "crm_contact_id long, title string, department string"), t, d)
+    forms = spark.table("siltstone_forms").collect()
+    values = set()
+    for f in rnd.sample(forms, 25):
+        for _ in range(12):
+            w = list(f.form)
+            for _ in range(rnd.randint(1, 3)):
+                i = rnd.randrange(len(w) + 1)
+                op = rnd.randint(0, 2)
+                w[i : i + (op > 0)] = [] if op == 1 else rnd.choice("abcdeimnrst ")
+            values.add((f.field_name, "".join(w)))
+    spark.createDataFrame(sorted(values), "field_name string, value string").createOrReplaceTempView("siltstone_values")
+    got = {(r.field_name, r.value) for r in spark.sql(reference_list.MATCH_SQL).collect()}
+    pairs = spark.table("siltstone_values").crossJoin(spark.table("siltstone_forms").withColumnRenamed("field_name", "f")).where("field_name = f").withColumn("d", F.levenshtein("value", "form"))
+    ok = pairs.where("d = 0 or (length(form) >= 5 and not form rlike '[一-鿿]' and (d = 1 or (d = 2 and (length(form) >= 9 or array_sort(split(value, '')) = array_sort(split(form, '')))) or (d = 3 and length(form) >= 13 and size(split(value, ' ')) = size(split(form, ' ')))))")
+    ok = ok.where("d <= k and not (value rlike '^(pa|assistant|secretary|office|trainee|driver|chauffeur|sekretariat) ')")
+    assert got == {(r.field_name, r.value) for r in ok.select("field_name", "value").distinct().collect()}
+
+
+VARIANTS = [
+    (1, "Bedrabramos Electrodes Inc.", None, None, "c1"), (2, "BEDRABRAMOS ELECTROD. INC., Kukrumouth", None, None, "c1"), (3, "Electrodes Bedrabbramos Incorporated", None, "Kukrumouth", "c1"), (4, "Bedrabramos Inc.", None, "Kukrumouth", "c1"), (5, "Bedrabramos Cells and Modules GmbH", None, "Oberdorf", "c2"),
+    (6, "Fikrudahal Mobility AB", "Martin Dagloniak", None, "n1"), (7, "Fikrudåhal Mobility Aktiebolag", "Dr. Dagloniak, Martin", None, "n1"), (8, "Fikrudahal Mobility AB", "Martina Dagloniak", None, "n2"), (9, "Otherfirm Mobility AB", "Martin Dagloniak", None, "n3"), (10, "Fikrudahal AB", "M. Daglonaik", None, "n1?"),
+    (11, None, None, None, "-"), (12, "", "", None, "e"), (13, "GmbH", None, None, "f"), (14, "z" * 3000, None, None, "z"), (1, "Bedrabramos Electrodes Inc.", None, None, "c1"),
+]
+
+
+def test_name_variants(spark):
+    more = [(100 + i, f"{a}{b} Robotics Ltd", None, None, "") for i, (a, b) in enumerate((x, y) for x in ("Kobri", "Zuma", "Stela", "Prado") for y in ("letun", "sokar", "mifan"))]
+    df = odd(spark.createDataFrame([r[:4] for r in VARIANTS + more], "upload_row_id long, company string, name string, city string"))
+    got = {(r.field_name, r.row_a, r.row_b) for r in name_variants.pairs(df).collect()}
+    assert {("company", a, b) for a in (1, 2, 3, 4) for b in (2, 3, 4) if a < b} <= got
+    assert ("name", 6, 7) in got and not any(8 in p[1:] or 9 in p[1:] or 5 in p[1:] for p in got) and ("company", 1, 5) not in got
+    assert all(a < b for _, a, b in got) and not any(a >= 100 for _, a, _ in got)
+    assert name_variants.pairs(df.limit(0)).count() == 0
+
+
+def test_similar_words_against_all_pairs(spark):
+    rnd = random.Random(4)
+    base = ["".join(rnd.choice(("ba", "kri", "so", "tre", "mu", "lan", "fi")) for _ in range(4)) for _ in range(60)]
+    words = set(base)
+    for w in base:
+        i = rnd.randrange(1, len(w) - 1)
+        words |= {w[:i] + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]}
+    df = spark.createDataFrame([("stem", w) for w in sorted(words)], "kind string, w string")
+    got = {(r.a, r.b): r.cosine for r in name_variants.similar_words(df).collect()}
+    grams = {w: {f"^{w}$"[i : i + n] for n in (2, 3) for i in range(len(w) + 3 - n)} for w in words}
+    n = {}
+    for g in grams.values():
+        for x in g:
+            n[x] = n.get(x, 0) + 1
+    wt = {x: np.log(1 + len(words) / c) for x, c in n.items() if c > 1}
+    norm = {w: np.sqrt(sum(wt.get(x, 0) for x in g)) for w, g in grams.items()}
+    want = set()
+    for a in words:
+        for b in words:
+            if a < b and sum(wt.get(x, 0) for x in grams[a] & grams[b]) / (norm[a] * norm[b] or 1) >= 0.5 + 1e-9:
+                e = plain_levenshtein(a, b)
+                s = min(len(a), len(b))
+                if abs(len(a) - len(b)) <= 2 and (e == 1 or e == 2 and (s >= 7 or sorted(a) == sorted(b)) or e == 3 and s >= 9):
+                    want.add((a, b))
+    assert set(got) == want
+
+
+def plain_levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_average_linkage():
+    d = np.array([[0, 0.1, 0.9, 0.9], [0.1, 0, 0.9, 0.9], [0.9, 0.9, 0, 0.2], [0.9, 0.9, 0.2, 0]])
+    x = name_variants.average_linkage(d, 0.4)
+    assert x[0] == x[1] != x[2] == x[3]
+    assert len(set(name_variants.average_linkage(d, 0.95))) == 1 and len(name_variants.average_linkage(np.zeros((1, 1)), 0.4)) == 1
+
+
+def test_linkage(spark):
+    crm = [
+        (1, "Anna Berg", "CEO", "a.berg@acme.example", "https://l.example/in/anna-berg-1", "Acme Robotics GmbH"), (2, "Berg, Anna", None, None, None, "Acme Robotics"), (3, "Oskar Lund", "Buyer", "info@zeta.example", None, "Zeta Mobility AB"), (4, None, None, None, None, None), (5, "", "", "", "", ""), (6, "Kenji Sol", None, None, "https://l.example/in/kenji-sol", "Old Mobility AB"), (7, "Q" * 2000, None, None, None, "x"),
+        (1, "Anna Berg", "CEO", "a.berg@acme.example", "https://l.example/in/anna-berg-1", "Acme Robotics GmbH"),
+    ]
+    ppl = [
+        (10, "A. Berg", "Chief Executive", "mailto:A.Berg@mail.acme.example", None, "Acme Robotics GmbH"), (11, "Ana Berg", None, None, None, "Acme Robotics GmbH"), (12, "Thomas Berg", None, "t.berg@acme.example", None, "Acme Robotics GmbH"), (13, "Oskar Lund", None, "info@zeta.example", None, "Other Laser Inc"), (14, "Sigrid Moe", None, "info@zeta.example", None, "Zeta Mobility AB"),
+        (15, "K. Sol", None, None, "http://www.l.example/in/kenji-sol/?x=1", "New Laser Inc"), (16, "Kenji Sol", None, None, None, "New Laser Inc"), (17, None, None, None, "https://l.example/company/acme", None),
+    ]
+    schema = "title string, email string, linkedin_url string"
+    c = odd(spark.createDataFrame(crm, f"crm_contact_id long, name string, {schema}, company string"))
+    p = odd(spark.createDataFrame(ppl, f"person_id long, name string, {schema}, organization_name string"))
+    got = {(r.crm_contact_id, r.person_id): r.confidence for r in entity_linkage.linked(c, p).collect()}
+    assert set(got) == {(1, 10), (2, 10), (1, 11), (2, 11), (6, 15), (6, 16)}
+    assert all(0.6 < v < 1 for v in got.values()) and got[(6, 16)] < got[(6, 15)]
+    assert entity_linkage.linked(c.limit(0), p).count() == 0 and entity_linkage.linked(c, p.limit(0)).count() == 0
+
+
+def test_crowded_mailbox(spark):
+    rows = [(i, f"Person{chr(97 + i % 26)}{chr(97 + i // 26)}x Lastn{i}q", None, "all@one.example", None, f"Firm{i} Laser Inc") for i in range(300)]
+    schema = "title string, email string, linkedin_url string"
+    c = spark.createDataFrame(rows, f"crm_contact_id long, name string, {schema}, company string")
+    p = spark.createDataFrame(rows[:5], f"person_id long, name string, {schema}, organization_name string")
+    assert {(r.crm_contact_id, r.person_id) for r in entity_linkage.linked(c, p).collect()} == {(i, i) for i in range(5)}
+
+
+def test_no_ref_to_llm():
+    """The core imports nothing of the text operators."""
+    from pathlib import Path
+
+    root = Path(formatting_copies.__file__).parent.parent
+    for f in root.rglob("*.py"):
+        if "llm" not in f.relative_to(root).parts:
+            assert not re.search(r"^\s*(from|import) .*\bllm\b", f.read_text(), re.M), f
+    assert pa.__version__
