@@ -226,7 +226,9 @@ def test_linkage(spark):
 
 
 def test_crowded_mailbox(spark):
-    rows = [(i, f"Person{chr(97 + i % 26)}{chr(97 + i // 26)}x Lastn{i}q", None, "all@one.example", None, f"Firm{i} Laser Inc") for i in range(300)]
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice(("ba", "kri", "so", "tre", "mu", "lan", "fi", "gos", "pel", "dru")) for _ in range(n)).capitalize()
+    rows = [(i, f"{word(3)} {word(5)}", None, "all@one.example", None, f"{word(5)} Laser Inc") for i in range(300)]
     schema = "title string, email string, linkedin_url string"
     c = spark.createDataFrame(rows, f"crm_contact_id long, name string, {schema}, company string")
     p = spark.createDataFrame(rows[:5], f"person_id long, name string, {schema}, organization_name string")
