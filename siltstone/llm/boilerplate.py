@@ -227,6 +227,6 @@ def articles(pages: DataFrame, results: DataFrame) -> DataFrame:
     """(page_id, article): the lines of the article in order, joined by line feeds; null if none."""
 
     kept = judged(pages, _counts(pages, results)).where("not residue and is_article").select("page_id", "line_no").distinct()
-    lines = pages.dropDuplicates(["page_id"]).join(kept.groupBy("page_id").agg(F.array_sort(F.collect_list("line_no")).alias("n")), "page_id", "left")
+    lines = pages.select("page_id", "page_text").dropDuplicates(["page_id"]).join(kept.groupBy("page_id").agg(F.array_sort(F.collect_list("line_no")).alias("n")), "page_id", "left")
     text = F.array_join(F.transform("n", lambda i: F.get(F.split("page_text", "\n"), i.cast("int"))), "\n")
     return lines.select("page_id", F.when(F.size("n") > 0, text).alias("article"))

@@ -30,7 +30,7 @@ WINDOW_TERMS = 60
 _TAG = re.compile(r"<!?/?(?:doctype html|html|head|title|body|h[1-6]|p|br|hr|noscript|div|span|center|pre|ul|li|b|i|a)\b[^<>]*>", re.I)
 _HOLDER = re.compile(
     r"\{\{[^{}]*\}\}|\$\{[^{}]*\}|#\{[^{}]*\}|\{%[^{}]*%\}|<%=?[^<>]*%>|\[\[[^\[\]]*\]\]|%\([^()]*\)[sd]|@@[^@\s]+@@|__[A-Za-z][A-Za-z.\- ]*(?:_[A-Za-z.\- ]+)*__"
-    r"|%[A-Za-z][\w.\-]*%|\$[A-Za-z][\w.\-]*\$|«[A-Za-z][\w.\-]*»|\[Insert [^\[\]]*\]|\[[A-Za-z][\w.\-]*\]|<[A-Za-z][\w.\-]*>|\{[A-Za-z][\w.\- ]*\}",
+    r"|%[A-Za-z][\w.\-]*%|\$[A-Za-z][\w.\-]*\$|«[A-Za-z][\w.\-]*»|\[Insert [^\[\]]*\]|\[[A-Za-z][\w.\-]*\]|<[A-Za-z][\w.\-]*>|\{ ?[A-Za-z][\w.\- ]*\}",
     re.I,
 )
 _TERM = re.compile(r"⁂|[一-鿿぀-ヿ]+|\d[\d.,:]*|[^\W\d_一-鿿぀-ヿ]+(?:['’][^\W\d_]+)?|©")
@@ -80,6 +80,13 @@ def _bag(exemplar: str) -> set[str]:
 _MARKS = frozenset("⁂©")
 
 
+# Words that say little in any text, whatever the texts at hand are.
+_SMALL = frozenset(
+    "0 a an the in of to and or for on at by from with is are was were be been has have had it its this that these those will would can not no as if but into over "
+    "der die das und oder in im zu zum zur mit von vom für auf ist sind war wird werden ein eine einer eines den dem des am an bei nach sich nicht auch".split()
+)
+
+
 class Index:
     """The inverted index of the exemplars, with the weights of terms."""
 
@@ -95,7 +102,7 @@ class Index:
                 self.label.append(label)
         # weight and exemplars of every term of which either is known
         self.all = {
-            t: (9.0 if t in _MARKS else min(self.top, self.weight.get(t, self.top)), tuple(self.postings.get(t, ()))) for t in {*self.weight, *self.postings}
+            t: (9.0 if t in _MARKS else min(0.7 if t in _SMALL else self.top, self.weight.get(t, self.top)), tuple(self.postings.get(t, ()))) for t in {*self.weight, *self.postings}
         }
         self.memo: dict[str, tuple] = {}
 
