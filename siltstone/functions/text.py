@@ -103,10 +103,21 @@ def distinctive_tokens(name: Column, common: Sequence[str]) -> Column:
     return F.filter(name_tokens(core_name(name)), lambda t: ~t.isin(*common)) if common else name_tokens(core_name(name))
 
 
-def mentions(text: Column, word: Column) -> Column:
-    """Whether the word stands alone in the text: no Latin letter or digit beside it; Han may be."""
+def spaced(text: Column) -> Column:
+    """The text in lower case with one blank for whatever is no Latin letter or digit, and blanks around."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "), F.lit(" "))
+
+
+def mentions(text: Column, word: Column, among: Column | None = None) -> Column:
+    """Whether the word stands alone in the text: no Latin letter or digit beside it; Han may be.
+
+    ``among`` is :func:`spaced` of the text, if it is at hand. A plain search in it decides on words of
+    Latin letters and digits and spares most others their pattern.
+    """
     quoted = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])\Q"), F.replace(word, F.lit(r"\E"), F.lit("")), F.lit(r"\E(?![A-Za-z0-9])"))
-    return F.coalesce((word != "") & F.rlike(F.coalesce(text, F.lit("")), quoted), F.lit(False))
+    there = F.contains(among if among is not None else spaced(text), F.regexp_replace(spaced(word), "^ +| +$", " "))
+    full = F.rlike(F.coalesce(text, F.lit("")), quoted)
+    return F.coalesce(F.when(F.coalesce(word, F.lit("")) == "", F.lit(False)).when(word.rlike("^[A-Za-z0-9]+$"), there).when(word.rlike(r"^[\x00-\x7f]*[A-Za-z0-9][\x00-\x7f]*$") & ~there, F.lit(False)).otherwise(full), F.lit(False))
 
 
 def split_company(name: Column) -> Column:

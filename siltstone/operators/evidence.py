@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.session import written
 
 
 def judge_identity(hits: DataFrame, accounts: DataFrame, *, common: Sequence[str] = (), key: str = "account_id") -> DataFrame:
@@ -25,29 +26,29 @@ def judge_identity(hits: DataFrame, accounts: DataFrame, *, common: Sequence[str
     """
     a = accounts.select(key, "name", "name_cn", "domain", "aliases", "collisions")
     h = hits.join(a, key, "left")
-    hay = F.concat_ws(" ", "title", "site_name", "url")
-    own = T.distinctive_tokens(F.col("name"), common)
-    clash = F.filter(F.coalesce("collisions", F.array().cast("array<string>")), lambda c: F.contains(F.lower(hay), F.lower(c)))
+    h = h.withColumn("_hay", F.concat_ws(" ", "title", "site_name", "url")).withColumn("_spaced", T.spaced(F.col("_hay")))
+    hay, low = F.col("_hay"), F.col("_spaced")
+    # columns of their own, so that each is worked out once for a hit and not once for each rung
+    none = F.array().cast("array<string>")
+    h = h.withColumn("_own", T.distinctive_tokens(F.col("name"), common)).withColumn("_core", T.core_name(F.col("name"))).withColumn("_tokens", T.name_tokens(F.col("name"))).withColumn("_host", T.host(F.col("url")))
+    h = h.withColumn("_clash", F.filter(F.coalesce("collisions", none), lambda c: F.contains(F.lower(hay), F.lower(c)))).withColumn("_alias", F.filter(F.coalesce("aliases", none), lambda x: T.mentions(hay, x, low)))
+    h = h.withColumn("_matched", F.filter("_tokens", lambda t: T.mentions(hay, t, low))).withColumn("_hit", F.filter("_own", lambda t: T.mentions(hay, t, low)))
+    own, clash, alias, core, matched, hit, host = (F.col(c) for c in ("_own", "_clash", "_alias", "_core", "_matched", "_hit", "_host"))
     has_cn = F.coalesce((F.col("name_cn") != "") & F.contains(hay, F.col("name_cn")), F.lit(False))
-    alias = F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda x: T.mentions(hay, x))
-    core = T.core_name(F.col("name"))
-    matched = F.filter(T.name_tokens(F.col("name")), lambda t: T.mentions(hay, t))
-    hit = F.filter(own, lambda t: T.mentions(hay, t))
-    host = T.host(F.col("url"))
     rung = (
         F.when(T.host_under(F.col("url"), F.coalesce("domain", F.lit(""))), F.lit("official domain"))
         .when((F.size(clash) > 0) & ~has_cn, F.concat(F.lit("unrelated entity ("), F.array_join(F.slice(clash, 1, 2), ", "), F.lit(")")))
         .when(has_cn, F.lit("chinese-name match"))
-        .when(T.mentions(hay, F.coalesce("name", F.lit(""))), F.lit("full-name match"))
+        .when(T.mentions(hay, F.coalesce("name", F.lit("")), low), F.lit("full-name match"))
         .when(F.size(alias) > 0, F.concat(F.lit("alias match ("), F.get(alias, 0), F.lit(")")))
-        .when((core != "") & (F.lower(core) != F.lower("name")) & T.mentions(hay, core), F.concat(F.lit("name match without legal suffix ("), core, F.lit(")")))
+        .when((core != "") & (F.lower(core) != F.lower("name")) & T.mentions(hay, core, low), F.concat(F.lit("name match without legal suffix ("), core, F.lit(")")))
         .when((F.size(matched) >= 2) & F.exists(matched, lambda t: F.array_contains(own, t)), F.concat(F.lit("name tokens ("), F.array_join(F.slice(matched, 1, 3), ", "), F.lit(")")))
         .when((F.size(hit) > 0) & F.contains(F.regexp_replace(host, "[-.]", ""), F.get(hit, 0)), F.concat(F.lit("name token in host ("), F.get(hit, 0), F.lit(")")))
         .when(F.size(hit) > 0, F.concat(F.lit("distinctive name token ("), F.get(hit, 0), F.lit(")")))
         .otherwise(F.lit("no identity evidence"))
     )
     out = h.withColumn("identity_reason", rung).withColumn("identity_ok", ~F.col("identity_reason").rlike("^(unrelated entity|no identity evidence)"))
-    return out.drop("name", "name_cn", "domain", "aliases", "collisions")
+    return out.drop("name", "name_cn", "domain", "aliases", "collisions", "_hay", "_spaced", "_own", "_core", "_tokens", "_host", "_clash", "_alias", "_matched", "_hit")
 
 
 def provenance(reason: Column) -> Column:
@@ -135,7 +136,8 @@ def capped(rows: DataFrame, group: str, *, most: int = 16, per_domain: int = 8,
     candidates of one account. Rows: url, tier, subrank, seq, content_verified, official.
     """
     r = rows.withColumn("_key", T.url_key(F.col("url"))).withColumn("_dom", T.registrable_domain(F.col("url")))
-    r = r.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy("tier", "subrank", "seq")))
+    # written once: the walk and its result both need these rows
+    r = written(r.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy("tier", "subrank", "seq"))), "walk")
     lowly = (F.col("tier") >= low_tier) & ~(F.coalesce("content_verified", F.lit(False)) & ~F.coalesce("official", F.lit(False)))
     g = r.groupBy(group).agg(
         F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_key").alias("key"), F.col("_dom").alias("dom"), lowly.alias("low")))).alias("rows"),

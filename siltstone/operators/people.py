@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,42 +63,44 @@ def merged_roster(rows: DataFrame, group: str = "account_id") -> DataFrame:
     folded in one task; a roster has some hundred rows at most. Null and blank are alike.
     """
     keyed = rows.select(
-        group, "seq", "source", *MERGE_FIELDS, F.coalesce("score", F.lit(0)).alias("score"),
+        group, "seq", "source", *MERGE_FIELDS, F.coalesce("score", F.lit(0)).cast("long").alias("score"),
         F.lower(F.coalesce(T.clean_email(F.col("email")), F.lit(""))).alias("_mail"), T.linkedin_key(F.col("linkedin_url")).alias("_link"),
         T.person_key(F.col("name")).alias("_name"), T.org_key(F.col("company")).alias("_firm"),
     )
     kinds = {f.name: f.dataType.simpleString() for f in keyed.schema.fields}
     schema = ", ".join([f"{group} {kinds[group]}", *[f"{f} string" for f in MERGE_FIELDS], "score long", "sources array<string>", "corroborated boolean", "first_seq long"])
 
-    def fold(t: pd.DataFrame) -> pd.DataFrame:
+    def fold(t: pa.Table) -> pa.Table:
         people: list[dict] = []
         seen: dict[tuple, int] = {}
         by_name: dict[str, list[int]] = {}
-        for r in t.sort_values("seq", kind="stable").to_dict("records"):
-            text = {f: r[f] if isinstance(r[f], str) else "" for f in MERGE_FIELDS}
+        for r in sorted(t.to_pylist(), key=lambda r: r["seq"]):
+            text = {f: r[f] or "" for f in MERGE_FIELDS}
             keys = [(k, v) for k, v in (("m", r["_mail"]), ("l", r["_link"]), ("n", r["_name"] and r["_firm"] and f"{r['_name']}|{r['_firm']}")) if v]
             at = next((seen[k] for k in keys if k in seen), None)
             if at is None and r["_name"]:
                 at = next((i for i in by_name.get(r["_name"], ()) if not r["_firm"] or not people[i]["_firm"] or people[i]["_firm"] == r["_firm"]), None)
             if at is None:
                 at = len(people)
-                people.append({**text, "score": int(r["score"]), "sources": [], "_firm": r["_firm"], "first_seq": int(r["seq"])})
+                people.append({group: r[group], **text, "score": r["score"], "sources": [], "_firm": r["_firm"], "first_seq": r["seq"]})
                 if r["_name"]:
                     by_name.setdefault(r["_name"], []).append(at)
             p = people[at]
             for f in MERGE_FIELDS:
                 if text[f] and (not p[f] or r["source"] == "CRM"):
                     p[f] = text[f]
-            p["score"] = max(p["score"], int(r["score"]))
+            p["score"] = max(p["score"], r["score"])
             p["_firm"] = p["_firm"] or r["_firm"]
             if r["source"] not in p["sources"]:
                 p["sources"].append(r["source"])
             for k in keys:
                 seen.setdefault(k, at)
-        out = pd.DataFrame([{group: t[group].iloc[0], **{k: v for k, v in p.items() if k != "_firm"}, "corroborated": len(p["sources"]) > 1} for p in people])
-        return out[[group, *MERGE_FIELDS, "score", "sources", "corroborated", "first_seq"]]
+        for p in people:
+            p["corroborated"] = len(p["sources"]) > 1
+        kinds = [(group, t.schema.field(group).type), *((f, pa.string()) for f in MERGE_FIELDS), ("score", pa.int64()), ("sources", pa.list_(pa.string())), ("corroborated", pa.bool_()), ("first_seq", pa.int64())]
+        return pa.table({n: pa.array([p[n] for p in people], k) for n, k in kinds})
 
-    return keyed.groupBy(group).applyInPandas(fold, schema)
+    return keyed.groupBy(group).applyInArrow(fold, schema)
 
 
 def diverse_roster(people: DataFrame, group: str, *, per_department: int = 4, most: int = 20) -> DataFrame:
