@@ -53,3 +53,27 @@ def exists(path: str) -> bool:
 
     store, inner = fs.FileSystem.from_uri(path)
     return store.get_file_info(inner).type != fs.FileType.NotFound
+
+
+def blank(path: str, size: int) -> bool:
+    """Makes a file of ``size`` zero bytes that takes no room yet; False where only whole files can be put."""
+    here = _local(path)
+    if not here:
+        return False
+    os.makedirs(os.path.dirname(here), exist_ok=True)
+    with open(here, "wb") as f:
+        f.truncate(size)
+    return True
+
+
+def put_at(path: str, offset: int, data: bytes) -> None:
+    """Writes a piece of a file made by :func:`blank`; a second attempt writes the same bytes again."""
+    with open(_local(path), "r+b") as f:
+        f.seek(offset)
+        f.write(data)
+
+
+def mapped(path: str):
+    """The local path of a file that can be memory-mapped, or None."""
+    here = _local(path)
+    return here if here and os.path.isfile(here) else None

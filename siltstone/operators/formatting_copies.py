@@ -54,7 +54,7 @@ def _hashes(b: pa.RecordBatch) -> np.ndarray:
 
 
 def grouped(
-    df: DataFrame, key: str, canonical: Column, *, bits_per_key: int = 16, k: int = 4, most_filter_bytes: int = 64 << 20, hot_groups: int = 100_000
+    df: DataFrame, key: str, canonical: Column, *, bits_per_key: int = 16, k: int = 4, most_filter_bytes: int = 4 << 30, hot_groups: int = 100_000
 ) -> tuple[DataFrame, DataFrame]:
     """(members, singles): ``members`` (first_id, id, n_copies) of records that occur under two ids
     or more, the first itself included; ``singles`` (id) of the records that occur once.

@@ -32,9 +32,9 @@ def test_bloom_has_no_misses(spark):
     assert bloom.has(a, once.view(np.uint64), k).all() and bloom.has(b, twice.view(np.uint64), k).all()
     assert bloom.has(b, once.view(np.uint64), k).mean() < 0.01
     assert bloom.has(a, rnd.integers(0, 1 << 62, 20_000).view(np.uint64), k).mean() < 0.02
-    seg = np.zeros(bloom.SEGMENT_BYTES, dtype=np.uint8)
-    seg[5] = 3
-    assert (bloom.unpacked(bloom.packed(seg)) == seg).all()
+    for n in (0, 1, 50, bloom.SEGMENT_BYTES):
+        places = np.sort(rnd.choice(bloom.SEGMENT_BYTES * 8, n, replace=False)).astype(np.uint32)
+        assert (bloom.unpacked(bloom.packed(places)) == bloom.bitmap(places)).all()
 
 
 def test_components(spark):
