@@ -101,10 +101,10 @@ def _read(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(pa.decompress(data[8:], decompressed_size=n, codec="zstd"), dtype=np.int64)) if n else np.empty(0, np.int64)
 
 
-def window_positions(docs: DataFrame, key: str, text: str, *, length: int, bits_per_key: int = 32, k: int = 8, most_filter_bytes: int = 256 << 20) -> DataFrame:
+def window_positions(docs: DataFrame, key: str, text: str, *, length: int, bits_per_key: int = 32, k: int = 8, most_filter_bytes: int = 8 << 30) -> DataFrame:
     """(key, at array<int>): where runs of ``length`` characters begin that another row has too;
-    several rows for a key. ``most_filter_bytes`` bounds what a worker holds of the index; beyond
-    it more windows are compared, at the same result."""
+    several rows for a key. ``most_filter_bytes`` bounds the index file that workers map; beyond it more
+    windows are compared, at the same result."""
     spark = docs.sparkSession
     block = length // 2
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(F.length("t") >= length)
