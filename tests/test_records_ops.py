@@ -162,6 +162,9 @@ def test_name_variants(spark):
     assert ("name", 6, 7) in got and not any(8 in p[1:] or 9 in p[1:] or 5 in p[1:] for p in got) and ("company", 1, 5) not in got
     assert all(a < b for _, a, b in got) and not any(a >= 100 for _, a, _ in got)
     assert name_variants.pairs(df.limit(0)).count() == 0
+    # with tiny blocks the rest join their nearest group: still the same firm, never the other one
+    g = {r.upload_row_id: r.group_id for r in name_variants.groups(df, most=2).collect()}
+    assert g[1] == g[2] == g[3] and g[5] not in (g[1], g[2]) and g[8] != g[6] and len(g) == len({r[0] for r in VARIANTS + more if r[1] is not None or r[2] is not None})
 
 
 def test_similar_words_against_all_pairs(spark):
