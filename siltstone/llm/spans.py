@@ -118,7 +118,7 @@ def window_positions(docs: DataFrame, key: str, text: str, *, length: int, bits_
         return np.concatenate(found) if found else np.empty(0, np.uint64)
 
     path, size, k = bloom.build(rows, blocks, chars // block, bits_per_key=bits_per_key, k=k, most_bytes=most_filter_bytes)
-    reducers = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // (32 << 20))
+    reducers = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // (8 << 20))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = again = None
