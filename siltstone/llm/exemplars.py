@@ -150,11 +150,12 @@ SIDEBARS = (
 
 # Messages about a call, which are not residue however short.
 MESSAGES = (
-    "timeout timeout after 0 ms",
+    "timeout",
+    "timeout after 0 ms",
     "connection reset by peer while reading chunk 0",
     "upstream answered 0 after 0 ms attempt 0",
     "api key rejected for endpoint",
-    "model not found unknown at this endpoint 0",
+    "0 model unknown at this endpoint",
     "0 invalidargument does not take search in thinking mode",
     "0 throttled retry in 0 ms",
     "quota exceeded 0 of 0 calls",

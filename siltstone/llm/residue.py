@@ -87,6 +87,9 @@ _SMALL = frozenset(
 )
 
 
+_MESSAGES = [_bag(x) for x in exemplars.MESSAGES]
+
+
 class Index:
     """The inverted index of the exemplars, with the weights of terms."""
 
@@ -165,8 +168,8 @@ class Index:
 
 
 def is_residue_line(line: tuple) -> bool:
-    res, fur, msg, n, _ = line
-    return res >= 0.6 and res > fur and res > msg or n == 0
+    res, fur, _, n, _ = line
+    return res >= 0.6 and res > fur or n == 0
 
 
 def is_body_line(line: tuple) -> bool:
@@ -194,7 +197,11 @@ def message_is_residue(index: Index, text: str | None) -> bool:
     if not text or not text.strip():
         return False
     res, fur, msg, n, _ = index.line(text)
-    return n > 0 and res >= 0.5 and res > msg
+    if n == 0 or res < 0.5 or res < msg:
+        return False
+    # words that both have: it is a message if it is most of what such a message says
+    own = set(terms(text))
+    return res > msg or not any(len(own & b) * 2 >= len(b) for b in _MESSAGES)
 
 
 def build_index(texts: DataFrame, column: str) -> dict:
