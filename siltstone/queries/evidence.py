@@ -108,7 +108,7 @@ def organisation_keys(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "directory_people").groupBy(T.org_key(F.col("organization_name")).alias("org")).agg(F.count("*").alias("people"), F.count_distinct("title").alias("titles"))
 
 
-@query(r"""WITH w AS (SELECT list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(coalesce(name, '')), '\b(dr|prof|mr|mrs|ms|ing|dipl)\b\.?', ' ', 'g'), '[^a-z0-9一-鿿]+', ' ', 'g'), ' +'), x -> x <> '') AS w FROM crm_contacts)
+@query(r"""WITH w AS (SELECT list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(replace(coalesce(name, ''), 'İ', 'i̇')), '\b(dr|prof|mr|mrs|ms|ing|dipl)\b\.?', ' ', 'g'), '[^a-z0-9一-鿿]+', ' ', 'g'), ' +'), lambda x: x <> '') AS w FROM crm_contacts)
 SELECT CASE len(w) WHEN 0 THEN '' WHEN 1 THEN w[1] ELSE w[1] || ' ' || w[-1] END AS person, count(*) AS n FROM w GROUP BY 1""")
 def person_keys(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "crm_contacts").groupBy(T.person_key(F.col("name")).alias("person")).agg(F.count("*").alias("n"))

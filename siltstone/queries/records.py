@@ -15,4 +15,31 @@ QUERIES = {
     "p7_found": lambda s, d: name_variants.pairs(table(s, d, "upload_names")),
     "p7_groups": lambda s, d: name_variants.groups(table(s, d, "upload_names")),
 }
-SQL: dict[str, str] = {}
+
+
+# SQL spellings of the canonical forms
+_CJK = r"[\p{Han}\p{Hiragana}\p{Katakana}]"
+
+
+def _words(x: str) -> str:
+    plain = rf"regexp_replace({x}, '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({plain}, '({_CJK}) ', '\1', 'g'), ' ({_CJK})', '\1', 'g'))"
+
+
+def _joined(parts: str) -> str:
+    return f"array_to_string(list_sort(list_filter(list_transform({parts}, lambda x: {_words('x')}), lambda x: x <> '')), chr(2))"
+
+
+_FOLDED = "lower(upper(replace(coalesce({0}, ''), 'ß', 'ss')))"
+_FRONT = f"split_part({_FOLDED.format('url')}, '#', 1)"
+_PARAMS = f"regexp_split_to_array(CASE WHEN contains({_FRONT}, '?') THEN substr({_FRONT}, instr({_FRONT}, '?') + 1) ELSE '' END, '[&;?]')"
+_URL = f"{_words(f'split_part({_FRONT}, {chr(39)}?{chr(39)}, 1)')} || chr(1) || {_joined(_PARAMS)}"
+_BARS = _FOLDED.format("title")
+for _ in range(2):
+    _BARS = rf"regexp_replace({_BARS}, '([\s\p{{Z}}])[-–—_/·]+([\s\p{{Z}}])', '\1|\2', 'g')"
+_CANON = f"SELECT DISTINCT source_id, {_URL} || chr(3) || {_joined(f'regexp_split_to_array({_BARS}, {chr(39)}[|¦•»]|::{chr(39)})')} AS c FROM gapfill_sources"
+
+SQL: dict[str, str] = {
+    "p3_found": f"SELECT first_id, source_id AS copy_id FROM (SELECT source_id, min(source_id) OVER (PARTITION BY c) AS first_id FROM ({_CANON})) WHERE source_id <> first_id",
+    "p3_records": f"SELECT min(source_id) AS source_id, count(*) AS n_copies FROM ({_CANON}) GROUP BY c",
+}

@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    own = spark.sparkContext.getConf().get("siltstone.own.dir", None) or _OWN.get(spark.sparkContext.applicationId)
+    own = _OWN.get(spark.sparkContext.applicationId)
     if not own:
         own = tempfile.mkdtemp(prefix="siltstone-")
         spark.sparkContext.setCheckpointDir(own)
@@ -35,7 +35,14 @@ _OWN: dict[str, str] = {}
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes this application's tables from the shared folder; results not yet written are lost."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

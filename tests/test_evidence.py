@@ -8,12 +8,12 @@ from siltstone.operators import evidence as E
 
 def test_identity_ladder(spark):
     acc = spark.createDataFrame(
-        [(1, "Manz AG", "", "manz.com", [], []), (2, "Skeqi", "思客琦", "", [], ["sneaker"]), (3, "Elite Battery Systems", "", "", ["ebs-x"], [])],
+        [(1, "Lenz AG", "", "lenz.com", [], []), (2, "Novek", "诺维克", "", [], ["sneaker"]), (3, "Elite Battery Systems", "", "", ["ebs-x"], [])],
         "account_id int, name string, name_cn string, domain string, aliases array<string>, collisions array<string>",
     )
     rows = [
-        (1, "x", "https://www.manz.com/a", "official domain"), (1, "Manz announces", "https://n.test/1", "name match without legal suffix (Manz)"), (1, "romanzo", "https://n.test/2", "no identity evidence"),
-        (1, "Manz AG wins", "https://n.test/3", "full-name match"), (2, "skeqi sneaker", "https://n.test/4", "unrelated entity (sneaker)"), (2, "思客琦 sneaker", "https://n.test/5", "chinese-name match"),
+        (1, "x", "https://www.lenz.com/a", "official domain"), (1, "Lenz announces", "https://n.test/1", "name match without legal suffix (Lenz)"), (1, "silenzio", "https://n.test/2", "no identity evidence"),
+        (1, "Lenz AG wins", "https://n.test/3", "full-name match"), (2, "novek sneaker", "https://n.test/4", "unrelated entity (sneaker)"), (2, "诺维克 sneaker", "https://n.test/5", "chinese-name match"),
         (3, "Battery systems for storage", "https://n.test/6", "no identity evidence"), (3, "Elite battery plant", "https://n.test/7", "name tokens (elite, battery)"), (3, "EBS-X line", "https://n.test/8", "alias match (ebs-x)"), (9, "who", "https://n.test/9", "no identity evidence"),
     ]
     hits = spark.createDataFrame([(a, t, u, "", e) for a, t, u, e in rows], "account_id int, title string, url string, site_name string, want string")

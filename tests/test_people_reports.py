@@ -31,8 +31,8 @@ def test_discovery(spark):
     words = ("laser", "welding", "systems", "provider", "unknown")
     df = spark.createDataFrame([("Bosch Rexroth", True), ("laser welding systems", False), ("Laser Welding", False), ("先导智能", True), ("x", False), (None, False), ("acme robotics inc", True)], "n string, want boolean")
     assert df.where(discovery.is_named_organisation(F.col("n"), words) != F.col("want")).count() == 0
-    rel = spark.createDataFrame([("Acme supplied Ford with lines", "CONFIRMED"), ("Acme reportedly supplied Ford", "STRONG_INDICATION"), ("Acme sells", "MARKET_ONLY"), (None, "MARKET_ONLY")], "t string, want string")
-    assert rel.where(discovery.relationship(F.col("t"), F.array(F.lit("Ford")), "suppl(y|ied)", "reportedly") != F.col("want")).count() == 0
+    rel = spark.createDataFrame([("Acme supplied Dorf with lines", "CONFIRMED"), ("Acme reportedly supplied Dorf", "STRONG_INDICATION"), ("Acme sells", "MARKET_ONLY"), (None, "MARKET_ONLY")], "t string, want string")
+    assert rel.where(discovery.relationship(F.col("t"), F.array(F.lit("Dorf")), "suppl(y|ied)", "reportedly") != F.col("want")).count() == 0
     rows = spark.createDataFrame([(1, 1, "Beta", True, True, True), (1, 2, "beta ", True, True, True), (1, 3, "Acme Inc", True, True, True), (1, 4, "TBD", True, True, True), (1, 5, "Gamma", True, False, True), (1, 6, "Delta", True, True, None), (1, 7, None, None, True, True)], "g int, seq int, name string, v boolean, c boolean, s boolean")
     g = discovery.guarded(rows, "g", own=F.array(F.lit("Acme")), valid=F.col("v"), cited=F.col("c"), supported=F.col("s"))
     assert {r.seq: r.drop_reason for r in g.collect()} == {1: None, 2: "duplicate", 3: "self", 4: "placeholder", 5: "uncited", 6: "unsupported", 7: "schema"}

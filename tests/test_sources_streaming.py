@@ -11,14 +11,14 @@ from siltstone.streaming import queue, sections
 
 
 def test_uploads(spark, tmp_path):
-    (tmp_path / "a.csv").write_bytes("Company,Website\n Acme ,acme.test\n,\nacme,x.test\n红旗,http://hq.test\n".encode("gb18030"))
+    (tmp_path / "a.csv").write_bytes("Company,Website\n Acme ,acme.test\n,\nacme,x.test\n蓝海,http://lh.test\n".encode("gb18030"))
     (tmp_path / "b.csv").write_bytes(b"\xef\xbb\xbffoo,bar\nBeta,https://beta.test/\nGamma,gamma.test\n")
     rows = uploads.read_csv_uploads(spark, str(tmp_path / "*.csv"))
     roles = uploads.column_roles(rows)
     r = {x.file.rsplit("/", 1)[1]: (x.name_col, x.site_col, x.ambiguous) for x in roles.collect()}
     assert r == {"a.csv": (0, 1, False), "b.csv": (0, 1, True)}
     got = {(x.company, x.website) for x in uploads.items(rows, roles).collect()}
-    assert got == {("Acme", "https://acme.test"), ("红旗", "http://hq.test"), ("Beta", "https://beta.test/"), ("Gamma", "https://gamma.test")}
+    assert got == {("Acme", "https://acme.test"), ("蓝海", "http://lh.test"), ("Beta", "https://beta.test/"), ("Gamma", "https://gamma.test")}
     b = spark.createDataFrame([("completed", "12", "x", "a.test"), ("odd", None, "1.5", None)], "item_status string, tokens string, latency string, website string")
     assert [(x.item_status, x.tokens, x.latency) for x in uploads.coerced(b, ("Pending", "Completed")).collect()] == [("Completed", 12, None), ("Pending", None, 1.5)]
 
@@ -107,3 +107,16 @@ def test_sections_stream(spark, tmp_path):
 def test_order(spark, how, want):
     df = spark.createDataFrame([("b", 1, 1), ("a", 2, None)], "company string, seq int, at int")
     assert [r.company for r in records.ordered(df, how).orderBy("place").collect()] == want
+
+
+def test_scratch_tables(spark):
+    import os
+
+    from siltstone import session
+
+    df = session.written(spark.range(3).toDF("id"), "t")
+    assert df.count() == 3 and df.columns == ["id"]
+    folder = f"{session.shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}"
+    assert os.path.isdir(folder)
+    session.clear(spark)
+    assert not os.path.exists(folder)

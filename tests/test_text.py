@@ -26,15 +26,15 @@ def test_html_to_text(spark):
 
 
 def test_names(spark):
-    assert one(spark, "Manz AG", T.core_name) == "Manz"
+    assert one(spark, "Lenz AG", T.core_name) == "Lenz"
     assert one(spark, "Acme Holding Co., Ltd.", T.core_name) == "Acme"
     assert one(spark, "AG", T.core_name) == "AG"
     assert one(spark, "Dr. Anna van Berg", T.person_key) == "anna berg"
     assert one(spark, "", T.person_key) == ""
     assert one(spark, "Acme 公司 & Sons!", T.org_key) == "acme公司sons"
-    r = one(spark, "Red Flag / 红旗", T.split_company)
-    assert (r.name, r.name_cn) == ("Red Flag", "红旗")
-    assert one(spark, "红旗", T.split_company).name_cn == "红旗"
+    r = one(spark, "Blue Sea / 蓝海", T.split_company)
+    assert (r.name, r.name_cn) == ("Blue Sea", "蓝海")
+    assert one(spark, "蓝海", T.split_company).name_cn == "蓝海"
     assert one(spark, "Director of Supply Chain", T.title_variants) == ["director of supply chain", "supply chain director"]
     assert one(spark, "Acme (NASDAQ: ACME)", T.explicit_ticker) == "ACME"
     assert one(spark, "Acme (USA)", T.explicit_ticker) is None
@@ -46,7 +46,7 @@ def test_names(spark):
 
 
 def test_mentions(spark):
-    rows = [("MANZ announces", "manz", True), ("romanzo", "manz", False), ("创企Verkor融资", "verkor", True), (None, "x", False), ("a", "", False), ("a.b+c", "b+c", True)]
+    rows = [("LENZ announces", "lenz", True), ("silenzio", "lenz", False), ("创企Voltera融资", "voltera", True), (None, "x", False), ("a", "", False), ("a.b+c", "b+c", True)]
     df = spark.createDataFrame(rows, "t string, w string, e boolean")
     assert df.where(T.mentions(F.col("t"), F.col("w")) != F.col("e")).count() == 0
 
@@ -76,5 +76,5 @@ def test_heading_side(spark):
 
 
 def test_aliases(spark):
-    df = spark.createDataFrame([("红旗", "https://www.hongqi-auto.com", "hongqi cars")], "n string, u string, r string")
-    assert df.select(T.aliases(F.col("n"), F.col("u"), F.col("r"), ("auto",)).alias("x")).first().x == ["hongqi"]
+    df = spark.createDataFrame([("蓝海", "https://www.lanhai-auto.com", "lanhai cars")], "n string, u string, r string")
+    assert df.select(T.aliases(F.col("n"), F.col("u"), F.col("r"), ("auto",)).alias("x")).first().x == ["lanhai"]
