@@ -154,7 +154,7 @@ class Model:
                 if back is not None and not lost(back) and not back.isascii() and self.likelier(back, text):
                     return c, back
         # with its case changed, or in part lost, it can still be what the classifier says
-        if lost(text) or s[best] > s[CLEAN] + 20.0 and _RUN.search(text):
+        if lost(text) or s[best] > s[CLEAN] + 20.0 and (_RUN.search(text) or _RARE.search(text)):
             return best, None
         return CLEAN, None
 
@@ -165,21 +165,31 @@ class Model:
 
     def recased(self, text: str) -> bool:
         """Whether a value whose letter case changed after it was garbled comes of a chain from UTF-8."""
-        for up in ("".join([_up(c) for c in text]), "".join([_up(c) if d > "\x7f" else c for c, d in zip(text, text[1:] + " ")])):
+        if text != text.lower():
+            return False
+        pairs = list(zip(text, text[1:] + " "))
+        for up in ("".join([_up(c, d) for c, d in pairs]), "".join([_up(c, d) if d > "\x7f" or c == "ÿ" else c for c, d in pairs])):
             if up != text and any((x := invert(up, STEPS[c - 1])) is not None and _USUAL.fullmatch(x) and not x.isascii() for c in _PROOF):
                 return True
         return False
 
 
-def _up(c: str) -> str:
+def _up(c: str, after: str) -> str:
+    """The capital that a letter of a garbled text was, if it was one."""
+    if c == "ÿ":
+        return "Ÿ"
+    if c == "â" and (after in "€‚„" or "\x80" <= after <= "\x9f"):
+        return c
     u = c.upper()
-    return u if c > "\x7f" and len(u) == 1 and c not in "µƒßÿªº" else c
+    return u if c > "\x7f" and len(u) == 1 and c not in "µƒßªº" else c
 
 
 #: Classes from UTF-8 over one byte a character.
 _PROOF = frozenset(i + 1 for i, s in enumerate(STEPS) if s[0][0] == "utf-8" and s[0][1] not in _WIDE)
 #: Letters of Western alphabets beyond ASCII stand among ASCII ones; runs of them are no language.
 _RUN = re.compile("[\x80-\u024f]{3,}")
+#: Nor does any that these tables hold use the further letters of Cyrillic.
+_RARE = re.compile("[\u0402-\u040f\u0452-\u045f]")
 #: Characters that names and addresses use.
 _USUAL = re.compile("[\x00-\x7f\xa0-\u017f\u0410-\u044f\u0401\u0451\u2010-\u2122\u3000-\u30ff\u4e00-\u9fff]*")
 _SPACED = re.compile(r"(?<=[^\x00-\x7f]) (?=[^\x00-\x7f]|$)")
@@ -192,7 +202,7 @@ def train(values: list[str]) -> Model:
     A value that some chain from UTF-8 restores, that lost characters, or with a run of letters that
     no language has, is taken as garbled already and left out.
     """
-    clean = [v for v in values if not lost(v) and not _RUN.search(v) and not any(invert(v, STEPS[c - 1]) for c in _PROOF)]
+    clean = [v for v in values if not lost(v) and not _RUN.search(v) and not _RARE.search(v) and not any(invert(v, STEPS[c - 1]) for c in _PROOF)]
     groups: list[list[str]] = [[*clean, *(v.lower() for v in clean), *(v.upper() for v in clean)]]
     for steps in STEPS:
         bad = [g for v in clean if not v.isascii() and (g := garble(v, steps))]
