@@ -234,3 +234,12 @@ def heading_side(text: Column, lang: Column) -> Column:
     parts = F.transform(F.split(text, " / "), stripped)
     han, latin = F.filter(parts, lambda p: p.rlike(CJK)), F.filter(parts, lambda p: ~p.rlike(CJK))
     return F.when((lang == "bilingual") | (F.size(han) == 0) | (F.size(latin) == 0), text).when(lang == "zh", F.array_join(han, " / ")).otherwise(F.array_join(latin, " / "))
+
+
+def local_name(text: Column, latin: Column) -> Column:
+    """The Han name of two to eight characters right behind a Latin one, or right before it; null if none."""
+    quoted = F.concat(F.lit("\\Q"), F.replace(latin, F.lit("\\E"), F.lit("")), F.lit("\\E"))
+    t = F.coalesce(text, F.lit(""))
+    after = F.regexp_substr(F.regexp_substr(t, F.concat(F.lit("(?i)"), quoted, F.lit("\\s*[（(]?\\s*[一-鿿]{2,8}"))), F.lit("[一-鿿]{2,8}$"))
+    before = F.regexp_substr(F.regexp_substr(t, F.concat(F.lit("(?i)[一-鿿]{2,8}\\s*[（(]?\\s*"), quoted)), F.lit("^[一-鿿]{2,8}"))
+    return F.when(latin != "", F.coalesce(after, before))
