@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import compaction, discovery, people, reports, rollups
+from siltstone.operators import compaction, discovery, people, reports, rollups, websites
 from siltstone.operators import evidence as E
-from siltstone.plans import pipeline
+from siltstone.plans import pipeline, planning
 from siltstone.session import table
 from siltstone.sources import records
 from siltstone.streaming import queue, sections
@@ -494,3 +494,41 @@ def extra_rollup(s: SparkSession, d: str) -> DataFrame:
 def extra_orders_by_nation(s: SparkSession, d: str) -> DataFrame:
     j = table(s, d, "orders").where("o_orderstatus = 'O'").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice")).cast("long").alias("total"))
+
+
+_PLAN = (("overview", "{name}  overview", False), ("site", "{name} products {domain}", False), ("again", "{name} OVERVIEW", False), ("finance", "{name} annual report", True))
+
+
+@query(r"""WITH a AS (SELECT item_id, any_value(company) AS name, any_value(website) AS domain, bool_or(item_status = 'Completed') AS listed FROM batch_items GROUP BY item_id),
+t(i, label, t, l) AS (VALUES (0, 'overview', '{name}  overview', false), (1, 'site', '{name} products {domain}', false), (2, 'again', '{name} OVERVIEW', false), (3, 'finance', '{name} annual report', true)),
+q AS (SELECT item_id, i, label, regexp_replace(regexp_replace(replace(replace(t, '{name}', coalesce(name, '')), '{domain}', coalesce(domain, '')), '[\s\p{Z}\x{85}\x{0b}]+', ' ', 'g'), '^ | $', '', 'g') AS query FROM a JOIN t ON NOT l OR listed),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id, lower(query) ORDER BY i) AS n FROM q WHERE query <> '') SELECT item_id AS account_id, row_number() OVER (PARTITION BY item_id ORDER BY i) AS position, label, query FROM o WHERE n = 1""")
+def query_plans(s: SparkSession, d: str) -> DataFrame:
+    b = table(s, d, "batch_items").groupBy(F.col("item_id").alias("account_id")).agg(F.first("company").alias("name"), F.lit("").alias("name_cn"), F.first("website").alias("domain"), F.bool_or(F.col("item_status") == "Completed").alias("is_listed"))
+    return planning.planned(b, _PLAN)
+
+
+@query("""WITH l AS (SELECT lower(replace(name, 'İ', 'i̇')) AS name, min(title) AS title, min(company) AS firm FROM crm_contacts WHERE name IS NOT NULL GROUP BY 1), r AS (SELECT lower(replace(name, 'İ', 'i̇')) AS name, min(title) AS title, min(organization_name) AS firm FROM directory_people WHERE name IS NOT NULL GROUP BY 1)
+SELECT name, coalesce(l.title, r.title) AS title, coalesce(r.firm, l.firm) AS firm FROM l FULL JOIN r USING (name)""")
+def merged_person_rows(s: SparkSession, d: str) -> DataFrame:
+    def side(name: str, firm: str) -> DataFrame:
+        return table(s, d, name).where("name is not null").groupBy(F.lower("name").alias("name")).agg(F.min("title").alias("title"), F.min(firm).alias("firm"))
+
+    return planning.merged_rows(side("crm_contacts", "company"), side("directory_people", "organization_name"), "name", ("title",))
+
+
+@query()
+def website_choice(s: SparkSession, d: str) -> DataFrame:
+    """The pages on which a firm's first word stands, as candidates for its website."""
+    firms = table(s, d, "batch_items").where("company is not null").groupBy(F.lower("company").alias("name")).agg(F.min("item_id").alias("account_id")).withColumn("w", F.get(T.name_tokens(T.core_name(F.col("name"))), 0)).where("length(w) >= 6")
+    pages = table(s, d, "fetched_pages").dropDuplicates(["page_id"]).select("page_id", "url", "title", F.col("page_text").alias("text"), F.explode(F.array_distinct(T.name_tokens(F.coalesce("title", F.lit(""))))).alias("w"))
+    c = pages.join(firms, "w").select("account_id", "name", F.lit("").alias("name_cn"), "url", "title", "text", F.col("text").isNotNull().alias("readable"), F.col("page_id").alias("seq"), F.lit("searched").alias("origin"))
+    return websites.resolved(websites.validated(c))
+
+
+@query(r"""WITH n AS (SELECT organization_name AS o, regexp_replace(coalesce(organization_name, ''), '^[ .,:;·、，]+|[ .,:;·、，]+$', '', 'g') AS c FROM directory_people), w AS (SELECT o, c, list_filter(regexp_split_to_array(lower(c), '[\s/&,\-]+'), lambda x: x <> '') AS ws, list_filter(regexp_split_to_array(c, '[\s/&,\-()]+'), lambda x: x <> '') AS raw FROM n)
+SELECT length(c) BETWEEN 2 AND 60 AND len(ws) > 0 AND len(list_filter(ws, lambda x: NOT list_contains(['automation', 'systems', 'laser', 'energy', 'storage'], x))) > 0 AND (regexp_matches(c, '[一-鿿]') OR len(list_filter(raw, lambda x: regexp_matches(x, '^\p{Lu}') AND NOT list_contains(['automation', 'systems', 'laser', 'energy', 'storage'], lower(x)) AND NOT list_contains(['automation', 'systems', 'laser', 'energy', 'storage'], regexp_replace(lower(x), 's+$', '')))) > 0
+ OR (len(ws) > 1 AND list_contains(['inc', 'corp', 'corporation', 'llc', 'ltd', 'gmbh', 'ag', 'group', 'company', 'co', 'plc', 'labs', 'works'], ws[-1]))) AS named, count(*) AS n FROM w GROUP BY 1""")
+def named_organisations(s: SparkSession, d: str) -> DataFrame:
+    named = discovery.is_named_organisation(F.col("organization_name"), ("automation", "systems", "laser", "energy", "storage"))
+    return table(s, d, "directory_people").groupBy(named.alias("named")).agg(F.count("*").alias("n"))
