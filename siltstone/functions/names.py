@@ -33,11 +33,11 @@ _TRADE_SHORT = {"pt": "powertrain", "sw": "software", "bldg": "building", "mach"
 # Legal forms, as (words, short name).
 _LEGAL_LONG = (
     ("gesellschaft mit beschrankter haftung", "gmbh"), ("gesellschaft mbh", "gmbh"), ("aktiengesellschaft", "ag"), ("aktiebolag", "ab"), ("incorporated", "inc"), ("corporation", "corp"), ("company", "co"),
-    ("limited", "ltd"), ("kabushiki kaisha", "kk"), ("anonim sirketi", "as"), ("spolka z o o", "spzoo"), ("spol s r o", "sro"), ("sp z o o", "spzoo"), ("s r o", "sro"), ("g m b h", "gmbh"), ("a g", "ag"), ("a b", "ab"),
-    ("s a s", "sas"), ("a s", "as"), ("s a", "sa"), ("k k", "kk"), ("o o o", "ooo"), ("l l c", "llc"), ("p l c", "plc"), ("limitada", "ltda"), ("societe anonyme", "sa"), ("sociedad anonima", "sa"),
-    ("public ltd co", "plc"), ("ltd liability co", "llc"), ("obshchestvo s ogranichennoy otvetstvennostyu", "ooo"),
+    ("limited", "ltd"), ("kabushiki kaisha", "kk"), ("anonim sirketi", "as"), ("spolka z o o", "spzoo"), ("spol s r o", "sro"), ("sp z o o", "spzoo"), ("sp zoo", "spzoo"), ("s r o", "sro"), ("g m b h", "gmbh"), ("a g", "ag"), ("a b", "ab"),
+    ("s a s", "sas"), ("a s", "as"), ("s a", "sa"), ("k k", "kk"), ("o o o", "llc"), ("ooo", "llc"), ("l l c", "llc"), ("p l c", "plc"), ("limitada", "ltda"), ("societe anonyme", "sa"), ("sociedad anonima", "sa"),
+    ("public ltd co", "plc"), ("ltd liability co", "llc"), ("obshchestvo s ogranichennoy otvetstvennostyu", "llc"),
 )
-LEGAL = frozenset("gmbh ag ab inc corp co ltd kk as spzoo sro sas sa ooo llc plc ltda kg und".split())
+LEGAL = frozenset("gmbh ag ab inc corp co ltd kk as spzoo sro sas sa llc plc ltda kg und".split())
 
 _EXTRA = {"ł": "l", "ø": "o", "ı": "i", "ß": "ss", "đ": "d", "æ": "ae", "ð": "d", "þ": "th", "œ": "oe"}
 
@@ -128,6 +128,11 @@ def person(name: str | None) -> tuple[str, str]:
     return a or long[0], long[-1]
 
 
+def _within(short: str, word: str) -> bool:
+    rest = iter(word)
+    return all(c in rest for c in short)
+
+
 @lru_cache(maxsize=50_000)
 def trade(token: str) -> str | None:
     """The trade word that a token is or shortens, or holds with one slip."""
@@ -143,6 +148,11 @@ def trade(token: str) -> str | None:
         starts = [t for t in TRADES if t.startswith(token)]
         if starts:
             return starts[0] if len(starts) == 1 else min(starts, key=len)
+    if 3 <= len(token) <= 5:
+        # letters of the word in order, its first and its last among them
+        kept = [t for t in TRADES if t[0] == token[0] and t[-1] == token[-1] and _within(token, t)]
+        if len(kept) == 1:
+            return kept[0]
     if len(token) >= 6:
         near = [t for t in TRADES if abs(len(t) - len(token)) <= 1 and edits(t, token) == 1]
         if near:

@@ -89,9 +89,9 @@ def test_person(name, want):
 
 
 @pytest.mark.parametrize("firm,city,want", [
-    ("Stolostule Therm. Syst. O.O.O.", None, ("stolostule", "systems thermal", "ooo", "")), ("AB Skoreputru Cells and Modules (Nordvåla)", None, ("skoreputru", "cells modules", "ab", "nordvala")),
+    ("Stolostule Therm. Syst. O.O.O.", None, ("stolostule", "systems thermal", "llc", "")), ("AB Skoreputru Cells and Modules (Nordvåla)", None, ("skoreputru", "cells modules", "ab", "nordvala")),
     ("TrovumezaDrive Technology", "Bo", ("trovumeza", "drive technology", "", "bo")), ("Brugaskuna, Wexcombe", None, ("brugaskuna", "", "", "wexcombe")), ("Göbä Power Elec. GmbH & Co. KG (GPE)", None, ("goba", "electronics power", "co gmbh kg", "")),
-    ("hegitabrelelectrodes", None, ("hegitabrel", "electrodes", "", "")), ("Suske mukran Batt. Ltd", None, ("suskemukran", "batteries", "ltd", "")), (None, None, ("", "", "", "")), ("GmbH", None, ("", "", "gmbh", "")),
+    ("hegitabrelelectrodes", None, ("hegitabrel", "electrodes", "", "")), ("Suske mukran Batt. Ltd", None, ("suskemukran", "batteries", "ltd", "")), ("Zeta Eqpt Ctrls Sp. zoo", None, ("zeta", "controls equipment", "spzoo", "")), (None, None, ("", "", "", "")), ("GmbH", None, ("", "", "gmbh", "")),
 ])
 def test_firm(firm, city, want):
     assert names.firm(firm, city) == want
