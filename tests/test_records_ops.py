@@ -212,12 +212,12 @@ def test_average_linkage():
 
 def test_linkage(spark):
     crm = [
-        (1, "Anna Berg", "CEO", "a.berg@acme.example", "https://l.example/in/anna-berg-1", "Acme Robotics GmbH"), (2, "Berg, Anna", None, None, None, "Acme Robotics"), (3, "Oskar Lund", "Buyer", "info@zeta.example", None, "Zeta Mobility AB"), (4, None, None, None, None, None), (5, "", "", "", "", ""), (6, "Kenji Sol", None, None, "https://l.example/in/kenji-sol", "Old Mobility AB"), (7, "Q" * 2000, None, None, None, "x"),
+        (1, "Anna Berg", "CEO", "a.berg@acme.example", "https://l.example/in/anna-berg-1", "Acme Robotics GmbH"), (2, "Berg, Anna", None, None, None, "Acme Robotics"), (3, "Oskar Lund", "Buyer", "info@zeta.example", None, "Zeta Mobility AB"), (4, None, None, None, None, None), (5, "", "", "", "", ""), (6, "Kenji Sol", None, None, "https://l.example/in/kenji-sol", "Old Mobility AB"), (7, "Q" * 2000, None, None, None, "x"), (8, "Kenji Berg", None, "berg@acme.example", None, "Acme Robotics GmbH"),
         (1, "Anna Berg", "CEO", "a.berg@acme.example", "https://l.example/in/anna-berg-1", "Acme Robotics GmbH"),
     ]
     ppl = [
         (10, "A. Berg", "Chief Executive", "mailto:A.Berg@mail.acme.example", None, "Acme Robotics GmbH"), (11, "Ana Berg", None, None, None, "Acme Robotics GmbH"), (12, "Thomas Berg", None, "t.berg@acme.example", None, "Acme Robotics GmbH"), (13, "Oskar Lund", None, "info@zeta.example", None, "Other Laser Inc"), (14, "Sigrid Moe", None, "info@zeta.example", None, "Zeta Mobility AB"),
-        (15, "K. Sol", None, None, "http://www.l.example/in/kenji-sol/?x=1", "New Laser Inc"), (16, "Kenji Sol", None, None, None, "New Laser Inc"), (17, None, None, None, "https://l.example/company/acme", None),
+        (18, "Zoë Berg", None, "berg@acme.example", None, "Acme Robotics GmbH"), (15, "K. Sol", None, None, "http://www.l.example/in/kenji-sol/?x=1", "New Laser Inc"), (16, "Kenji Sol", None, None, None, "New Laser Inc"), (17, None, None, None, "https://l.example/company/acme", None),
     ]
     schema = "title string, email string, linkedin_url string"
     c = odd(spark.createDataFrame(crm, f"crm_contact_id long, name string, {schema}, company string"))
