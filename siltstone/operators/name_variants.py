@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -161,6 +160,55 @@ _ITEM = ("first", "last", "stem", "trades", "legal", "city")
 _BLOCK = (*_ITEM, "field_name", "cs", "cl")
 
 
+def _table(xs: list, ys: list, f) -> np.ndarray:
+    """f(x, y) of every pair, worked out once for each two distinct values."""
+    ux, uy = {x: i for i, x in enumerate(dict.fromkeys(xs))}, {y: i for i, y in enumerate(dict.fromkeys(ys))}
+    m = np.array([[f(x, y) for y in uy] for x in ux], dtype=float).reshape(len(ux), len(uy))
+    return m[np.ix_([ux[x] for x in xs], [uy[y] for y in ys])]
+
+
+def _trades_apart(p: str, q: str) -> float:
+    a, b = set(p.split()), set(q.split())
+    return 0.0 if not p or not q or p == q else 0.1 if a <= b or b <= a else 2.0
+
+
+def _legal_apart(p: str, q: str) -> float:
+    a, b = set(p.split()), set(q.split())
+    return 0.0 if a <= b or b <= a else 1.0
+
+
+def _city_apart(p: str, q: str) -> float:
+    return float(bool(p and q and names.edits(p, q) > 2 and not p.startswith(q) and not q.startswith(p)))
+
+
+def distances(ps: list[tuple], qs: list[tuple], person: bool) -> np.ndarray:
+    """:func:`distance` of every p to every q, to the last bit."""
+    p, q = list(zip(*ps)), list(zip(*qs))
+    d = np.minimum(1.0, 0.1 * _table(p[2], q[2], names.edits))
+    d += _table(p[3], q[3], _trades_apart)
+    vague = _table(p[3], q[3], lambda x, y: not x or not y) > 0
+    legal, far = _table(p[4], q[4], _legal_apart) > 0, _table(p[5], q[5], _city_apart) > 0
+    d += np.where(vague, 0.12, 0.0) + np.where(legal & vague, 0.5, np.where(legal, 0.05, 0.0)) + np.where(far & vague, 0.5, np.where(far, 0.1, 0.0))
+    if person:
+        d += 0.1 * _table(p[1], q[1], names.edits) + _table(p[0], q[0], _first_distance)
+    return np.minimum(1.0, d)
+
+
+def _parts(near: np.ndarray) -> np.ndarray:
+    """The number of each item's part of a graph, which is the first item of the part."""
+    label = np.full(len(near), -1)
+    for i in range(len(near)):
+        if label[i] < 0:
+            label[i], front = i, np.array([i])
+            while len(front):
+                front = np.flatnonzero(near[front].any(axis=0) & (label < 0))
+                label[front] = i
+    return label
+
+
+_TILE = 256
+
+
 def _cluster(cut: float):
     def run(t: pa.Table) -> pa.Table:
         node = t.column("node").to_pylist()
@@ -170,35 +218,42 @@ def _cluster(cut: float):
         node = t.column("node").to_pylist()
         person = t.column("field_name")[0].as_py() == "name"
         items = list(zip(*(t.column(c).to_pylist() for c in _ITEM)))
-        d = np.zeros((len(items), len(items)))
-        for i in range(len(items)):
-            for j in range(i):
-                d[i, j] = d[j, i] = distance(items[i], items[j], person)
-        label = average_linkage(d, cut)
-        first: dict[int, int] = {}
-        for n, x in zip(node, label):
-            first.setdefault(x, n)
-        return t.select([*_BLOCK, "node"]).append_column("group_id", pa.array([first[x] for x in label], pa.int64()))
+        d = np.concatenate([distances(items[i : i + _TILE], items, person) for i in range(0, len(items), _TILE)])
+        # groups whose mean distance is within the cut have two members that are: no group spans two parts
+        part = _parts(d <= cut)
+        group = np.array(node)
+        for x in np.unique(part):
+            own = np.flatnonzero(part == x)
+            label = average_linkage(d[np.ix_(own, own)] if len(own) < len(items) else d, cut)
+            first: dict[int, int] = {}
+            for i, g in zip(own, label):
+                group[i] = first.setdefault(g, node[i])
+        return t.select([*_BLOCK, "node"]).append_column("group_id", pa.array(group, pa.int64()))
 
     return run
 
 
-def _nearest(cut: float):
-    def run(rest: pd.DataFrame, core: pd.DataFrame) -> pd.DataFrame:
-        groups: dict[int, list[tuple]] = {}
-        for g, *item in zip(core.group_id, *(core[c] for c in _ITEM)):
-            groups.setdefault(g, []).append(tuple(item))
-        out = []
-        for node, kind, *item in zip(rest.node, rest.field_name, *(rest[c] for c in _ITEM)):
-            best, at = cut, node
-            for g, members in groups.items():
-                # a look at one member tells most groups apart
-                if distance(tuple(item), members[0], kind == "name") < 1.0:
-                    mean = sum(distance(tuple(item), m, kind == "name") for m in members) / len(members)
-                    if mean <= best:
-                        best, at = mean, g
-            out.append((node, at))
-        return pd.DataFrame(out, columns=["node", "group_id"])
+def _near(cut: float):
+    """(a, b): links that join what the spellings of two chunks within the cut of each other join."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        person = t.column("field_name")[0].as_py() == "name"
+        node, chunk = t.column("node").to_pylist(), np.array(t.column("chunk"))
+        items = list(zip(*(t.column(c).to_pylist() for c in _ITEM)))
+        label = np.arange(len(node))
+        # of one chunk all pairs, of two those across
+        left, right = np.flatnonzero(chunk == chunk.min()), np.flatnonzero(chunk == chunk.max())
+        theirs = [items[j] for j in right]
+        for k in range(0, len(left), _TILE):
+            own = left[k : k + _TILE]
+            near = distances([items[i] for i in own], theirs, person) <= cut
+            for i, row in zip(own, near):
+                met = np.unique(label[right[row]])
+                if len(met) and not (len(met) == 1 and met[0] == label[i]):
+                    met = np.append(met, label[i])
+                    label[np.isin(label, met)] = met.min()
+        return pa.table({"a": pa.array([node[x] for x in label], pa.int64()), "b": pa.array(node, pa.int64())}).filter(pa.array(label != np.arange(len(node))))
 
     return run
 
@@ -208,9 +263,10 @@ def groups(rows: DataFrame, *, cut: float = 0.4, most: int = 1500) -> DataFrame:
     the same firm.
 
     Spellings are clustered once each, so many rows of one spelling cost nothing; a component holds
-    the spellings of like words alone. Of a component with more than ``most`` spellings the most
-    frequent ones are clustered by average linkage and the others, in chunks on many tasks, join the
-    group of theirs that is nearest by mean distance, or stay alone if none is near enough. A row delivered twice counts once. Rows with neither company
+    the spellings of like words alone. Average linkage joins no spellings that no chain of distances
+    within the cut connects, so each connected part is clustered by itself. The parts of a component
+    with more than ``most`` spellings are found by many tasks, each comparing two chunks of ``most``;
+    the groups are the same for any ``most``. A row delivered twice counts once. Rows with neither company
     nor name, and firms without a distinctive word, are groups of their own spelling.
     """
     cuts = written(parts(rows), "parts")
@@ -222,23 +278,26 @@ def groups(rows: DataFrame, *, cut: float = 0.4, most: int = 1500) -> DataFrame:
     def component(of: str, name: str) -> DataFrame:
         return comps.where(F.col("node").startswith(f"{of}:")).select(F.substring_index("node", ":", -1).alias(of), F.col("component").alias(name))
 
-    spelled = cuts.groupBy("field_name", "first", "last", "stem", "trades", "legal", "city").agg(F.min("upload_row_id").alias("node"), F.count("*").alias("rows"))
+    spelled = cuts.groupBy("field_name", "first", "last", "stem", "trades", "legal", "city").agg(F.min("upload_row_id").alias("node"))
     spelled = spelled.join(component("stem", "cs"), "stem", "left").join(component("last", "cl"), "last", "left")
     spelled = spelled.withColumn("cs", F.coalesce("cs", "stem")).withColumn("cl", F.when(F.col("field_name") == "name", F.coalesce("cl", "last")).otherwise(""))
 
     block = ["field_name", "cs", "cl"]
     sizes = spelled.groupBy(*block).agg(F.count("*").alias("n"))
-    ranked = written(spelled.join(sizes, block).withColumn("rank", F.when(F.col("n") > most, F.row_number().over(Window.partitionBy(*block).orderBy(F.desc("rows"), "node"))).otherwise(1)), "ranked")
+    spelled = written(spelled.join(sizes, block).withColumn("part", F.lit(0).cast("long")), "sized")
     # small rows, much work: a fixed number of partitions, which adaptive execution does not merge
     parts_ = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 12)
-    kept = ranked.where(F.col("rank") <= most).select(*_BLOCK, "node").repartition(parts_, *block)
-    core = written(kept.groupBy(*block).applyInArrow(_cluster(cut), f"{', '.join(f'{c} string' for c in _BLOCK)}, node long, group_id long"), "core")
-    # of a block with more spellings, the rest meet the clustered ones in chunks and join the nearest group
-    rest = ranked.where(F.col("rank") > most).withColumn("chunk", F.floor((F.col("rank") - 1) / most).cast("int"))
-    chunks = rest.select(*[F.col(c).alias(f"{c}_") for c in block], F.col("chunk").alias("chunk_")).distinct()
-    met = core.join(chunks, [F.col(c) == F.col(f"{c}_") for c in block]).drop(*block)
-    near = rest.groupBy(*block, "chunk").cogroup(met.groupBy(*[f"{c}_" for c in block], "chunk_")).applyInPandas(_nearest(cut), "node long, group_id long")
-    clustered = written(core.select("node", "group_id").unionByName(near), "clustered")
+    large = spelled.where(F.col("n") > most)
+    if not large.isEmpty():
+        chunks = F.ceil(F.col("n") / most).cast("int")
+        ranked = large.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*block).orderBy("node")) - 1) / most).cast("int")).withColumn("k", chunks)
+        # every two chunks of a block meet in one task
+        tiles = ranked.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("i", F.least("chunk", "o")).withColumn("j", F.greatest("chunk", "o"))
+        near = tiles.select(*_BLOCK, "node", "chunk", "i", "j").repartition(parts_ * 4, *block, "i", "j").groupBy(*block, "i", "j").applyInArrow(_near(cut), "a long, b long")
+        part = graphs.components(written(near, "near"), "a", "b").withColumnRenamed("component", "own")
+        spelled = written(spelled.join(part, "node", "left").withColumn("part", F.when(F.col("n") > most, F.coalesce("own", "node")).otherwise(F.col("part"))).drop("own"), "parted")
+    kept = spelled.select(*_BLOCK, "part", "node").repartition(parts_, *block, "part")
+    clustered = written(kept.groupBy(*block, "part").applyInArrow(_cluster(cut), f"{', '.join(f'{c} string' for c in _BLOCK)}, node long, group_id long").select("node", "group_id"), "clustered")
     keys = ["field_name", "first", "last", "stem", "trades", "legal", "city"]
     spelled_groups = written(spelled.select(*keys, "node").join(clustered, "node").drop("node"), "spelled")
     return cuts.join(spelled_groups, keys).select("field_name", "upload_row_id", "group_id")

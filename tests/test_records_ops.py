@@ -167,6 +167,25 @@ def test_name_variants(spark):
     assert g[1] == g[2] == g[3] and g[5] not in (g[1], g[2]) and g[8] != g[6] and len(g) == len({r[0] for r in VARIANTS + more if r[1] is not None or r[2] is not None})
 
 
+def test_distances_against_each_pair():
+    firms = ["Bedrabramos Electrodes Inc., Oberdorf", "Bedrabbramos Electrodes AG", "Bedrabramos GmbH, Kukrumouth", "Bedrabramos Electrodes Cells Inc.", "Bedrbrmos Mobility, Kukrumuth", "Zuma Laser Ltd", "GmbH", ""]
+    items = [(*names.person(n), *names.firm(f)) for f in firms for n in ("Anna Berg", "A. Berg", "Lena Bergg", "Magdalena Berg", "")]
+    for person in (False, True):
+        want = np.array([[name_variants.distance(p, q, person) for q in items] for p in items])
+        assert (name_variants.distances(items, items, person) == want).all()
+
+
+def test_rare_spellings_of_large_components_are_compared(spark):
+    """Two rare spellings beyond the most frequent ones are one firm, and the size of blocks changes no group."""
+    rows = [(i, "Bedrabramos Electrodes Inc.", None, None) for i in range(5)] + [(10 + i, "Bedrabramos Electrodes AG", None, None) for i in range(5)]
+    rows += [(20, "Bedrabramos Mobility Inc.", None, None), (21, "Bedrabrramos Mobility AB", None, None), (22, "Bedrabramos Mobility AB", None, None), (23, "Bedrabramos Laser", None, "Oberdorf"), (24, "Bedrabamos Laser", None, "Oberdorf"), (25, "Bedrabramos Cells", None, None)]
+    df = spark.createDataFrame(rows, "upload_row_id long, company string, name string, city string")
+    want = {r.upload_row_id: r.group_id for r in name_variants.groups(df).collect()}
+    assert want[20] == want[21] == want[22] and want[23] == want[24] and len({want[i] for i in (0, 20, 23, 25)}) == 4
+    for most in (1, 2, 3):
+        assert {r.upload_row_id: r.group_id for r in name_variants.groups(df, most=most).collect()} == want
+
+
 def test_similar_words_against_all_pairs(spark):
     rnd = random.Random(4)
     base = ["".join(rnd.choice(("ba", "kri", "so", "tre", "mu", "lan", "fi")) for _ in range(4)) for _ in range(60)]
