@@ -56,6 +56,44 @@ def parsed(rows: DataFrame, side: int, key: str, name: str, firm: str) -> DataFr
     return rows.select(key, name, firm, "title", "email", "linkedin_url").where(F.col(key).isNotNull()).mapInArrow(cut, _SCHEMA).dropDuplicates(["id"])
 
 
+def _deletions(w: str) -> set[str]:
+    """The word and what is left of it without one or two letters; words within two edits share one."""
+    if len(w) > 80:
+        return {w}
+    one = {w[:i] + w[i + 1 :] for i in range(len(w))}
+    return {w} | one | {v[:i] + v[i + 1 :] for v in one for i in range(len(v))}
+
+
+def _given_keys(first: str) -> tuple[set[str], set[str]]:
+    """(own, reach) of a given name: what one reaches another owns if they can be one person's."""
+    if not first:
+        return {"none", "any"}, {"any"}
+    if len(first) == 1:
+        return {f"initial {first}", f"as {first}", "any"}, {f"as {first}", "none"}
+    full = {f"full {v}" for g in (first, *names.SHARED.get(first, ())) for v in _deletions(g)}
+    return full | {f"as {first[0]}", "any"}, full | {f"initial {first[0]}", "none"}
+
+
+def _crowded(rows: DataFrame) -> DataFrame:
+    """(x, y, kind, w) of the nodes that bear a crowded key: pairs whose last names are within two edits,
+    and pairs whose given names can be one person's, for a mailbox only where a last name is missing."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for node, kind, key, w, first, last in zip(*(c.to_pylist() for c in b.columns)):
+                near = {f"last {v}" for v in _deletions(last)} if last else set()
+                own, reach = _given_keys(first)
+                reach = reach if kind == "profile" or not last else set()
+                out += [(node, kind, key, w, v, v in near or v in own, v in near or v in reach) for v in sorted(near | own | reach)]
+            cols = list(zip(*out)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.string(), pa.bool_(), pa.bool_()))], names=["node", "kind", "key", "w", "v", "own", "reach"])
+
+    subs = written(rows.select("node", "kind", "key", "w", "first", "last").mapInArrow(cut, "node long, kind string, key long, w double, v string, own boolean, reach boolean"), "crowded")
+    a, b = subs.where("reach").select(F.col("node").alias("p"), "kind", "key", "w", "v"), subs.where("own").select(F.col("node").alias("q"), "kind", "key", "v")
+    return a.join(b, ["kind", "key", "v"]).where("p != q").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "kind", "w").distinct()
+
+
 def _keys(nodes: DataFrame) -> DataFrame:
     """(node, kind, key): the attributes by which nodes may meet; kind groups keys that say the same."""
 
@@ -76,20 +114,32 @@ def _keys(nodes: DataFrame) -> DataFrame:
     return exact.unionByName(near_last).unionByName(near_firm).unionByName(mail).unionByName(link).unionByName(both)
 
 
+def strangers(nodes: DataFrame, crowd: int = 100) -> DataFrame:
+    """(node, mail, first, profile) of the nodes with a crowded mailbox; first only if a known given name."""
+    hot = nodes.where("mail != ''").groupBy("mail").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("mail")
+    return nodes.join(hot, "mail").select("node", "mail", F.when(F.col("first").isin(*names.GIVEN), F.col("first")).otherwise("").alias("first"), "profile")
+
+
 def candidates(nodes: DataFrame, prune: float = 0.15, crowd: int = 100) -> DataFrame:
     """(x, y, weight) with x < y: pairs of nodes that share an attribute, less those whose weight is
     under ``prune`` of the best edge of both their nodes.
 
-    A mailbox or profile that more than ``crowd`` differing records bear is no person's; among these it
-    counts only together with the last name, so that such a key forms no pairs of strangers.
+    Nodes with a key that more than ``crowd`` differing records bear meet by finer keys within it. These
+    reach every pair that the similarity accepts for a profile. A mailbox of so many is no person's; it
+    counts only together with last names within two edits, or with the given name where a last name is
+    missing, so that it forms no pairs of strangers.
     """
-    keys = written(_keys(nodes), "keys")
     total = nodes.count()
+    keys = written(_keys(nodes), "keys")
     # a key alone meets nobody; the more meet at a key, the less it says
-    size = keys.groupBy("kind", "key").agg(F.count("*").alias("n")).where(f"n > 1 and (n <= {crowd} or kind not in ('mail', 'profile'))").withColumn("w", F.log(1 + F.lit(total) / F.col("n")))
-    met = written(keys.join(size, ["kind", "key"]).select("node", "kind", "key", "w"), "met")
-    a, b = met.select(F.col("node").alias("x"), "kind", "key", "w"), met.select(F.col("node").alias("y"), "kind", "key")
-    edges = a.join(b, ["kind", "key"]).where("x < y").groupBy("x", "y", "kind").agg(F.max("w").alias("w")).groupBy("x", "y").agg(F.sum(F.col("w") * F.when(F.col("kind").isin("mail", "profile"), F.lit(3)).otherwise(1)).alias("weight"))
+    size = keys.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("w", F.log(1 + F.lit(total) / F.col("n")))
+    met = written(keys.join(size, ["kind", "key"]).withColumn("hot", (F.col("n") > crowd) & F.col("kind").isin("mail", "profile")).select("node", "kind", "key", "w", "hot"), "met")
+    few = met.where("not hot")
+    pairs = few.select(F.col("node").alias("x"), "kind", "key", "w").join(few.select(F.col("node").alias("y"), "kind", "key"), ["kind", "key"]).where("x < y").select("x", "y", "kind", "w")
+    crowds = met.where("hot")
+    if not crowds.isEmpty():
+        pairs = pairs.unionByName(_crowded(crowds.join(nodes, "node")))
+    edges = pairs.groupBy("x", "y", "kind").agg(F.max("w").alias("w")).groupBy("x", "y").agg(F.sum(F.col("w") * F.when(F.col("kind").isin("mail", "profile"), F.lit(3)).otherwise(1)).alias("weight"))
     edges = written(edges, "edges")
     best = edges.select(F.col("x").alias("node"), "weight").unionByName(edges.select(F.col("y").alias("node"), "weight")).groupBy("node").agg(F.max("weight").alias("best"))
     kept = edges.join(best.select(F.col("node").alias("x"), F.col("best").alias("bx")), "x").join(best.select(F.col("node").alias("y"), F.col("best").alias("by")), "y")
@@ -134,9 +184,10 @@ def scored(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.mapInArrow(score, "x long, y long, s double, barred boolean")
 
 
-def propagated(edges: DataFrame, *, keep: float = 0.65, decay: float = 0.97, rounds: int = 20) -> DataFrame:
+def propagated(edges: DataFrame, crowd: DataFrame | None = None, *, keep: float = 0.65, decay: float = 0.97, rounds: int = 20) -> DataFrame:
     """(x, y, s) with x < y: similarities after taking over what neighbours say: an edge is at least
-    ``decay`` times the weaker of two edges by way of a third node. Barred edges stay out. Stops when
+    ``decay`` times the weaker of two edges by way of a third node. Barred edges stay out, and so
+    do those that similarity bars between the ``crowd`` of one mailbox, which need not have met. Stops when
     no similarity changes; ``rounds`` is a guard that groups of rows of one person never reach."""
     barred = written(edges.where("barred").select("x", "y"), "barred")
     now = written(edges.where((F.col("s") >= keep) & ~F.col("barred")).select("x", "y", "s"), "similar")
@@ -144,6 +195,11 @@ def propagated(edges: DataFrame, *, keep: float = 0.65, decay: float = 0.97, rou
         both = now.unionByName(now.select(F.col("y").alias("x"), F.col("x").alias("y"), "s"))
         via = both.alias("a").join(both.alias("b"), F.col("a.x") == F.col("b.x")).where("a.y < b.y").select(F.col("a.y").alias("x"), F.col("b.y").alias("y"), (F.least("a.s", "b.s") * decay).alias("s"))
         via = via.where(F.col("s") >= keep).groupBy("x", "y").agg(F.max("s").alias("s")).join(barred, ["x", "y"], "left_anti")
+        if crowd is not None:
+            of = lambda n: crowd.select(F.col("node").alias(n), F.col("mail").alias(f"m{n}"), F.col("first").alias(f"f{n}"), F.col("profile").alias(f"p{n}"))
+            met = written(via, "via")
+            others = met.join(of("x"), "x").join(of("y"), "y").where("mx = my and ((px != '' and py != '' and px != py) or (fx != '' and fy != '' and fx != fy and (px != py or px = '')))")
+            via = met.join(others.select("x", "y"), ["x", "y"], "left_anti")
         new = now.withColumn("old", F.col("s")).unionByName(via.withColumn("old", F.lit(0.0))).groupBy("x", "y").agg(F.max("s").alias("s"), F.max("old").alias("old"))
         new = written(new, "similar")
         now = new.select("x", "y", "s")
@@ -164,7 +220,8 @@ def linked(contacts: DataFrame, people: DataFrame) -> DataFrame:
     same = ["first", "last", "stem", "trades", "title", "mail", "profile"]
     nodes = written(rows.groupBy(*same).agg(F.min(F.col("id") * 2 + F.col("side")).alias("node")), "nodes")
     member = written(rows.join(nodes, same).select("side", "id", "node"), "members")
-    links = propagated(written(scored(nodes, candidates(nodes)), "scored"))
+    crowd = written(strangers(nodes), "strangers")
+    links = propagated(written(scored(nodes, candidates(nodes)), "scored"), None if crowd.isEmpty() else crowd)
     known = nodes.where("(last != '' and stem != '') or mail != '' or profile != ''").select(F.col("node").alias("x"), F.col("node").alias("y"), F.lit(0.94).alias("s"))
     # an initial alone is no node's match with its own likes beyond this confidence
     links = links.unionByName(known)

@@ -160,11 +160,14 @@ _ITEM = ("first", "last", "stem", "trades", "legal", "city")
 _BLOCK = (*_ITEM, "field_name", "cs", "cl")
 
 
-def _table(xs: list, ys: list, f) -> np.ndarray:
-    """f(x, y) of every pair, worked out once for each two distinct values."""
+def _table(xs: tuple, ys: tuple, f) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """f of each two distinct values, f being symmetric, and where in it the xs and ys stand."""
     ux, uy = {x: i for i, x in enumerate(dict.fromkeys(xs))}, {y: i for i, y in enumerate(dict.fromkeys(ys))}
-    m = np.array([[f(x, y) for y in uy] for x in ux], dtype=float).reshape(len(ux), len(uy))
-    return m[np.ix_([ux[x] for x in xs], [uy[y] for y in ys])]
+    m = np.zeros((len(ux), len(uy)))
+    for x, i in ux.items():
+        for y, j in uy.items():
+            m[i, j] = m[j, i] if xs is ys and j < i else f(x, y)
+    return m, np.array([ux[x] for x in xs]), np.array([uy[y] for y in ys])
 
 
 def _trades_apart(p: str, q: str) -> float:
@@ -181,17 +184,29 @@ def _city_apart(p: str, q: str) -> float:
     return float(bool(p and q and names.edits(p, q) > 2 and not p.startswith(q) and not q.startswith(p)))
 
 
+_TILE = 256
+
+
 def distances(ps: list[tuple], qs: list[tuple], person: bool) -> np.ndarray:
     """:func:`distance` of every p to every q, to the last bit."""
-    p, q = list(zip(*ps)), list(zip(*qs))
-    d = np.minimum(1.0, 0.1 * _table(p[2], q[2], names.edits))
-    d += _table(p[3], q[3], _trades_apart)
-    vague = _table(p[3], q[3], lambda x, y: not x or not y) > 0
-    legal, far = _table(p[4], q[4], _legal_apart) > 0, _table(p[5], q[5], _city_apart) > 0
-    d += np.where(vague, 0.12, 0.0) + np.where(legal & vague, 0.5, np.where(legal, 0.05, 0.0)) + np.where(far & vague, 0.5, np.where(far, 0.1, 0.0))
+    p = list(zip(*ps))
+    q = p if ps is qs else list(zip(*qs))
+    of = {"stem": (2, names.edits), "trades": (3, _trades_apart), "vague": (3, lambda x, y: float(not x or not y)), "legal": (4, _legal_apart), "far": (5, _city_apart)}
     if person:
-        d += 0.1 * _table(p[1], q[1], names.edits) + _table(p[0], q[0], _first_distance)
-    return np.minimum(1.0, d)
+        of |= {"last": (1, names.edits), "first": (0, _first_distance)}
+    tables = {k: _table(p[c], q[c], f) for k, (c, f) in of.items()}
+    out = np.empty((len(ps), len(qs)))
+    # rows by rows, so that what is between takes little memory
+    for i in range(0, len(ps), _TILE):
+        v = {k: m[x[i : i + _TILE, None], y] for k, (m, x, y) in tables.items()}
+        vague, legal, far = v["vague"] > 0, v["legal"] > 0, v["far"] > 0
+        d = np.minimum(1.0, 0.1 * v["stem"]) + v["trades"]
+        d += np.where(vague, 0.12, 0.0) + np.where(legal & vague, 0.5, np.where(legal, 0.05, 0.0)) + np.where(far & vague, 0.5, np.where(far, 0.1, 0.0))
+        if person:
+            # added in the order of the plain distance
+            d = d + (0.1 * v["last"] + v["first"])
+        out[i : i + _TILE] = np.minimum(1.0, d)
+    return out
 
 
 def _parts(near: np.ndarray) -> np.ndarray:
@@ -206,9 +221,6 @@ def _parts(near: np.ndarray) -> np.ndarray:
     return label
 
 
-_TILE = 256
-
-
 def _cluster(cut: float):
     def run(t: pa.Table) -> pa.Table:
         node = t.column("node").to_pylist()
@@ -218,7 +230,7 @@ def _cluster(cut: float):
         node = t.column("node").to_pylist()
         person = t.column("field_name")[0].as_py() == "name"
         items = list(zip(*(t.column(c).to_pylist() for c in _ITEM)))
-        d = np.concatenate([distances(items[i : i + _TILE], items, person) for i in range(0, len(items), _TILE)])
+        d = distances(items, items, person)
         # groups whose mean distance is within the cut have two members that are: no group spans two parts
         part = _parts(d <= cut)
         group = np.array(node)
@@ -244,15 +256,12 @@ def _near(cut: float):
         label = np.arange(len(node))
         # of one chunk all pairs, of two those across
         left, right = np.flatnonzero(chunk == chunk.min()), np.flatnonzero(chunk == chunk.max())
-        theirs = [items[j] for j in right]
-        for k in range(0, len(left), _TILE):
-            own = left[k : k + _TILE]
-            near = distances([items[i] for i in own], theirs, person) <= cut
-            for i, row in zip(own, near):
-                met = np.unique(label[right[row]])
-                if len(met) and not (len(met) == 1 and met[0] == label[i]):
-                    met = np.append(met, label[i])
-                    label[np.isin(label, met)] = met.min()
+        near = distances([items[i] for i in left], [items[j] for j in right], person) <= cut
+        for i, row in zip(left, near):
+            met = np.unique(label[right[row]])
+            if len(met) and not (len(met) == 1 and met[0] == label[i]):
+                met = np.append(met, label[i])
+                label[np.isin(label, met)] = met.min()
         return pa.table({"a": pa.array([node[x] for x in label], pa.int64()), "b": pa.array(node, pa.int64())}).filter(pa.array(label != np.arange(len(node))))
 
     return run

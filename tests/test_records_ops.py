@@ -257,6 +257,18 @@ def test_crowded_mailbox(spark):
     assert {(r.crm_contact_id, r.person_id) for r in entity_linkage.linked(c, p).collect()} == {(i, i) for i in range(5)}
 
 
+def test_crowded_profile_and_mailbox_keep_their_person(spark):
+    """Rows that meet by a crowded key alone are linked: another firm, no firm, no last name, slips in the last name."""
+    schema = "title string, email string, linkedin_url string"
+    url = "https://l.example/in/anna-berg"
+    rows = [(i, "Anna Berglund", f"Title {i}", None, url, "Acme Robotics GmbH") for i in range(120)] + [(200 + i, "Oskar Vugradsen", f"Title {i}", "all@one.example", None, "Zeta Laser Inc") for i in range(120)]
+    c = spark.createDataFrame(rows, f"crm_contact_id long, name string, {schema}, company string")
+    ppl = [(1, "A. Beglnd", None, None, url, "Otherfirm Mobility AB"), (2, "Anna Moe", None, None, url, None), (3, None, None, None, url, None), (4, "Oskar Vugradsn", None, "all@one.example", None, None), (5, "O.", None, "all@one.example", None, None), (6, "Sigrid Vugradsen", None, "all@one.example", None, "Zeta Laser Inc"), (7, "Nadia Terej", None, "all@one.example", None, None)]
+    p = spark.createDataFrame(ppl, f"person_id long, name string, {schema}, organization_name string")
+    got = {(r.crm_contact_id, r.person_id) for r in entity_linkage.linked(c, p).collect()}
+    assert got == {(i, n) for i in range(120) for n in (1, 2, 3)} | {(200 + i, n) for i in range(120) for n in (4, 5)}
+
+
 def test_no_ref_to_llm():
     """The core imports nothing of the text operators."""
     from pathlib import Path
