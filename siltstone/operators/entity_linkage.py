@@ -1,8 +1,8 @@
 """Persons of two tables without a common id, matched with a confidence.
 
 Method: collective graph linkage. Records of both tables are nodes; they become candidates for
-each other by rare shared attributes: a personal profile, a personal mailbox, last name and firm,
-either also with one letter missing. An edge weighs as much as the attributes it rests on are
+each other by rare shared attributes: a personal profile, a personal mailbox, or last name and firm,
+each within two edits. An edge weighs as much as the attributes it rests on are
 rare, and meta-blocking prunes those that are weak beside the best of both their nodes. A similarity of all attributes is
 then refined over the graph: an edge takes over what two neighbouring edges say together, until
 nothing changes, so that a record without own evidence is matched through another of the same
@@ -64,6 +64,45 @@ def _deletions(w: str) -> set[str]:
     return {w} | one | {v[:i] + v[i + 1 :] for v in one for i in range(len(v))}
 
 
+def near_words(words: DataFrame) -> DataFrame:
+    """(a, b): the distinct words (w) within two edits of each other, both ways round and each with itself."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in batch.column("w").to_pylist():
+                v = sorted(_deletions(w))
+                yield pa.RecordBatch.from_arrays([pa.array([w] * len(v), pa.string()), pa.array(v, pa.string())], names=["w", "v"])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([names.edits(a, b) <= 2 for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())], pa.bool_()))
+
+    keys = written(words.mapInArrow(cut, "w string, v string").select("w", F.xxhash64("v").alias("v")), "deletions")
+    met = keys.alias("p").join(keys.alias("q"), "v").where("p.w < q.w and abs(length(p.w) - length(q.w)) <= 2").select(F.col("p.w").alias("a"), F.col("q.w").alias("b")).distinct()
+    met = met.withColumn("e", F.levenshtein("a", "b"))
+    # a swap counts as one edit, so only words of swapped letters need the other measure
+    swapped = met.where("(e = 3 and abs(length(a) - length(b)) <= 1) or (e = 4 and array_sort(split(a, '')) = array_sort(split(b, '')))").select("a", "b").mapInArrow(close, "a string, b string")
+    found = written(met.where("e <= 2").select("a", "b").unionByName(swapped), "near")
+    return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(words.select(F.col("w").alias("a"), F.col("w").alias("b")))
+
+
+def _named(nodes: DataFrame, total: int) -> DataFrame:
+    """(x, y, kind, w): nodes whose last names and whose firms are within two edits of each other."""
+    named = nodes.where("last != '' and stem != '' and length(last) > 1").select("node", "last", "stem")
+    combos = written(named.groupBy("last", "stem").agg(F.count("*").alias("n"), F.min("node").alias("c")), "combos")
+    lasts = near_words(combos.select(F.col("last").alias("w")).distinct())
+    stems = near_words(combos.select(F.col("stem").alias("w")).distinct())
+    # one side takes on the near firms, the other the near last names: they meet at the first's name and the second's firm
+    left = combos.join(stems.withColumnRenamed("a", "stem"), "stem").select("last", F.col("b").alias("stem"), F.col("c").alias("cx"), F.col("n").alias("nx"))
+    right = combos.join(lasts.withColumnRenamed("a", "last"), "last").select(F.col("b").alias("last"), "stem", F.col("c").alias("cy"), F.col("n").alias("ny"))
+    met = written(left.join(right, ["last", "stem"]).where("cx <= cy").select("cx", "cy", F.when(F.col("cx") == F.col("cy"), F.col("nx")).otherwise(F.col("nx") + F.col("ny")).alias("n")), "met")
+    of = written(named.join(combos, ["last", "stem"]).select("node", "c"), "of")
+    both = met.join(of.select(F.col("c").alias("cx"), F.col("node").alias("p")), "cx").join(of.select(F.col("c").alias("cy"), F.col("node").alias("q")), "cy").where("cx != cy or p < q")
+    # name and firm alike to the letter say as much as three ways in which they are near
+    w = F.log(1 + F.lit(total) / F.col("n")) * F.when(F.col("cx") == F.col("cy"), F.lit(3)).otherwise(1)
+    return both.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), F.lit("name").alias("kind"), w.alias("w"))
+
+
 def _given_keys(first: str) -> tuple[set[str], set[str]]:
     """(own, reach) of a given name: what one reaches another owns if they can be one person's."""
     if not first:
@@ -95,23 +134,12 @@ def _crowded(rows: DataFrame) -> DataFrame:
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
-    """(node, kind, key): the attributes by which nodes may meet; kind groups keys that say the same."""
-
-    def without(c: str):
-        # the word itself and the word without each of its letters
-        n = F.length(c)
-        all_ = F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, n)))))
-        return F.when(n <= 80, all_).otherwise(F.array(c))
-
-    named = nodes.where("last != '' and stem != '' and length(last) > 1")
+    """(node, kind, key): the mailbox and the profile by which nodes may meet."""
     h = F.xxhash64
-    exact = named.select("node", F.lit("name").alias("kind"), h(F.lit("n"), "last", "stem").alias("key"))
-    near_last = named.select("node", F.lit("last").alias("kind"), F.explode(F.transform(without("last"), lambda v: h(F.lit("l"), v, F.col("stem")))).alias("key"))
-    near_firm = named.select("node", F.lit("firm").alias("kind"), F.explode(F.transform(without("stem"), lambda v: h(F.lit("f"), F.col("last"), v))).alias("key"))
     mail = nodes.where("mail != ''").select("node", F.lit("mail").alias("kind"), h(F.lit("m"), "mail").alias("key"))
     link = nodes.where("profile != ''").select("node", F.lit("profile").alias("kind"), h(F.lit("p"), "profile").alias("key"))
     both = nodes.where("mail != '' and last != ''").select("node", F.lit("box").alias("kind"), h(F.lit("b"), "mail", "last").alias("key"))
-    return exact.unionByName(near_last).unionByName(near_firm).unionByName(mail).unionByName(link).unionByName(both)
+    return mail.unionByName(link).unionByName(both)
 
 
 def strangers(nodes: DataFrame, crowd: int = 100) -> DataFrame:
@@ -133,13 +161,13 @@ def candidates(nodes: DataFrame, prune: float = 0.15, crowd: int = 100) -> DataF
     keys = written(_keys(nodes), "keys")
     # a key alone meets nobody; the more meet at a key, the less it says
     size = keys.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("w", F.log(1 + F.lit(total) / F.col("n")))
-    met = written(keys.join(size, ["kind", "key"]).withColumn("hot", (F.col("n") > crowd) & F.col("kind").isin("mail", "profile")).select("node", "kind", "key", "w", "hot"), "met")
+    met = written(keys.join(size, ["kind", "key"]).withColumn("hot", (F.col("n") > crowd) & (F.col("kind") != "box")).select("node", "kind", "key", "w", "hot"), "met")
     few = met.where("not hot")
     pairs = few.select(F.col("node").alias("x"), "kind", "key", "w").join(few.select(F.col("node").alias("y"), "kind", "key"), ["kind", "key"]).where("x < y").select("x", "y", "kind", "w")
     crowds = met.where("hot")
     if not crowds.isEmpty():
         pairs = pairs.unionByName(_crowded(crowds.join(nodes, "node")))
-    edges = pairs.groupBy("x", "y", "kind").agg(F.max("w").alias("w")).groupBy("x", "y").agg(F.sum(F.col("w") * F.when(F.col("kind").isin("mail", "profile"), F.lit(3)).otherwise(1)).alias("weight"))
+    edges = pairs.unionByName(_named(nodes, total)).groupBy("x", "y", "kind").agg(F.max("w").alias("w")).groupBy("x", "y").agg(F.sum(F.col("w") * F.when(F.col("kind").isin("mail", "profile"), F.lit(3)).otherwise(1)).alias("weight"))
     edges = written(edges, "edges")
     best = edges.select(F.col("x").alias("node"), "weight").unionByName(edges.select(F.col("y").alias("node"), "weight")).groupBy("node").agg(F.max("weight").alias("best"))
     kept = edges.join(best.select(F.col("node").alias("x"), F.col("best").alias("bx")), "x").join(best.select(F.col("node").alias("y"), F.col("best").alias("by")), "y")

@@ -269,6 +269,22 @@ def test_crowded_profile_and_mailbox_keep_their_person(spark):
     assert got == {(i, n) for i in range(120) for n in (1, 2, 3)} | {(200 + i, n) for i in range(120) for n in (4, 5)}
 
 
+def test_near_words_against_all_pairs(spark):
+    rnd = random.Random(6)
+    words = {"".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 7))) for _ in range(150)} | {"x" * 80, "x" * 79, "x" * 81, "bacd", "badc"}
+    got = [(r.a, r.b) for r in entity_linkage.near_words(spark.createDataFrame([(w,) for w in sorted(words)], "w string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in words for b in words if names.edits(a, b) <= 2}
+
+
+def test_slips_in_both_name_and_firm(spark):
+    schema = "title string, email string, linkedin_url string"
+    crm = [(1, "Oskar Degrunaenko", None, None, None, "Nepugusx Test Equipment AB"), (2, "Anna Terejavel", None, None, None, "Soskayresil Laser Inc"), (3, "Oskar Lund", None, None, None, "Zeta Mobility AB")]
+    ppl = [(1, "Oskar J. Degrunanko", None, None, None, "Nepugusåx Test Equipment AB"), (2, "Anna Terjavle", None, None, None, "Soskayrsli Laser Inc"), (3, "Oskar Berg", None, None, None, "Zeta Mobility AB"), (4, "Oskar Lund", None, None, None, "Kobriletun Mobility AB")]
+    c = spark.createDataFrame(crm, f"crm_contact_id long, name string, {schema}, company string")
+    p = spark.createDataFrame(ppl, f"person_id long, name string, {schema}, organization_name string")
+    assert {(r.crm_contact_id, r.person_id) for r in entity_linkage.linked(c, p).collect()} == {(1, 1), (2, 2)}
+
+
 def test_no_ref_to_llm():
     """The core imports nothing of the text operators."""
     from pathlib import Path
