@@ -107,3 +107,16 @@ def test_category_rank_and_empty(spark):
 def test_region(spark):
     df = spark.createDataFrame([("Title", "Body text\n© 2024 Acme Ltd all\nmore")], "t string, x string")
     assert "© 2024 acme ltd all" in df.select(T.identity_region(F.col("t"), F.col("x"), 4).alias("r")).first().r
+
+
+def test_pipeline_takes_every_firm(spark, tmp_path):
+    """Firms that share their first word, have a short, accented or Cyrillic one, or are met by a later word alone."""
+    from siltstone.queries import evidence as Q
+
+    firms = ["Kobri Letun Ltd", "Kobri Sokar Ltd", "Abc GmbH", "Ålands Ostravyane AB", "ООО «Гопоренен»", "华丰"]
+    titles = ["The plant of Letun", "Sokar opens", "News of Abc", "Ostravyane at work", "Завод ооо «гопоренен» сегодня", "华丰 grows"]
+    spark.createDataFrame(list(enumerate(firms)), "item_id long, company string").write.parquet(f"{tmp_path}/batch_items.parquet")
+    spark.createDataFrame([(i, f"https://n{i}.example/a", x, None, i) for i, x in enumerate(titles)], "source_id long, url string, title string, site_name string, source_index int").write.parquet(f"{tmp_path}/gapfill_sources.parquet")
+    spark.createDataFrame([], "page_id long, url string, page_text string").write.parquet(f"{tmp_path}/fetched_pages.parquet")
+    got = {(r.account_id, r.url_key) for r in Q.evidence_pipeline(spark, str(tmp_path)).collect()}
+    assert {a for a, _ in got} == set(range(len(firms))) and len(got) == len(firms)
