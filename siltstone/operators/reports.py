@@ -135,7 +135,7 @@ def table_cells(rows: DataFrame, key: str, heading: str) -> DataFrame:
     c = c.withColumn("cells", cells).withColumn("row_no", F.row_number().over(Window.partitionBy(key, "section_no", "block").orderBy("line_no")) - 1)
     head = c.where("row_no = 0").select(key, "section_no", "block", F.transform("cells", F.lower).alias("header"))
     j = c.where("row_no > 0").join(head, [key, "section_no", "block"])
-    pairs = F.filter(F.arrays_zip(F.slice("header", 1, 100).alias("h"), F.slice("cells", 1, 100).alias("c")), lambda z: z["h"].isNotNull())
+    pairs = F.filter(F.arrays_zip(F.col("header").alias("h"), F.col("cells").alias("c")), lambda z: z["h"].isNotNull())
     return j.select(key, "section_no", "block", "row_no", F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda z: z["h"])), lambda h: F.struct(h, F.get(F.filter(pairs, lambda z: z["h"] == h), 0)["c"]))).alias("cells"))
 
 

@@ -112,3 +112,10 @@ def test_rollups(spark):
     assert lad.first == ["u1"] and lad.first_used and lad.second == [] and not lad.second_used
     ex = rollups.existing_reports(spark.createDataFrame([(1, 2, 10, "m", 4), (1, 1, None, "n", 9)], "k int, version int, tokens int, model string, n_sources int"), "k").first()
     assert (ex.version, ex.tokens, ex.labels, ex.limited_sources) == (1, 10, "m, n", True)
+
+
+def test_table_cells_beyond_a_hundred_columns(spark):
+    rows = ["## People", "| " + " | ".join(f"h{i}" for i in range(130)) + " |", "|" + "---|" * 130, "| " + " | ".join(f"c{i}" for i in range(130)) + " |"]
+    df = spark.createDataFrame([(1, "\n".join(rows))], "id int, report string")
+    cells = reports.table_cells(reports.lines(df, "id", "report"), "id", "people").collect()
+    assert len(cells) == 1 and cells[0].cells == {f"h{i}": f"c{i}" for i in range(130)}
