@@ -60,6 +60,8 @@ for _ in range(2):
 _CANON = f"SELECT DISTINCT source_id, {_URL} || chr(3) || {_joined(f'regexp_split_to_array({_BARS}, {chr(39)}[|¦•»]|::{chr(39)})')} AS c FROM gapfill_sources"
 
 SQL: dict[str, str] = {
+    "p5_found": reference_list.brute_force_sql(),
+    "p5_unmatched": reference_list.brute_force_sql(report=True),
     "p3_found": f"SELECT first_id, source_id AS copy_id FROM (SELECT source_id, min(source_id) OVER (PARTITION BY c) AS first_id FROM ({_CANON})) WHERE source_id <> first_id",
     "p3_records": f"SELECT min(source_id) AS source_id, count(*) AS n_copies FROM ({_CANON}) GROUP BY c",
 }

@@ -90,14 +90,27 @@ def test_reference_list(spark):
     assert rep[("title", "beekeeper")] == 1 and ("title", "CEO") not in rep
 
 
+def test_another_list_gives_its_own_ids_only(spark):
+    """Wordings go with the text of an entry: nothing maps to an id that is not in the list, or that stands at a place."""
+    t = spark.createDataFrame([(1, "Plumber"), (2, "Night Porter"), (71, "Head of Quality"), (72, "Chief Marketing Officer"), (None, "Buyer"), (73, None)], "ref_id long, title string")
+    d = spark.createDataFrame([(1, "Choir"), (9, "Marketing")], "ref_id long, department string")
+    long = "Keeper of " + "very " * 40 + "old clocks"
+    t = t.unionByName(spark.createDataFrame([(74, long)], t.schema))
+    want = {"CEO": 0, "采购员": 0, "Werkleiter": 0, "Buyer": 0, "plumbr": 1, "Porter, Night": 2, "Qualitätsleiterin": 71, "质量主管": 71, "CMO": 72, "首席市场官": 72, "Qlty Head": 71, long: 74, long.replace("old", "odl"): 74}
+    rows = [(i, v, None) for i, v in enumerate(want)] + [(50, None, "Finanzen"), (51, None, "Mktg dept."), (52, None, "市场部")]
+    got = {(r.crm_contact_id, r.field_name): r.ref_id for r in reference_list.mapped(spark.createDataFrame(rows, "crm_contact_id long, title string, department string"), t, d, hot=1).collect()}
+    assert got == {(i, "title"): e for i, e in enumerate(want.values())} | {(50, "department"): 0, (51, "department"): 9, (52, "department"): 9}
+    assert {r.ref_id for r in reference_list.mapped(spark.createDataFrame(rows, "crm_contact_id long, title string, department string"), t.limit(0), d.limit(0)).collect()} == {0}
+    mine = reference_list.mapped(spark.createDataFrame([(1, "Rohrleger", None)], "crm_contact_id long, title string, department string"), t, d, title_words={"plumber": "rohrleger"})
+    assert mine.first().ref_id == 1
+
+
 def test_pigeonhole_finds_all_near_strings(spark):
     """Every value within k edits of a wording is found: against all pairs."""
     rnd = random.Random(5)
-    t, d = lists(spark)
-    reference_list.mapped(spark.createDataFrame([], "crm_contact_id long, title string, department string"), t, d)
-    forms = spark.table("siltstone_forms").collect()
+    forms = reference_list.wordings(*lists(spark)).cache()
     values = set()
-    for f in rnd.sample(forms, 25):
+    for f in rnd.sample(sorted(forms.collect(), key=str), 25):
         for _ in range(12):
             w = list(f.form)
             for _ in range(rnd.randint(1, 3)):
@@ -105,9 +118,9 @@ def test_pigeonhole_finds_all_near_strings(spark):
                 op = rnd.randint(0, 2)
                 w[i : i + (op > 0)] = [] if op == 1 else rnd.choice("abcdeimnrst ")
             values.add((f.field_name, "".join(w)))
-    spark.createDataFrame(sorted(values), "field_name string, value string").createOrReplaceTempView("siltstone_values")
-    got = {(r.field_name, r.value) for r in spark.sql(reference_list.MATCH_SQL).collect()}
-    pairs = spark.table("siltstone_values").crossJoin(spark.table("siltstone_forms").withColumnRenamed("field_name", "f")).where("field_name = f").withColumn("d", F.levenshtein("value", "form"))
+    asked = spark.createDataFrame(sorted(values), "field_name string, value string")
+    got = {(r.field_name, r.value) for r in reference_list.nearest(asked, forms).collect()}
+    pairs = asked.join(forms.withColumnRenamed("field_name", "f"), F.col("field_name") == F.col("f")).withColumn("d", F.levenshtein("value", "form"))
     ok = pairs.where("d = 0 or (length(form) >= 5 and not form rlike '[一-鿿]' and (d = 1 or (d = 2 and (length(form) >= 9 or array_sort(split(value, '')) = array_sort(split(form, '')))) or (d = 3 and length(form) >= 13 and size(split(value, ' ')) = size(split(form, ' ')))))")
     ok = ok.where("d <= k and not (value rlike '^(pa|assistant|secretary|office|trainee|driver|chauffeur|sekretariat) ')")
     assert got == {(r.field_name, r.value) for r in ok.select("field_name", "value").distinct().collect()}
