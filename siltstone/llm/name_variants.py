@@ -1,320 +1,328 @@
 """Variant spellings of firms and persons, linked into groups.
 
-Method: names are cut into parts (``llm.names``). The distinctive words, a firm's own word
-and a person's last name, become vectors of character n-grams weighted by rarity; a distributed
-sparse cosine join finds words that are alike. It is exact above its threshold: by ascending
-frequency, the n-grams before the rest of a vector gets too short to reach the threshold are
-joined, and candidates are verified by their full cosine and an edit distance. Within the
-components of like words, average-linkage clustering over the distinct spellings forms the groups,
-where differing trades, given names or firms keep apart.
+Method: a name becomes one weighted vector of several blocks: the character n-grams of a firm's
+distinctive word and of a last name (weighted by rarity, up to a bound that makes the weights the same
+at any size), and whole words for what many names share (words of trade, given names, legal forms), as
+the table itself teaches (:func:`siltstone.llm.names.learn`). A distributed sparse join finds the names
+whose heavy blocks have a cosine above a threshold; the similarity of two names is the cosine of
+these vectors over the blocks that both have. In the components that it joins above
+the cut, average-linkage clustering over the sparse similarities forms the groups (pairs that the join
+did not bring together count as 0).
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import graphs
 from siltstone.llm import names
 from siltstone.session import written
 
-_PARTS = "upload_row_id long, field_name string, first string, last string, stem string, trades string, legal string, city string"
+ITEM = ("field_name", "first", "last", "stem", "trades", "legal", "city")
+#: What the distinctive words of a name agree in counts as far as the other blocks agree too: by kind of
+#: name, the weights of these, 1 being that of the distinctive word itself; and the cut from which names mean the same.
+FIRM_WEIGHTS = {"trades": 1.4, "legal": 0.5, "city": 0.8}
+PERSON_WEIGHTS = {"first": 2.0, "stem": 1.0, "trades": 0.1, "legal": 0.05, "city": 0.2}
+CUT = 0.44
+#: An n-gram in fewer than one word in so many weighs no more than one in so many.
+RARE = 500
 
 
-def parts(rows: DataFrame) -> DataFrame:
-    """The parts of each row's name; rows that name a person have field_name 'name'."""
+def _squeezed(w: str) -> str:
+    """A word without the e that stands for the marks of a vowel."""
+    return re.sub("(?<=[aou])e", "", w)
+
+
+def grams(w: str) -> list[str]:
+    """The distinct 2- and 3-grams of a word with its ends marked."""
+    p = f"^{_squeezed(w)}$"
+    return sorted({p[i : i + n] for n in (2, 3) for i in range(len(p) - n + 1)})
+
+
+class Vectors:
+    """Cosines of the n-gram vectors of words; ``weights`` has the frequent n-grams only."""
+
+    def __init__(self, weights: dict[str, float], other: float):
+        self.weights, self.other = weights, other
+        self.memo: dict[str, tuple[dict[str, float], float]] = {}
+
+    def of(self, w: str) -> tuple[dict[str, float], float]:
+        hit = self.memo.get(w)
+        if hit is None:
+            if len(self.memo) > 50_000:
+                self.memo.clear()
+            v = {g: self.weights.get(g, self.other) for g in grams(w)}
+            hit = self.memo[w] = v, math.sqrt(sum(v.values()))
+        return hit
+
+    def cosine(self, a: str, b: str) -> float:
+        if a == b:
+            return 1.0
+        (va, na), (vb, nb) = self.of(a), self.of(b)
+        return sum(va[g] for g in va.keys() & vb.keys()) / (na * nb)
+
+    def keys(self, w: str) -> np.ndarray:
+        """Two 3-grams at a time, one of them of the rarer ones, as numbers: words of a cosine over the
+        threshold share one. Words of up to five letters have single 3-grams too."""
+        v, _ = self.of(w)
+        tri = sorted((g for g in v if len(g) == 3), key=lambda g: (-v[g], g))
+        code = np.array([_number(g) for g in tri], dtype=np.uint64)
+        total, seen, rare = sum(v[g] for g in tri), 0.0, 0
+        while rare < len(tri) and seen < 0.85 * total:
+            seen += v[tri[rare]]
+            rare += 1
+        i, j = np.triu_indices(len(tri), 1)
+        keep = i < rare
+        lo, hi = np.minimum(code[i[keep]], code[j[keep]]), np.maximum(code[i[keep]], code[j[keep]])
+        out = lo * np.uint64(0x9E3779B97F4A7C15) ^ (hi * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7)) ^ hi << np.uint64(1)
+        if len(w) <= 5:
+            out = np.concatenate([out, code])
+        return np.unique(out).view(np.int64)
+
+
+def _number(g: str) -> int:
+    return ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2])
+
+
+def vectors_of(words: DataFrame) -> Vectors:
+    """The vectors over the distinct words (w). The driver gets the n-grams that more than one word in
+    ``RARE`` has: at most ``RARE`` times those of a word, whatever the number of words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: Counter[str] = Counter()
+        n = 0
+        for b in batches:
+            for w in b.column("w").to_pylist():
+                n += 1
+                df.update(grams(w))
+            if len(df) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], names=["g", "n"])
+                df.clear()
+        df[""] = n
+        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], names=["g", "n"])
+
+    counted = written(words.mapInArrow(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")), "grams")
+    total = (counted.where("g = ''").first() or (None, 0))[1]
+    often = counted.where(F.col("n") * RARE > total).where("g != ''").collect()
+    bound = min(total, RARE)
+    return Vectors({r.g: math.log(1 + min(total / r.n, RARE)) for r in often}, math.log(1 + max(1, bound)))
+
+
+def similar_words(words: DataFrame, vectors: Vectors, threshold: float = 0.42) -> DataFrame:
+    """(a, b), both ways round and each with itself: the distinct words (w) whose cosine is at least ``threshold``."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ws = b.column("w").to_pylist()
+            ks = [vectors.keys(w) for w in ws]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ws, dtype=object), [len(k) for k in ks]), pa.string()), pa.array(np.concatenate([*ks, np.empty(0, np.int64)]), pa.int64())], names=["w", "k"])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([vectors.cosine(x, y) >= threshold for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())], pa.bool_()))
+
+    keys = written(words.mapInArrow(cut, "w string, k long"), "keys")
+    met = keys.alias("p").join(keys.alias("q"), "k").where("p.w < q.w").select(F.col("p.w").alias("a"), F.col("q.w").alias("b")).distinct()
+    found = written(met.mapInArrow(close, "a string, b string"), "near")
+    return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(words.select(F.col("w").alias("a"), F.col("w").alias("b")))
+
+
+def _shared(p: str, q: str) -> float:
+    """The cosine of two sets of words, singular and plural being one."""
+    a, b = ({re.sub("ies$", "y", w).rstrip("s") for w in x.split()} for x in (p, q))
+    return len(a & b) / math.sqrt(len(a) * len(b))
+
+
+class Similarity:
+    """The similarity of two names (fields as in ``ITEM``): the cosine of their tensor-product vectors, head
+    word x (1 + the other blocks), a block counting only if both names have it. The head word is a firm's own
+    word or a person's last name; for a person the 1 is left to the firm's word."""
+
+    def __init__(self, vocabulary: names.Vocabulary, stems: Vectors, lasts: Vectors):
+        plain = Vectors({}, 1.0)
+        self.vocabulary = vocabulary
+        self.by = {"first": self._first, "last": lasts.cosine, "stem": stems.cosine, "trades": _shared, "legal": _shared, "city": plain.cosine}
+
+    def _first(self, a: str, b: str) -> float | None:
+        same = self.vocabulary.same_given(a, b)
+        return None if same is None else float(same)
+
+    def __call__(self, p: dict, q: dict) -> float:
+        person = p["field_name"] == "name"
+        main = "last" if person else "stem"
+        head = self.by[main](p[main], q[main])
+        top = whole = 0.0 if person else 1.0
+        for block, w in (PERSON_WEIGHTS if person else FIRM_WEIGHTS).items():
+            if p[block] and q[block]:
+                c = self.by[block](p[block], q[block])
+                if c is not None:
+                    top, whole = top + w * c, whole + w
+        return head * top / whole if whole else 0.0
+
+
+def parts(rows: DataFrame, vocabulary: names.Vocabulary) -> DataFrame:
+    """The parts of each row's name; rows that name a person have field_name 'name'. Rows of neither are left out."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for i, company, name, city in zip(*(c.to_pylist() for c in b.columns)):
-                first, last = names.person(name)
-                out.append((i, "company" if name is None else "name", first, last, *names.firm(company, city)))
+                first, last = vocabulary.person(name)
+                out.append((i, "company" if name is None else "name", first, last, *vocabulary.firm(company, city)))
             cols = list(zip(*out)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], names=["upload_row_id", "field_name", "first", "last", "stem", "trades", "legal", "city"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], names=["upload_row_id", *ITEM])
 
-    named = rows.select("upload_row_id", "company", "name", "city").where("company is not null or name is not null")
-    return named.mapInArrow(cut, _PARTS).dropDuplicates(["upload_row_id"])
+    named = rows.select("upload_row_id", "company", "name", "city").where("upload_row_id is not null and (company is not null or name is not null)")
+    return named.mapInArrow(cut, "upload_row_id long, " + ", ".join(f"{c} string" for c in ITEM)).dropDuplicates(["upload_row_id"])
 
 
-def similar_words(words: DataFrame, *, threshold: float = 0.4, top_n: int = 100, sure: float = 0.8) -> DataFrame:
-    """(kind, a, b, cosine) with a < b of the distinct words (kind, w) that are alike.
+def _item_pairs(items: DataFrame, stems: DataFrame, lasts: DataFrame) -> DataFrame:
+    """(x, y), x < y, of the spellings that meet: firms by near stems, persons by near stems and near last names.
 
-    A word's vector has the 3-grams of its letters that another word has too, their squared
-    weights being the logarithm of their rarity, so that a slip's odd n-grams do not outweigh the rest.
-    Of a word's partners the ``top_n`` nearest are kept, and beyond them every one of cosine
-    ``sure`` or more, so no close one is ever dropped.
-    """
-    p = F.concat(F.lit("^"), F.col("w"), F.lit("$"))
-
-    def pieces(n: int):
-        return F.transform(F.sequence(F.lit(1), F.length(p) - n + 1), lambda i: F.substring(p, i, F.lit(n)))
-
-    grams = words.where("length(w) >= 4").select(
-        "kind", "w", F.array_distinct(pieces(3)).alias("g")
-    )
-    rows = written(grams.select("kind", "w", F.explode("g").alias("gram")), "grams")
-    total = words.groupBy("kind").agg(F.count("*").alias("total"))
-    df = rows.groupBy("kind", "gram").agg(F.count("*").alias("df")).where("df > 1").join(F.broadcast(total), "kind").withColumn("i", F.sqrt(F.log(1 + F.col("total") / F.col("df"))))
-    weighed = rows.join(df.select("kind", "gram", "df", "i"), ["kind", "gram"])
-    vectors = written(
-        weighed.groupBy("kind", "w").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "i"))).alias("v")).withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x["i"] * x["i"])),
-        "vectors",
-    )
-    # before a place, the weight up to it; the prefix ends where the rest cannot reach the threshold
-    step = F.aggregate(
-        "v",
-        F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<string>").alias("keep")),
-        lambda s, x: F.struct(
-            (s["sum"] + x["i"] * x["i"]).alias("sum"),
-            F.when(F.col("norm2") - s["sum"] >= threshold * threshold * F.col("norm2"), F.concat(s["keep"], F.array(x["gram"]))).otherwise(s["keep"]).alias("keep"),
-        ),
-        lambda s: s["keep"],
-    )
-    prefix = vectors.select("kind", "w", F.explode(step).alias("gram"))
-    # words within the edits that the check allows differ by two letters in length at most
-    near = prefix.withColumn("n", F.explode(F.sequence(F.length("w") - 2, F.length("w") + 2)))
-    met = near.alias("x").join(prefix.withColumn("n", F.length("w")).alias("y"), ["kind", "gram", "n"]).where("x.w < y.w")
-    pairs = met.select("kind", F.col("x.w").alias("a"), F.col("y.w").alias("b")).distinct()
-    # the cheap check first: few edits for the length, or two letters swapped
-    lev = F.levenshtein("a", "b")
-    short = F.least(F.length("a"), F.length("b"))
-    swapped = F.array_sort(F.split("a", "")) == F.array_sort(F.split("b", ""))
-    close = pairs.where((lev == 1) | ((lev == 2) & ((short >= 7) | swapped)) | ((lev == 3) & (short >= 9)))
-    va = vectors.select("kind", F.col("w").alias("a"), F.map_from_entries(F.transform("v", lambda x: F.struct(x["gram"], x["i"]))).alias("ma"), F.col("norm2").alias("na"))
-    vb = vectors.select("kind", F.col("w").alias("b"), F.transform("v", lambda x: x["gram"]).alias("gb"), F.col("norm2").alias("nb"))
-    dot = F.aggregate(F.array_intersect(F.map_keys("ma"), F.col("gb")), F.lit(0.0), lambda s, g: s + F.pow(F.element_at("ma", g), 2))
-    scored = close.join(va, ["kind", "a"]).join(vb, ["kind", "b"]).select("kind", "a", "b", (dot / F.sqrt(F.col("na") * F.col("nb"))).alias("cosine")).where(F.col("cosine") >= threshold)
-    scored.createOrReplaceTempView("siltstone_scored")
-    return scored.sparkSession.sql(
-        f"""SELECT DISTINCT kind, a, b, cosine FROM (
-              SELECT *, row_number() OVER (PARTITION BY kind, a ORDER BY cosine DESC, b) AS ra, row_number() OVER (PARTITION BY kind, b ORDER BY cosine DESC, a) AS rb FROM siltstone_scored)
-            WHERE cosine >= {sure} OR ra <= {top_n} OR rb <= {top_n}"""
-    )
-
-
-def _first_distance(a: str, b: str) -> float:
-    same = names.same_given(a, b)
-    return 0.15 if same is None else 1.0 if not same else 0.05 * names.edits(a, b) if a not in names.SHARED and b not in names.SHARED else 0.05
-
-
-def distance(p: tuple, q: tuple, person: bool) -> float:
-    """Between two spellings (first, last, stem, trades, legal, city); 1 keeps them apart."""
-    d = min(1.0, 0.1 * names.edits(p[2], q[2]))
-    ours, theirs = p[3], q[3]
-    if ours and theirs and ours != theirs:
-        a, b = set(ours.split()), set(theirs.split())
-        if not (a <= b or b <= a):
-            return 1.0
-        d += 0.1
-    vague = not ours or not theirs
-    far = bool(p[5] and q[5] and names.edits(p[5], q[5]) > 2 and not p[5].startswith(q[5]) and not q[5].startswith(p[5]))
-    a, b = set(p[4].split()), set(q[4].split())
-    legal = not (a <= b or b <= a)
-    d += (0.12 if vague else 0.0) + (0.5 if legal and vague else 0.05 if legal else 0.0) + (0.5 if far and vague else 0.1 if far else 0.0)
-    if person:
-        d += 0.1 * names.edits(p[1], q[1]) + _first_distance(p[0], q[0])
-    return min(1.0, d)
-
-
-def average_linkage(d: np.ndarray, cut: float) -> np.ndarray:
-    """Group numbers of the items of a distance matrix, by chains of nearest neighbours: groups merge
-    as long as their mean distance is at most ``cut``."""
-    n = len(d)
-    d = d.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    size = np.ones(n)
-    label = np.arange(n)
-    live = np.ones(n, dtype=bool)
-    merges = []
-    chain: list[int] = []
-    while live.sum() > 1:
-        if not chain:
-            chain = [int(np.argmax(live))]
-        row = np.where(live, d[chain[-1]], np.inf)
-        near = int(np.argmin(row))
-        if len(chain) > 1 and row[near] >= d[chain[-1], chain[-2]]:
-            b, a = chain.pop(), chain.pop()
-            merges.append((d[a, b], a, b))
-            mean = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
-            d[a], d[:, a] = mean, mean
-            d[a, a] = np.inf
-            size[a] += size[b]
-            live[b] = False
-            # the merge stands for later labels only if it lies under the cut
-            if merges[-1][0] <= cut:
-                label[label == label[b]] = label[a]
-        elif not np.isfinite(row[near]):
-            live[chain.pop()] = False
-        else:
-            chain.append(near)
-    return label
-
-
-_ITEM = ("first", "last", "stem", "trades", "legal", "city")
-
-
-_BLOCK = (*_ITEM, "field_name", "cs", "cl")
-
-
-def _table(xs: tuple, ys: tuple, f) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """f of each two distinct values, f being symmetric, and where in it the xs and ys stand."""
-    ux, uy = {x: i for i, x in enumerate(dict.fromkeys(xs))}, {y: i for i, y in enumerate(dict.fromkeys(ys))}
-    m = np.zeros((len(ux), len(uy)))
-    for x, i in ux.items():
-        for y, j in uy.items():
-            m[i, j] = m[j, i] if xs is ys and j < i else f(x, y)
-    return m, np.array([ux[x] for x in xs]), np.array([uy[y] for y in ys])
-
-
-def _trades_apart(p: str, q: str) -> float:
-    a, b = set(p.split()), set(q.split())
-    return 0.0 if not p or not q or p == q else 0.1 if a <= b or b <= a else 2.0
-
-
-def _legal_apart(p: str, q: str) -> float:
-    a, b = set(p.split()), set(q.split())
-    return 0.0 if a <= b or b <= a else 1.0
-
-
-def _city_apart(p: str, q: str) -> float:
-    return float(bool(p and q and names.edits(p, q) > 2 and not p.startswith(q) and not q.startswith(p)))
-
-
-_TILE = 256
-
-
-def distances(ps: list[tuple], qs: list[tuple], person: bool) -> np.ndarray:
-    """:func:`distance` of every p to every q, to the last bit."""
-    p = list(zip(*ps))
-    q = p if ps is qs else list(zip(*qs))
-    of = {"stem": (2, names.edits), "trades": (3, _trades_apart), "vague": (3, lambda x, y: float(not x or not y)), "legal": (4, _legal_apart), "far": (5, _city_apart)}
-    if person:
-        of |= {"last": (1, names.edits), "first": (0, _first_distance)}
-    tables = {k: _table(p[c], q[c], f) for k, (c, f) in of.items()}
-    out = np.empty((len(ps), len(qs)))
-    # rows by rows, so that what is between takes little memory
-    for i in range(0, len(ps), _TILE):
-        v = {k: m[x[i : i + _TILE, None], y] for k, (m, x, y) in tables.items()}
-        vague, legal, far = v["vague"] > 0, v["legal"] > 0, v["far"] > 0
-        d = np.minimum(1.0, 0.1 * v["stem"]) + v["trades"]
-        d += np.where(vague, 0.12, 0.0) + np.where(legal & vague, 0.5, np.where(legal, 0.05, 0.0)) + np.where(far & vague, 0.5, np.where(far, 0.1, 0.0))
-        if person:
-            # added in the order of the plain distance
-            d = d + (0.1 * v["last"] + v["first"])
-        out[i : i + _TILE] = np.minimum(1.0, d)
-    return out
-
-
-def _parts(near: np.ndarray) -> np.ndarray:
-    """The number of each item's part of a graph, which is the first item of the part."""
-    label = np.full(len(near), -1)
-    for i in range(len(near)):
-        if label[i] < 0:
-            label[i], front = i, np.array([i])
-            while len(front):
-                front = np.flatnonzero(near[front].any(axis=0) & (label < 0))
-                label[front] = i
-    return label
-
-
-def _cluster(cut: float):
-    def run(t: pa.Table) -> pa.Table:
-        node = t.column("node").to_pylist()
-        if len(node) == 1:
-            return t.select([*_BLOCK, "node"]).append_column("group_id", t.column("node"))
-        t = t.sort_by("node")
-        node = t.column("node").to_pylist()
-        person = t.column("field_name")[0].as_py() == "name"
-        items = list(zip(*(t.column(c).to_pylist() for c in _ITEM)))
-        d = distances(items, items, person)
-        # groups whose mean distance is within the cut have two members that are: no group spans two parts
-        part = _parts(d <= cut)
-        group = np.array(node)
-        for x in np.unique(part):
-            own = np.flatnonzero(part == x)
-            label = average_linkage(d[np.ix_(own, own)] if len(own) < len(items) else d, cut)
-            first: dict[int, int] = {}
-            for i, g in zip(own, label):
-                group[i] = first.setdefault(g, node[i])
-        return t.select([*_BLOCK, "node"]).append_column("group_id", pa.array(group, pa.int64()))
-
-    return run
-
-
-def _near(cut: float):
-    """(a, b): links that join what the spellings of two chunks within the cut of each other join."""
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("node")
-        person = t.column("field_name")[0].as_py() == "name"
-        node, chunk = t.column("node").to_pylist(), np.array(t.column("chunk"))
-        items = list(zip(*(t.column(c).to_pylist() for c in _ITEM)))
-        label = np.arange(len(node))
-        # of one chunk all pairs, of two those across
-        left, right = np.flatnonzero(chunk == chunk.min()), np.flatnonzero(chunk == chunk.max())
-        near = distances([items[i] for i in left], [items[j] for j in right], person) <= cut
-        for i, row in zip(left, near):
-            met = np.unique(label[right[row]])
-            if len(met) and not (len(met) == 1 and met[0] == label[i]):
-                met = np.append(met, label[i])
-                label[np.isin(label, met)] = met.min()
-        return pa.table({"a": pa.array([node[x] for x in label], pa.int64()), "b": pa.array(node, pa.int64())}).filter(pa.array(label != np.arange(len(node))))
-
-    return run
-
-
-def groups(rows: DataFrame, *, cut: float = 0.4, most: int = 1500) -> DataFrame:
+    One side takes on the near stems, the other the near last names: they meet at the last name of the
+    first and the stem of the second. So no hot firm and no hot last name is paired with itself as a whole."""
+    firms = items.where("field_name = 'company' and stem != ''").select("node", "stem")
+    a = firms.select(F.col("node").alias("x"), F.col("stem").alias("a")).join(stems, "a")
+    of_firms = a.join(firms.select(F.col("node").alias("y"), F.col("stem").alias("b")), "b").where("x < y").select("x", "y")
+    people = items.where("field_name = 'name' and stem != '' and last != ''").select("node", "last", "stem")
+    combos = written(people.groupBy("last", "stem").agg(F.min("node").alias("c")), "combos")
+    left = combos.join(stems.select(F.col("a").alias("stem"), "b"), "stem").select("last", F.col("b").alias("stem"), F.col("c").alias("cx"))
+    right = combos.join(lasts.select(F.col("a").alias("last"), "b"), "last").select(F.col("b").alias("last"), "stem", F.col("c").alias("cy"))
+    met = left.join(right, ["last", "stem"]).where("cx <= cy").select("cx", "cy").distinct()
+    of = written(people.join(combos, ["last", "stem"]).select("node", "c"), "of")
+    both = met.join(of.select(F.col("c").alias("cx"), F.col("node").alias("p")), "cx").join(of.select(F.col("c").alias("cy"), F.col("node").alias("q")), "cy").where("cx != cy or p < q")
+    return of_firms.unionByName(both.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")))
+
+
+def similar(items: DataFrame, vocabulary: names.Vocabulary, threshold: float = 0.42) -> DataFrame:
+    """(x, y, s, nx, ny) of the spellings (node, n and ``ITEM``) that meet: their similarity, and n of both."""
+
+    def distinct(field: str) -> DataFrame:
+        return written(items.select(F.col(field).alias("w")).where("w != ''").distinct(), "words")
+
+    stems, lasts = distinct("stem"), distinct("last")
+    vs, vl = vectors_of(stems), vectors_of(lasts)
+    pairs = _item_pairs(items, similar_words(stems, vs, threshold), similar_words(lasts, vl, threshold))
+    measure = Similarity(vocabulary, vs, vl)
+    side = lambda n: items.select(F.col("node").alias(n), F.struct(*ITEM).alias(f"r{n}"), F.col("n").alias(f"n{n}"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ps, qs = b.column("rx").to_pylist(), b.column("ry").to_pylist()
+            s = [measure(p, q) for p, q in zip(ps, qs)]
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), pa.array(s, pa.float64()), b.column("nx"), b.column("ny")], names=["x", "y", "s", "nx", "ny"])
+
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "rx", "ry", "nx", "ny").mapInArrow(score, "x long, y long, s double, nx long, ny long")
+
+
+def average_linkage(x: np.ndarray, y: np.ndarray, s: np.ndarray, nx: np.ndarray, ny: np.ndarray, cut: float = CUT) -> dict[int, int]:
+    """{item: group}: groups merge as long as the mean similarity of their members is at least ``cut``;
+    an item x stands for nx members alike, and pairs that are not given count as 0. Each round merges all groups that are each other's nearest
+    (of equally near ones the pair of smaller numbers), which leads to the same groups as one merge at a time.
+    Components that no pair connects do not touch each other, so many are clustered at once."""
+    ids, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b = at[: len(x)], at[len(x) :]
+    size, label = np.ones(len(ids)), np.arange(len(ids))
+    size[a], size[b] = nx, ny
+    total = s * nx * ny.astype(float)
+    while len(a):
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
+        mean = total / (size[lo] * size[hi])
+        u, v, m = np.concatenate([lo, hi]), np.concatenate([hi, lo]), np.concatenate([mean, mean])
+        order = np.lexsort((np.concatenate([hi, hi]), np.concatenate([lo, lo]), -np.round(m, 12), u))
+        first = order[np.concatenate([[True], np.diff(u[order]) != 0])]
+        best = np.full(len(ids), -1)
+        best[u[first]] = np.where(np.round(m[first], 12) >= cut, v[first], -1)
+        # the mean of no pair can rise: what lies under the cut around a group stays there
+        merge = np.flatnonzero((best >= 0) & (best[best] == np.arange(len(ids))) & (np.arange(len(ids)) < best))
+        if not len(merge):
+            break
+        into = np.arange(len(ids))
+        into[best[merge]] = merge
+        size[merge] += size[best[merge]]
+        label = into[label]
+        a, b = into[lo], into[hi]
+        keep = (a != b) & ((best[lo] >= 0) | (best[hi] >= 0))
+        a, b, total = a[keep], b[keep], total[keep]
+        if len(a):
+            code, inv = np.unique(np.minimum(a, b).astype(np.int64) * len(ids) + np.maximum(a, b), return_inverse=True)
+            total = np.bincount(inv, weights=total)
+            a, b = code // len(ids), code % len(ids)
+    return dict(zip(ids.tolist(), ids[label].tolist()))
+
+
+def _cluster(t: pa.Table) -> pa.Table:
+    got = average_linkage(*(t.column(c).to_numpy() for c in ("x", "y", "s", "nx", "ny")))
+    return pa.table({"node": pa.array(list(got), pa.int64()), "group_id": pa.array(list(got.values()), pa.int64())})
+
+
+def linked_rounds(edges: DataFrame, cut: float = CUT) -> DataFrame:
+    """(node, group_id): :func:`average_linkage` of edges (x, y, s, nx, ny) with every round as a query, for
+    components that are too large for one task."""
+    label = written(edges.select(F.explode(F.array("x", "y")).alias("node")).distinct().withColumn("group_id", F.col("node")), "label")
+    ends = edges.select(F.explode(F.array(F.struct(F.col("x").alias("g"), F.col("nx").alias("n")), F.struct(F.col("y").alias("g"), F.col("ny").alias("n")))).alias("e"))
+    size = written(ends.select("e.g", F.col("e.n").cast("double").alias("n")).distinct(), "size")
+    now = edges.select("x", "y", (F.col("s") * F.col("nx") * F.col("ny")).alias("s"))
+    while True:
+        now = written(now, "round")
+        mean = now.join(size.select(F.col("g").alias("x"), F.col("n").alias("nx")), "x").join(size.select(F.col("g").alias("y"), F.col("n").alias("ny")), "y").withColumn("m", F.round(F.col("s") / (F.col("nx") * F.col("ny")), 12))
+        key = F.struct((-F.col("m")).alias("m"), F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
+        both = mean.where(F.col("m") >= cut).select(F.explode(F.array("x", "y")).alias("u"), key.alias("k"))
+        best = both.groupBy("u").agg(F.min("k").alias("k"))
+        merged = written(best.groupBy(F.col("k.lo").alias("lo"), F.col("k.hi").alias("hi")).agg(F.count("*").alias("c")).where("c = 2").select("lo", "hi"), "merged")
+        if merged.isEmpty():
+            return label
+        into = merged.select(F.col("hi").alias("old"), F.col("lo").alias("new"))
+
+        def moved(df: DataFrame, c: str, into: DataFrame = into) -> DataFrame:
+            return df.join(into.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
+
+        label = written(moved(label, "group_id").select("node", "group_id"), "label")
+        size = written(moved(size, "g").groupBy("g").agg(F.sum("n").alias("n")), "size")
+        now = moved(moved(now, "x"), "y").where("x != y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("s").alias("s"))
+
+
+def groups(rows: DataFrame, *, vocabulary: names.Vocabulary | None = None, threshold: float = 0.42, most: int = 1_000_000) -> DataFrame:
     """(field_name, upload_row_id, group_id): the rows that mean the same firm, or the same person of
     the same firm.
 
-    Spellings are clustered once each, so many rows of one spelling cost nothing; a component holds
-    the spellings of like words alone. Average linkage joins no spellings that no chain of distances
-    within the cut connects, so each connected part is clustered by itself. The parts of a component
-    with more than ``most`` spellings are found by many tasks, each comparing two chunks of ``most``;
-    the groups are the same for any ``most``. A row delivered twice counts once. Rows with neither company
-    nor name, and firms without a distinctive word, are groups of their own spelling.
+    Spellings are clustered once each, with the weight of their rows, so many rows of one spelling cost nothing. A component of up to
+    ``most`` pairs is clustered in one task, in memory that grows with its pairs; larger ones by queries,
+    with the same groups, a query for each round of merges. ``threshold`` is the cosine from which head words meet. The vocabulary is learned from the rows if none is given. A row delivered
+    twice counts once. Rows with neither company nor name are left out; firms without a distinctive
+    word, and persons without last name or firm, are groups of their own spelling.
     """
-    cuts = written(parts(rows), "parts")
-    words = cuts.select(F.lit("stem").alias("kind"), F.col("stem").alias("w")).unionByName(cuts.where("field_name = 'name'").select(F.lit("last").alias("kind"), F.col("last").alias("w"))).where("w != ''").distinct()
-    words = written(words, "words")
-    links = written(similar_words(words), "alike").select(F.concat_ws(":", "kind", "a").alias("a"), F.concat_ws(":", "kind", "b").alias("b"))
-    comps = graphs.components(links, "a", "b")
-
-    def component(of: str, name: str) -> DataFrame:
-        return comps.where(F.col("node").startswith(f"{of}:")).select(F.substring_index("node", ":", -1).alias(of), F.col("component").alias(name))
-
-    spelled = cuts.groupBy("field_name", "first", "last", "stem", "trades", "legal", "city").agg(F.min("upload_row_id").alias("node"))
-    spelled = spelled.join(component("stem", "cs"), "stem", "left").join(component("last", "cl"), "last", "left")
-    spelled = spelled.withColumn("cs", F.coalesce("cs", "stem")).withColumn("cl", F.when(F.col("field_name") == "name", F.coalesce("cl", "last")).otherwise(""))
-
-    block = ["field_name", "cs", "cl"]
-    sizes = spelled.groupBy(*block).agg(F.count("*").alias("n"))
-    spelled = written(spelled.join(sizes, block).withColumn("part", F.lit(0).cast("long")), "sized")
-    # small rows, much work: a fixed number of partitions, which adaptive execution does not merge
-    parts_ = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 12)
-    large = spelled.where(F.col("n") > most)
+    vocabulary = vocabulary or names.learn(rows, rows)
+    cuts = written(parts(rows, vocabulary), "parts")
+    items = written(cuts.groupBy(*ITEM).agg(F.min("upload_row_id").alias("node"), F.count("*").alias("n")), "items")
+    edges = written(similar(items, vocabulary, threshold), "similar")
+    comps = graphs.components(edges.where(F.col("s") >= CUT), "x", "y")
+    inner = edges.join(comps.select(F.col("node").alias("x"), F.col("component").alias("c")), "x").join(comps.select(F.col("node").alias("y"), F.col("component").alias("cy")), "y").where("c = cy").drop("cy")
+    inner = written(inner, "inner")
+    large = inner.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") > most).select("c")
+    small = inner
+    done = None
     if not large.isEmpty():
-        chunks = F.ceil(F.col("n") / most).cast("int")
-        ranked = large.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*block).orderBy("node")) - 1) / most).cast("int")).withColumn("k", chunks)
-        # every two chunks of a block meet in one task
-        tiles = ranked.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("i", F.least("chunk", "o")).withColumn("j", F.greatest("chunk", "o"))
-        near = tiles.select(*_BLOCK, "node", "chunk", "i", "j").repartition(parts_ * 4, *block, "i", "j").groupBy(*block, "i", "j").applyInArrow(_near(cut), "a long, b long")
-        part = graphs.components(written(near, "near"), "a", "b").withColumnRenamed("component", "own")
-        spelled = written(spelled.join(part, "node", "left").withColumn("part", F.when(F.col("n") > most, F.coalesce("own", "node")).otherwise(F.col("part"))).drop("own"), "parted")
-    kept = spelled.select(*_BLOCK, "part", "node").repartition(parts_, *block, "part")
-    clustered = written(kept.groupBy(*block, "part").applyInArrow(_cluster(cut), f"{', '.join(f'{c} string' for c in _BLOCK)}, node long, group_id long").select("node", "group_id"), "clustered")
-    keys = ["field_name", "first", "last", "stem", "trades", "legal", "city"]
-    spelled_groups = written(spelled.select(*keys, "node").join(clustered, "node").drop("node"), "spelled")
-    return cuts.join(spelled_groups, keys).select("field_name", "upload_row_id", "group_id")
-
-
-def pairs(rows: DataFrame) -> DataFrame:
-    """(field_name, row_a, row_b): all pairs of rows within a group, the smaller id first."""
-    g = written(groups(rows), "groups")
+        small = inner.join(large, "c", "left_anti")
+        done = linked_rounds(inner.join(large, "c", "left_semi"))
+    # whole components share a task, as many as there are pairs for
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-inner.count() // most))
+    grouped = small.groupBy(F.pmod(F.xxhash64("c"), F.lit(tasks)).alias("b")).applyInArrow(_cluster, "node long, group_id long")
+    grouped = written(grouped if done is None else grouped.unionByName(done), "grouped")
+    spelled = items.join(grouped, "node", "left").withColumn("group_id", F.coalesce("group_id", "node"))
+    return cuts.join(spelled.drop("node", "n"), list(ITEM)).select("field_name", "upload_row_id", "group_id")
+
+
+def pairs(rows: DataFrame, **options) -> DataFrame:
+    """(field_name, row_a, row_b): all pairs of rows within a group of :func:`groups`, the smaller id first."""
+    g = written(groups(rows, **options), "groups")
     a, b = g.select("field_name", "group_id", F.col("upload_row_id").alias("row_a")), g.select("field_name", "group_id", F.col("upload_row_id").alias("row_b"))
     return a.join(b, ["field_name", "group_id"]).where("row_a < row_b").select("field_name", "row_a", "row_b")

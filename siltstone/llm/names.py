@@ -1,35 +1,38 @@
-"""Parts of names of persons and firms as people type them."""
+"""Parts of names of persons and firms as people type them.
+
+Nothing here knows the names of a table: which words are given names and which are words of trade is
+learned from the table (:func:`learn`), as the words that stand beside many different others.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
-# Given names, folded; and short forms with the names they stand for.
-GIVEN = frozenset(
-    "alexander andreas anthony asa benjamin bjorn camille charlotte chiara christopher daniel daniela dmitri ekaterina elizabeth erik erika francisco friedrich gabriele giuseppe "
-    "guadalupe haruto henrike ilker ingrid jan jana jennifer johannes joseph jurgen karl karla katherine kenji leila luc magdalena malgorzata margaret martin martina matteo mei michael "
-    "nadia nicholas omar ondrej oskar patricia paul paula priya quentin renee robert ruben samuel sigrid stefanie susanne theodora thomas tobias ursula vladimir wanda william yelena yuna zoe".split()
-)
-SHORT = {
-    "alex": "alexander", "sascha": "alexander", "andi": "andreas", "tony": "anthony", "ben": "benjamin", "benny": "benjamin", "charlie": "charlotte", "lotte": "charlotte", "chris": "christopher",
-    "kit": "christopher", "dan": "daniel", "danny": "daniel", "dima": "dmitri", "katya": "ekaterina", "liz": "elizabeth", "betty": "elizabeth", "beth": "elizabeth", "paco": "francisco",
-    "pancho": "francisco", "fritz": "friedrich", "gabi": "gabriele", "beppe": "giuseppe", "lupe": "guadalupe", "jen": "jennifer", "jenny": "jennifer", "hannes": "johannes", "joe": "joseph",
-    "kate": "katherine", "kathy": "katherine", "magda": "magdalena", "gosia": "malgorzata", "maggie": "margaret", "peggy": "margaret", "mike": "michael", "mick": "michael",
-    "nick": "nicholas", "tricia": "patricia", "rob": "robert", "bob": "robert", "bobby": "robert", "katie": "katherine", "sam": "samuel", "steffi": "stefanie", "susi": "susanne", "sanne": "susanne", "thea": "theodora",
-    "dora": "theodora", "tom": "thomas", "tommy": "thomas", "tobi": "tobias", "uschi": "ursula", "vova": "vladimir", "will": "william", "bill": "william", "fred": "friedrich",
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siltstone.session import written
+
+# Short forms of given names, folded, with the names they may stand for.
+NICKNAMES = {
+    "abby": "abigail", "al": "albert alan alfred alexander", "alec": "alexander", "alex": "alexander alexandra alejandro", "andi": "andreas andrea", "andy": "andrew andreas", "angie": "angela", "art": "arthur", "barb": "barbara", "becky": "rebecca",
+    "ben": "benjamin benedict", "benny": "benjamin", "beppe": "giuseppe", "bernie": "bernard bernhard", "bert": "albert robert herbert", "beth": "elizabeth", "betty": "elizabeth", "bill": "william", "billy": "william", "bob": "robert", "bobby": "robert", "cathy": "catherine",
+    "charlie": "charles charlotte", "chris": "christopher christian christine", "cindy": "cynthia", "dan": "daniel", "danny": "daniel", "dave": "david", "deb": "deborah", "debbie": "deborah", "dick": "richard", "dima": "dmitri", "dora": "theodora dorothea", "doug": "douglas",
+    "ed": "edward edwin", "eddie": "edward", "eli": "elisabeth elijah", "evi": "eva evelyn", "fran": "frances francisco", "frank": "francis franklin", "fred": "frederick friedrich alfred", "fritz": "friedrich", "gabi": "gabriele gabriela", "gene": "eugene", "geoff": "geoffrey", "gosia": "malgorzata",
+    "greg": "gregory", "gus": "august gustav", "hannes": "johannes", "hank": "henry", "hans": "johannes", "harry": "harold henry", "heinz": "heinrich", "herb": "herbert", "ines": "agnes", "jack": "john", "jake": "jacob", "jen": "jennifer", "jenny": "jennifer", "jerry": "gerald jerome",
+    "jim": "james", "jimmy": "james", "jo": "joseph johannes joanna josephine", "joe": "joseph", "johnny": "john", "jon": "jonathan", "josh": "joshua", "jule": "julia", "kate": "katherine katharina", "kathi": "katharina", "kathy": "katherine", "katie": "katherine", "katja": "katharina", "katya": "ekaterina",
+    "ken": "kenneth", "kim": "kimberly", "kit": "christopher", "kolya": "nikolai", "larry": "lawrence", "lena": "magdalena helena yelena", "leo": "leonard leonhard leopold", "lilli": "elisabeth", "liz": "elizabeth", "lotte": "charlotte", "lupe": "guadalupe", "maggie": "margaret", "magda": "magdalena",
+    "mandy": "amanda", "manny": "manuel", "marge": "margaret", "masha": "maria", "matt": "matthew", "max": "maximilian maxwell", "meg": "margaret", "mick": "michael", "mike": "michael", "misha": "mikhail", "moni": "monika", "nadja": "nadeschda", "nancy": "ann", "nate": "nathan nathaniel",
+    "nick": "nicholas", "nico": "nicolas nikolaus", "pablo": "paulo", "paco": "francisco", "pancho": "francisco", "pat": "patricia patrick", "pedro": "peter", "peggy": "margaret", "pepe": "jose", "pete": "peter", "phil": "philip", "ray": "raymond", "rich": "richard", "rick": "richard", "rob": "robert", "rolf": "rudolf",
+    "ron": "ronald", "rudi": "rudolf", "sally": "sarah", "sam": "samuel samantha", "sandy": "alexandra sandra", "sanne": "susanne", "sascha": "alexander", "sepp": "josef", "sigi": "siegfried", "steffi": "stefanie", "steve": "steven stephen", "sue": "susan", "susi": "susanne", "sveta": "svetlana", "tanya": "tatiana",
+    "ted": "theodore edward", "thea": "theodora dorothea", "tim": "timothy", "tina": "christina martina", "tobi": "tobias", "tom": "thomas", "tommy": "thomas", "toni": "anton antonia", "tony": "anthony", "tricia": "patricia", "uli": "ulrich ulrike", "uschi": "ursula", "uwe": "ulrich", "vicky": "victoria",
+    "vlad": "vladimir", "vova": "vladimir", "walt": "walter", "will": "william", "willi": "wilhelm", "yura": "yuri", "zack": "zachary",
 }
-#: Short forms that several names share.
-SHARED = {"lena": ("magdalena", "yelena"), "pat": ("patricia",), "jo": ("joseph", "johannes"), "max": ("maximilian",)}
 #: Words around a name that are no part of it.
 TITLES = frozenset("dr prof mr mrs ms miss herr frau ing dipl phd mba msc jr sr ii iii he him she her they them".split())
-# Words of trades in firm names.
-TRADES = tuple(
-    "automation batteries battery building castings cells cellworks components controls drive electrodes electronics energy engineering equipment fixtures industrial laser lightweight machine mobility modules "
-    "motion power powertrain precision process robotics software storage surface systems technology test thermal tooling".split()
-)
-_TRADE_SHORT = {"pt": "powertrain", "sw": "software", "bldg": "building", "mach": "machine", "tech": "technology", "sys": "systems", "syst": "systems", "eng": "engineering", "en": "energy", "stor": "storage", "cmpts": "components", "indl": "industrial", "ind": "industrial", "prec": "precision", "aut": "automation", "equip": "equipment"}
 # Legal forms, as (words, short name).
 _LEGAL_LONG = (
     ("gesellschaft mit beschrankter haftung", "gmbh"), ("gesellschaft mbh", "gmbh"), ("aktiengesellschaft", "ag"), ("aktiebolag", "ab"), ("incorporated", "inc"), ("corporation", "corp"), ("company", "co"),
@@ -39,6 +42,9 @@ _LEGAL_LONG = (
 )
 LEGAL = frozenset("gmbh ag ab inc corp co ltd kk as spzoo sro sas sa llc plc ltda kg und".split())
 
+_LEGAL_WORDS = frozenset(w for long, _ in _LEGAL_LONG for w in long.split())
+_SMALL = frozenset(("and", "und", "the", "of"))
+
 _EXTRA = {"ł": "l", "ø": "o", "ı": "i", "ß": "ss", "đ": "d", "æ": "ae", "ð": "d", "þ": "th", "œ": "oe"}
 
 
@@ -50,10 +56,10 @@ def fold(text: str) -> str:
 
 @lru_cache(maxsize=200_000)
 def edits(a: str, b: str) -> int:
-    """Edits from a to b, a swap of neighbouring letters being one."""
+    """Edits from a to b, a swap of neighbouring letters being one; 4 for any number beyond 3."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > 3 or max(len(a), len(b)) > 80:
+    if abs(len(a) - len(b)) > 3:
         return 4
     prev2: list[int] = []
     prev = list(range(len(b) + 1))
@@ -68,147 +74,237 @@ def edits(a: str, b: str) -> int:
     return prev[-1]
 
 
-@lru_cache(maxsize=100_000)
-def given(token: str) -> str | None:
-    """The given name that a token stands for, typed right, shortened or with one slip."""
-    if token in GIVEN or token in SHARED:
-        return token
-    if token in SHORT:
-        return SHORT[token]
-    if len(token) >= 4:
-        near = [g for g in GIVEN if abs(len(g) - len(token)) <= 1 and edits(g, token) == 1]
-        if len(near) == 1:
-            return near[0]
-    return None
 
+def _within(short: str, word: str) -> bool:
+    rest = iter(word)
+    return all(c in rest for c in short)
+
+
+class Vocabulary:
+    """Given names, words of trade and which of these stand together, as :func:`learn` finds them."""
+
+    def __init__(self, given: Iterable[str] = (), trades: Iterable[str] = (), together: Iterable[tuple[str, str]] = (), nicknames: dict[str, str] | None = None):
+        self.names, self.trades = frozenset(given), tuple(sorted(trades))
+        self.words = frozenset(self.trades)
+        self.together = {frozenset(p) for p in together}
+        self.nick = {k: tuple(v.split()) for k, v in (NICKNAMES if nicknames is None else nicknames).items()}
+        self._given: dict[str, str | None] = {}
+        self._trade: dict[str, tuple[str, ...]] = {}
 
-def same_given(a: str, b: str) -> bool | None:
-    """Whether two given names can be one person's; None if an initial or nothing speaks for it only."""
-    if not a or not b:
+    def given(self, token: str) -> str | None:
+        """The given name that a token stands for: typed right, shortened or with one slip."""
+        if token not in self._given:
+            if len(self._given) > 100_000:
+                self._given.clear()
+            self._given[token] = self._find_given(token)
+        return self._given[token]
+
+    def _find_given(self, token: str) -> str | None:
+        full = self.nick.get(token)
+        if full:
+            # a short form of several names says one of them only if the table has no other
+            known = [n for n in full if n in self.names] or full
+            return known[0] if len(known) == 1 else token
+        if token in self.names:
+            return token
+        if len(token) >= 4:
+            near = [g for g in self.names if abs(len(g) - len(token)) <= 1 and edits(g, token) == 1]
+            if len(near) == 1:
+                return near[0]
         return None
-    if a == b:
-        return True
-    if len(a) == 1 or len(b) == 1:
-        return None if a[0] == b[0] else False
-    if a in SHARED or b in SHARED:
-        return bool({a, *SHARED.get(a, ())} & {b, *SHARED.get(b, ())})
-    if a in GIVEN and b in GIVEN:
-        return False
-    e, n = edits(a, b), min(len(a), len(b))
-    return e <= 1 and n >= 3 or e <= 2 and n > 3
-
-
-def person(name: str | None) -> tuple[str, str]:
-    """(first, last): folded; first is a given name, an initial or as typed; empty if missing."""
-    if not name:
-        return "", ""
-    text = re.sub(r"\([^)]*\)", " ", fold(name))
-    parts = [[t for t in re.findall(r"[^\W\d_]+", p) if t not in TITLES] for p in text.split(",")]
-    parts = [p for p in parts if p]
-    if not parts:
-        return "", ""
-    if len(parts) > 1 and len(parts[0]) >= 1:
-        last = max(parts[0], key=len)
-        rest = [t for p in parts[1:] for t in p]
-        long = [t for t in rest if len(t) > 1]
-        first = (long or rest)[0]
-        if not long and len(parts[0]) > 1:
-            first, last = parts[0][0], parts[0][-1]
-        return given(first) or first, last
-    tokens = parts[0]
-    long = [t for t in tokens if len(t) > 1]
-    if not long:
-        return tokens[0], ""
-    if len(long) == 1:
-        initials = [t for t in tokens if len(t) == 1]
-        return (initials[0] if initials else ""), long[0]
-    a, b = given(long[0]), given(long[-1])
-    if a is None and b is not None:
-        return b, long[0]
-    return a or long[0], long[-1]
 
+    def stands_for(self, name: str) -> frozenset[str]:
+        """The names that a given name can be: itself, and what it is short for."""
+        return frozenset((name, *self.nick.get(name, ())))
 
-def _within(short: str, word: str) -> bool:
-    rest = iter(word)
-    return all(c in rest for c in short)
+    def same_given(self, a: str, b: str) -> bool | None:
+        """Whether two given names can be one person's; None if an initial or nothing speaks for it only."""
+        if not a or not b:
+            return None
+        if a == b:
+            return True
+        if len(a) == 1 or len(b) == 1:
+            return None if a[0] == b[0] else False
+        if a in self.nick or b in self.nick:
+            return bool(self.stands_for(a) & self.stands_for(b))
+        if a in self.names and b in self.names:
+            return False
+        e, n = edits(a, b), min(len(a), len(b))
+        return e <= 1 and n >= 3 or e <= 2 and n > 3
 
+    def person(self, name: str | None) -> tuple[str, str]:
+        """(first, last): folded; first is a given name, an initial or as typed; empty if missing."""
+        if not name:
+            return "", ""
+        text = re.sub(r"\([^)]*\)", " ", fold(name))
+        parts = [[t for t in re.findall(r"[^\W\d_]+", p) if t not in TITLES] for p in text.split(",")]
+        parts = [p for p in parts if p]
+        if not parts:
+            return "", ""
+        if len(parts) > 1:
+            last = max(parts[0], key=len)
+            rest = [t for p in parts[1:] for t in p]
+            long = [t for t in rest if len(t) > 1]
+            first = (long or rest)[0]
+            if not long and len(parts[0]) > 1:
+                first, last = parts[0][0], parts[0][-1]
+            return self.given(first) or first, last
+        tokens = parts[0]
+        long = [t for t in tokens if len(t) > 1]
+        if not long:
+            return tokens[0], ""
+        if len(long) == 1:
+            initials = [t for t in tokens if len(t) == 1]
+            return (initials[0] if initials else ""), long[0]
+        a, b = self.given(long[0]), self.given(long[-1])
+        if a is None and b is not None:
+            return b, long[0]
+        return a or long[0], long[-1]
 
-@lru_cache(maxsize=50_000)
-def trade(token: str) -> str | None:
-    """The trade word that a token is or shortens, or holds with one slip."""
-    if token in TRADES:
-        return "batteries" if token == "battery" else token
-    if len(token) >= 3 and "battery".startswith(token):
-        return "batteries"
-    if len(token) >= 4 and "electro".startswith(token[:5]) and ("electronics".startswith(token) or "electrodes".startswith(token)):
-        return "electronics" if not "electrodes".startswith(token) else "electrodes" if not "electronics".startswith(token) else "electr"
-    if token in _TRADE_SHORT:
-        return _TRADE_SHORT[token]
-    if len(token) >= 3:
-        starts = [t for t in TRADES if t.startswith(token)]
-        if starts:
-            return starts[0] if len(starts) == 1 else min(starts, key=len)
-    if 3 <= len(token) <= 5:
-        # letters of the word in order, its first and its last among them
-        kept = [t for t in TRADES if t[0] == token[0] and t[-1] == token[-1] and _within(token, t)]
-        if len(kept) == 1:
-            return kept[0]
-    if len(token) >= 6:
-        near = [t for t in TRADES if abs(len(t) - len(token)) <= 1 and edits(t, token) == 1]
-        if near:
-            return near[0]
-    return None
+    def trade(self, token: str) -> tuple[str, ...]:
+        """The words of trade that a token may be: itself, what it shortens, or what it misses by one slip."""
+        if token not in self._trade:
+            if len(self._trade) > 100_000:
+                self._trade.clear()
+            self._trade[token] = self._find_trade(token)
+        return self._trade[token]
 
+    def _find_trade(self, token: str) -> tuple[str, ...]:
+        if token in self.words:
+            return (token,)
+        n = len(token)
+        found = [t for t in self.trades if t.startswith(token)] if n >= 3 else []
+        if not found and 3 <= n <= 5:
+            # letters of the word in order, its first and its last among them
+            found = [t for t in self.trades if t[0] == token[0] and t[-1] == token[-1] and _within(token, t)]
+        if not found and n >= 4:
+            found = [t for t in self.trades if t[0] == token[0] and n < len(t) and token[:3] == t[:3] and _within(token, t)]
+        if not found and n == 2:
+            found = [t for t in self.trades if t[0] == token[0] and _within(token, t)]
+        if not found and n >= 6:
+            found = [t for t in self.trades if abs(len(t) - n) <= 1 and edits(t, token) == 1]
+        return tuple(found)
 
-@lru_cache(maxsize=200_000)
-def firm(company: str | None, city: str | None = None) -> tuple[str, str, str, str]:
-    """(stem, trades, legal form, city): the distinctive word, the trade words and the legal form in
-    sorted order, and the city, of the column or as it stands behind the name."""
-    if not company:
-        return "", "", "", fold(city or "").strip()
-    text = re.sub(r"(?<=[a-zäöüßéèêâôãõåøæçñşřšžżłńěõë])(?=[A-Z][a-z]+)", " ", company.strip())
-    place = fold(city or "").strip()
-    inner = re.findall(r"\(([^)]*)\)", text)
-    text = re.sub(r"\([^)]*\)", " ", text)
-    segments = []
-    for seg in fold(text).split(","):
-        seg = f" {' '.join(re.findall(r'[a-z0-9]+', seg))} "
-        for long, short in _LEGAL_LONG:
-            if f" {long} " in seg:
-                seg = seg.replace(f" {long} ", f" {short} ")
-        segments.append(seg.split())
-    kinds = []
-    for seg in segments:
-        out = []
-        for t in seg:
-            if t in LEGAL:
-                out.append(("l", t))
-            elif (w := trade(t)) is not None:
-                out.append(("t", w))
-            elif t in ("and", "und", "the", "of"):
-                continue
-            else:
-                end = next((w for w in TRADES if len(w) >= 4 and len(t) > len(w) + 3 and t.endswith(w)), None)
-                if end:
-                    out += [("s", t[: -len(end)]), ("t", end)]
+    def _chosen(self, maybe: tuple[str, ...], sure: set[str]) -> str | None:
+        """Of several words that a short form may be, the one that stands with the words beside it elsewhere."""
+        if len(maybe) == 1:
+            return maybe[0]
+        beside = [t for t in maybe if any(frozenset((t, s)) in self.together for s in sure if s != t)]
+        if len(beside) == 1:
+            return beside[0]
+        rest = beside or [t for t in maybe if not sure]
+        # words of one root, such as singular and plural, mean the same
+        return min(rest, key=len) if rest and all(t[:5] == rest[0][:5] for t in rest) else None
+
+    @lru_cache(maxsize=200_000)
+    def firm(self, company: str | None, city: str | None = None) -> tuple[str, str, str, str]:
+        """(stem, trades, legal form, city): the distinctive word, the words of trade and the legal form in
+        sorted order, and the city, of the column or as it stands behind the name."""
+        if not company:
+            return "", "", "", fold(city or "").strip()
+        text = re.sub(r"(?<=[a-zäöüßéèêâôãõåøæçñşřšžżłńěõë])(?=[A-Z][a-z]+)", " ", company.strip())
+        place = fold(city or "").strip()
+        inner = re.findall(r"\(([^)]*)\)", text)
+        text = re.sub(r"\([^)]*\)", " ", text)
+        segments = []
+        for seg in fold(text).split(","):
+            seg = f" {' '.join(re.findall(r'[a-z0-9]+', seg))} "
+            for long, short in _LEGAL_LONG:
+                if f" {long} " in seg:
+                    seg = seg.replace(f" {long} ", f" {short} ")
+            segments.append(seg.split())
+        kinds: list[list[tuple[str, str]]] = []
+        open_: list[tuple[str, tuple[str, ...]]] = []
+        sure: set[str] = set()
+        for seg in segments:
+            out: list[tuple[str, str]] = []
+            for t in seg:
+                if t in LEGAL:
+                    out.append(("l", t))
+                elif t in _SMALL:
+                    continue
+                elif may := self.trade(t):
+                    if len(may) == 1:
+                        sure.add(may[0])
+                    open_.append((t, may))
+                    out.append(("t", t))
                 else:
-                    out.append(("s", t))
-        if out:
-            kinds.append(out)
-    # a last segment of plain words alone is the city, unless it is all there is
-    if len(kinds) > 1 and all(k == "s" for k, _ in kinds[-1]) and any(k == "s" for seg in kinds[:-1] for k, _ in seg):
-        place = place or " ".join(t for _, t in kinds[-1])
-        kinds.pop()
-    flat = [x for seg in kinds for x in seg]
-    if any(t == "electr" for _, t in flat):
-        # what is short for two trades is told by the word beside it
-        full = "electronics" if any(t == "power" for _, t in flat) else "electrodes"
-        flat = [(k, full if t == "electr" else t) for k, t in flat]
-    stems = [t for k, t in flat if k == "s" and len(t) > 1]
-    if not place:
-        place = next((fold(x).strip() for x in inner if len(x) > 4 and not x.isupper()), "")
-    # the distinctive word may have come apart
-    first = next((i for i, (k, t) in enumerate(flat) if k == "s" and len(t) > 1), len(flat))
-    last = next((i for i in range(first, len(flat)) if flat[i][0] != "s"), len(flat))
-    stem = "".join(t for _, t in flat[first:last]) if stems else ""
-    return stem, " ".join(sorted({t for k, t in flat if k == "t"})), " ".join(sorted({t for k, t in flat if k == "l"} - {"und"})), place
+                    end = next((w for w in self.trades if len(w) >= 4 and len(t) > len(w) + 3 and t.endswith(w)), None)
+                    if end:
+                        sure.add(end)
+                        open_.append((end, (end,)))
+                        out += [("s", t[: -len(end)]), ("t", end)]
+                    else:
+                        out.append(("s", t))
+            if out:
+                kinds.append(out)
+        if not any(k == "s" for seg in kinds for k, _ in seg):
+            # a short word alone is the firm's own word, not one of trade
+            kinds = [[("s" if k == "t" and t not in self.words else k, t) for k, t in seg] for seg in kinds]
+        # a last segment of plain words alone is the city, unless it is all there is
+        if len(kinds) > 1 and all(k == "s" for k, _ in kinds[-1]) and any(k == "s" for seg in kinds[:-1] for k, _ in seg):
+            place = place or " ".join(t for _, t in kinds[-1])
+            kinds.pop()
+        flat = [x for seg in kinds for x in seg]
+        of = dict(open_)
+        said = {w for k, t in flat if k == "t" and (w := self._chosen(of[t], sure))}
+        stems = [t for k, t in flat if k == "s" and len(t) > 1]
+        if not place:
+            place = next((fold(x).strip() for x in inner if len(x) > 4 and not x.isupper()), "")
+        # the distinctive word may have come apart
+        first = next((i for i, (k, t) in enumerate(flat) if k == "s" and len(t) > 1), len(flat))
+        last = next((i for i in range(first, len(flat)) if flat[i][0] != "s"), len(flat))
+        stem = "".join(t for _, t in flat[first:last]) if stems else ""
+        return stem, " ".join(sorted(said)), " ".join(sorted({t for k, t in flat if k == "l"} - {"und"})), place
+
+
+def learn(firms: DataFrame, persons: DataFrame, *, trade_share: float = 0.02, given_share: float = 0.005, least: int = 8, least_given: int = 3) -> Vocabulary:
+    """The vocabulary of two tables, firms (company, city) and persons (name).
+
+    A word of trade stands beside at least ``trade_share`` of all distinct words of firm names (and
+    ``least``) and is no word of a city; a given name stands in the place of one beside ``given_share``
+    of the distinct words of names (and ``least_given``). Only distinct spellings count, so that a firm
+    with many rows weighs no more than others. What reaches the driver is bounded: the shares
+    of a word's neighbours sum up to what a name has of words.
+    """
+    spark = firms.sparkSession
+
+    def pairs(rows: DataFrame, column: str, cut) -> DataFrame:
+        def split(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                left, right = [], []
+                for text in b.column(0).to_pylist():
+                    for x, y in cut(text):
+                        left.append(x)
+                        right.append(y)
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["a", "b"])
+
+        return rows.select(column).where(F.col(column).isNotNull()).distinct().mapInArrow(split, "a string, b string").distinct()
+
+    def firm_pairs(text: str):
+        t = sorted({w for w in re.findall(r"[^\W\d_]{2,}", fold(re.sub(r"\([^)]*\)", " ", text))) if w not in LEGAL and w not in _SMALL and w not in _LEGAL_WORDS})
+        return [(x, y) for x in t for y in t if x != y]
+
+    def person_pairs(text: str):
+        parts = [[w for w in re.findall(r"[^\W\d_]{2,}", p) if w not in TITLES] for p in fold(re.sub(r"\([^)]*\)", " ", text)).split(",")]
+        parts = [p for p in parts if p]
+        if len(parts) > 1:
+            return [(parts[1][0], w) for w in parts[0]] + [("", w) for w in parts[0]]
+        return [(parts[0][0], w) for w in parts[0][1:]] + [("", w) for w in parts[0][1:]] if parts and len(parts[0]) > 1 else []
+
+    def city_words(text: str):
+        return [(w, "") for w in re.findall(r"[^\W\d_]{2,}", fold(text))]
+
+    of_firms, of_persons = written(pairs(firms, "company", firm_pairs), "firm_words"), written(pairs(persons, "name", person_pairs), "person_words")
+    cities = pairs(firms, "city", city_words).select("a")
+    count = of_firms.groupBy("a").agg(F.count("*").alias("n"))
+    many = count.agg(F.count("*")).first()[0]
+    trades = sorted(r.a for r in count.where(F.col("n") >= max(least, trade_share * many)).join(cities, "a", "left_anti").collect())
+    known = spark.createDataFrame([(t,) for t in trades], "b string")
+    both = of_firms.join(F.broadcast(known.withColumnRenamed("b", "a")), "a").join(F.broadcast(known), "b").where("a < b")
+    together = [(r.a, r.b) for r in both.collect()]
+    lasts = of_persons.where("a = ''").count()
+    given = [r.a for r in of_persons.where("a != ''").groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= max(least_given, given_share * lasts)).collect()]
+    return Vocabulary(given, trades, together)

@@ -46,25 +46,46 @@ def test_formatting_copies_with_hot_group(spark):
     assert sum(r["count"] for r in got) == want
 
 
+TRADES = "automation batteries battery building castings cells cellworks components controls drive electrodes electronics energy engineering equipment laser machine mobility modules motion power powertrain robotics software storage surface systems technology thermal".split()
+VOCABULARY = names.Vocabulary("anna daniel henrike katherine kenji magdalena martin martina michael oskar renee samuel sigrid thomas william yelena zoe".split(), TRADES, [("electronics", "power")])
+
+
 @pytest.mark.parametrize("name,want", [
     ("Berg, Anna", ("anna", "berg")), ("Prof. Dr. Sam O. Vugrad jr.", ("samuel", "vugrad")), ("K. Lund", ("k", "lund")), ("Lund Kenji", ("kenji", "lund")), ("RENÉE GLAGÅRD (she/her)", ("renee", "glagard")),
-    ("Wilkiam Terej", ("william", "terej")), ("", ("", "")), (None, ("", "")), ("Anna", ("", "anna")), ("Bischit,D.", ("d", "bischit")), ("Zoë Bim, MBA", ("zoe", "bim")),
+    ("Wilkiam Terej", ("william", "terej")), ("", ("", "")), (None, ("", "")), ("Anna", ("", "anna")), ("Bischit,D.", ("d", "bischit")), ("Zoë Bim, MBA", ("zoe", "bim")), ("Lena Moe", ("lena", "moe")),
 ])
 def test_person(name, want):
-    assert names.person(name) == want
+    assert VOCABULARY.person(name) == want
 
 
 @pytest.mark.parametrize("firm,city,want", [
     ("Stolostule Therm. Syst. O.O.O.", None, ("stolostule", "systems thermal", "llc", "")), ("AB Skoreputru Cells and Modules (Nordvåla)", None, ("skoreputru", "cells modules", "ab", "nordvala")),
     ("TrovumezaDrive Technology", "Bo", ("trovumeza", "drive technology", "", "bo")), ("Brugaskuna, Wexcombe", None, ("brugaskuna", "", "", "wexcombe")), ("Göbä Power Elec. GmbH & Co. KG (GPE)", None, ("goba", "electronics power", "co gmbh kg", "")),
-    ("hegitabrelelectrodes", None, ("hegitabrel", "electrodes", "", "")), ("Suske mukran Batt. Ltd", None, ("suskemukran", "batteries", "ltd", "")), ("Zeta Eqpt Ctrls Sp. zoo", None, ("zeta", "controls equipment", "spzoo", "")), (None, None, ("", "", "", "")), ("GmbH", None, ("", "", "gmbh", "")),
+    ("hegitabrelelectrodes", None, ("hegitabrel", "electrodes", "", "")), ("Suske mukran Batt. Ltd", None, ("suskemukran", "battery", "ltd", "")), ("Zeta Eqpt Ctrls Sp. zoo", None, ("zeta", "controls equipment", "spzoo", "")), (None, None, ("", "", "", "")), ("GmbH", None, ("", "", "gmbh", "")), ("Zova sw Inc", None, ("zova", "software", "inc", "")),
 ])
 def test_firm(firm, city, want):
-    assert names.firm(firm, city) == want
+    assert VOCABULARY.firm(firm, city) == want
+
+
+def test_same_given():
+    same = VOCABULARY.same_given
+    assert same("lena", "magdalena") and same("lena", "yelena") and same("anna", "anna") and same("frieda", "friedaa") and not same("martin", "martina") and same("m", "martin") is None and same("", "x") is None and same("k", "martin") is False
+
+
+def test_vocabulary_is_learned_from_the_table(spark):
+    """Words beside many others are learned, whatever they are; words of cities and of one firm are not."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice(("ba", "kri", "so", "tre", "mu", "lan", "fi", "gos")) for _ in range(4)).capitalize()
+    rows = [(f"{word()} {rnd.choice(('Fishery', 'Bakery', 'Print Works'))} Ltd, Porto Alegre", f"{rnd.choice(('Aiko', 'Bronwen'))} {word()}", "Porto Alegre") for _ in range(200)]
+    rows += [(f"Hotfirm Fishery {i} Ltd", f"Bronwen {word()}", None) for i in range(100)] + [(None, None, None), ("", "", "")]
+    df = spark.createDataFrame(rows, "company string, name string, city string")
+    v = names.learn(df, df)
+    assert set(v.trades) == {"fishery", "bakery", "print", "works"} and v.names == {"aiko", "bronwen"} and {frozenset(("print", "works"))} <= v.together
+    assert names.learn(df.limit(0), df.limit(0)).trades == ()
 
 
 def test_edits_against_plain():
-    assert names.edits("abcd", "abdc") == 1 and names.edits("abcd", "xbcd") == 1 and names.edits("", "ab") == 2 and names.edits("a" * 500, "a" * 499) == 4
+    assert names.edits("abcd", "abdc") == 1 and names.edits("abcd", "xbcd") == 1 and names.edits("", "ab") == 2 and names.edits("a" * 500, "a" * 499) == 1 and names.edits("a" * 500, "a" * 400) == 4
 
 
 TITLES = [(1, "Chief Executive Officer"), (2, "Director of Quality"), (3, "Plant Manager"), (4, "Buyer"), (5, "Project Manager")]
@@ -136,76 +157,80 @@ VARIANTS = [
 def test_name_variants(spark):
     more = [(100 + i, f"{a}{b} Robotics Ltd", None, None, "") for i, (a, b) in enumerate((x, y) for x in ("Kobri", "Zuma", "Stela", "Prado") for y in ("letun", "sokar", "mifan"))]
     df = odd(spark.createDataFrame([r[:4] for r in VARIANTS + more], "upload_row_id long, company string, name string, city string"))
-    got = {(r.field_name, r.row_a, r.row_b) for r in name_variants.pairs(df).collect()}
-    assert {("company", a, b) for a in (1, 2, 3, 4) for b in (2, 3, 4) if a < b} <= got
-    assert ("name", 6, 7) in got and not any(8 in p[1:] or 9 in p[1:] or 5 in p[1:] for p in got) and ("company", 1, 5) not in got
-    assert all(a < b for _, a, b in got) and not any(a >= 100 for _, a, _ in got)
+    for most in (1_000_000, 0):
+        rows = name_variants.groups(df, vocabulary=VOCABULARY, threshold=0.55, most=max(1, most))
+        g = {r.upload_row_id: r.group_id for r in rows.collect()}
+        assert g[1] == g[2] == g[3] == g[4] and g[5] not in (g[1],) and g[6] == g[7] and len({g[6], g[8], g[9]}) == 3
+        assert len({g[100 + i] for i in range(12)}) == 12 and len(g) == len({r[0] for r in VARIANTS + more if r[1] is not None or r[2] is not None})
+    got = {(r.field_name, r.row_a, r.row_b) for r in name_variants.pairs(df, vocabulary=VOCABULARY, threshold=0.55).collect()}
+    assert all(a < b for _, a, b in got) and not any(p[1] >= 100 for p in got)
     assert name_variants.pairs(df.limit(0)).count() == 0
-    # with tiny blocks the rest join their nearest group: still the same firm, never the other one
-    g = {r.upload_row_id: r.group_id for r in name_variants.groups(df, most=2).collect()}
-    assert g[1] == g[2] == g[3] and g[5] not in (g[1], g[2]) and g[8] != g[6] and len(g) == len({r[0] for r in VARIANTS + more if r[1] is not None or r[2] is not None})
 
 
-def test_distances_against_each_pair():
-    firms = ["Bedrabramos Electrodes Inc., Oberdorf", "Bedrabbramos Electrodes AG", "Bedrabramos GmbH, Kukrumouth", "Bedrabramos Electrodes Cells Inc.", "Bedrbrmos Mobility, Kukrumuth", "Zuma Laser Ltd", "GmbH", ""]
-    items = [(*names.person(n), *names.firm(f)) for f in firms for n in ("Anna Berg", "A. Berg", "Lena Bergg", "Magdalena Berg", "")]
-    for person in (False, True):
-        want = np.array([[name_variants.distance(p, q, person) for q in items] for p in items])
-        assert (name_variants.distances(items, items, person) == want).all()
+def test_short_words_are_linked(spark):
+    """Words of two to four letters have vectors too."""
+    rows = [(1, "Kaz Laser AG", None, "Oberdorf"), (2, "Kazz Laser AG", None, "Oberdorf"), (3, "Zeta Mobility AB", "Anna Li", None), (4, "Zeta Mobility AB", "Anna Lii", None), (5, "Zeta Mobility AB", "Anna Wu", None)]
+    g = {r.upload_row_id: r.group_id for r in name_variants.groups(spark.createDataFrame(rows, "upload_row_id long, company string, name string, city string"), vocabulary=VOCABULARY).collect()}
+    assert g[1] == g[2] and g[3] == g[4] != g[5]
 
 
-def test_rare_spellings_of_large_components_are_compared(spark):
-    """Two rare spellings beyond the most frequent ones are one firm, and the size of blocks changes no group."""
-    rows = [(i, "Bedrabramos Electrodes Inc.", None, None) for i in range(5)] + [(10 + i, "Bedrabramos Electrodes AG", None, None) for i in range(5)]
-    rows += [(20, "Bedrabramos Mobility Inc.", None, None), (21, "Bedrabrramos Mobility AB", None, None), (22, "Bedrabramos Mobility AB", None, None), (23, "Bedrabramos Laser", None, "Oberdorf"), (24, "Bedrabamos Laser", None, "Oberdorf"), (25, "Bedrabramos Cells", None, None)]
+def test_many_spellings_of_one_firm(spark):
+    """A firm of three hundred misspellings is one group, whose members need not all be alike."""
+    rnd = random.Random(12)
+    forms = set()
+    while len(forms) < 300:
+        w = list("bedrabramoskitur")
+        i = rnd.randrange(1, len(w) - 1)
+        w[i : i + 1] = rnd.choice(([], [w[i], w[i]], [rnd.choice("abcdefghik")]))
+        forms.add("".join(w).capitalize() + rnd.choice((" Electrodes Inc.", " Electrodes", " Electrodes Incorporated", " Electrodes, Oberdorf")))
+    rows = [(i, f, None, None) for i, f in enumerate(sorted(forms))] + [(1000 + i, "Bedrabramoskitur Electrodes Inc.", None, None) for i in range(700)] + [(5000, "Bedrabramoskitur Laser GmbH", None, "Nordheim"), (5001, "Bedrabramoskitr Laser GmbH", None, "Nordheim")]
     df = spark.createDataFrame(rows, "upload_row_id long, company string, name string, city string")
-    want = {r.upload_row_id: r.group_id for r in name_variants.groups(df).collect()}
-    assert want[20] == want[21] == want[22] and want[23] == want[24] and len({want[i] for i in (0, 20, 23, 25)}) == 4
-    for most in (1, 2, 3):
-        assert {r.upload_row_id: r.group_id for r in name_variants.groups(df, most=most).collect()} == want
+    whole = {r.upload_row_id: r.group_id for r in name_variants.groups(df, vocabulary=VOCABULARY).collect()}
+    assert len({whole[i] for i in range(300)}) == 1 and whole[5000] == whole[5001] != whole[0]
 
 
 def test_similar_words_against_all_pairs(spark):
     rnd = random.Random(4)
     base = ["".join(rnd.choice(("ba", "kri", "so", "tre", "mu", "lan", "fi")) for _ in range(4)) for _ in range(60)]
-    words = set(base)
+    words = set(base) | {"li", "lii", "abc", "abd", "x", "", "q" * 200}
     for w in base:
         i = rnd.randrange(1, len(w) - 1)
         words |= {w[:i] + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]}
-    df = spark.createDataFrame([("stem", w) for w in sorted(words)], "kind string, w string")
-    got = {(r.a, r.b): r.cosine for r in name_variants.similar_words(df).collect()}
-    grams = {w: {f"^{w}$"[i : i + 3] for i in range(len(w))} for w in words}
+    words -= {""}
+    df = spark.createDataFrame([(w,) for w in sorted(words)], "w string")
+    vectors = name_variants.vectors_of(df)
     n = {}
-    for g in grams.values():
-        for x in g:
-            n[x] = n.get(x, 0) + 1
-    wt = {x: np.log(1 + len(words) / c) for x, c in n.items() if c > 1}
-    norm = {w: np.sqrt(sum(wt.get(x, 0) for x in g)) for w, g in grams.items()}
+    for w in words:
+        for g in name_variants.grams(w):
+            n[g] = n.get(g, 0) + 1
+    weight = {g: np.log(1 + min(len(words) / c, 500)) for g, c in n.items()}
+    norm = {w: np.sqrt(sum(weight[g] for g in name_variants.grams(w))) for w in words}
     want = set()
     for a in words:
         for b in words:
-            if a < b and sum(wt.get(x, 0) for x in grams[a] & grams[b]) / (norm[a] * norm[b] or 1) >= 0.4 + 1e-9:
-                e = plain_levenshtein(a, b)
-                s = min(len(a), len(b))
-                if abs(len(a) - len(b)) <= 2 and (e == 1 or e == 2 and (s >= 7 or sorted(a) == sorted(b)) or e == 3 and s >= 9):
-                    want.add((a, b))
-    assert set(got) == want
-
-
-def plain_levenshtein(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+            shared = set(name_variants.grams(a)) & set(name_variants.grams(b))
+            if sum(weight[g] for g in shared) / (norm[a] * norm[b]) >= 0.42:
+                want.add((a, b))
+    got = [(r.a, r.b) for r in name_variants.similar_words(df, vectors).collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and len(set(got) & want) >= 0.99 * len(want)
 
 
 def test_average_linkage():
-    d = np.array([[0, 0.1, 0.9, 0.9], [0.1, 0, 0.9, 0.9], [0.9, 0.9, 0, 0.2], [0.9, 0.9, 0.2, 0]])
-    x = name_variants.average_linkage(d, 0.4)
-    assert x[0] == x[1] != x[2] == x[3]
-    assert len(set(name_variants.average_linkage(d, 0.95))) == 1 and len(name_variants.average_linkage(np.zeros((1, 1)), 0.4)) == 1
+    """Against one merge at a time over the full matrix."""
+    rnd = np.random.default_rng(3)
+    for n in (2, 5, 30):
+        s = np.triu(rnd.random((n, n)) * (rnd.random((n, n)) < 0.5), 1)
+        x, y = np.nonzero(s)
+        got = name_variants.average_linkage(x * 10, y * 10, s[x, y], np.ones(len(x)), np.ones(len(x)), 0.5)
+        clusters = [[i] for i in range(n)]
+        full = s + s.T
+        while len(clusters) > 1:
+            m, i, j = max((full[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(clusters) for j, b in enumerate(clusters) if i < j)
+            if m < 0.5:
+                break
+            clusters[i] += clusters.pop(j)
+        assert {frozenset(v * 10 for v in c) for c in clusters if len(c) > 1} == {f for f in (frozenset(k for k, g in got.items() if g == h) for h in set(got.values())) if len(f) > 1}
+    assert name_variants.average_linkage(np.empty(0, int), np.empty(0, int), np.empty(0), np.empty(0), np.empty(0)) == {}
 
 
 def test_linkage(spark):
