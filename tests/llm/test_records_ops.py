@@ -47,7 +47,7 @@ def test_formatting_copies_with_hot_group(spark):
 
 
 TRADES = "automation batteries battery building castings cells cellworks components controls drive electrodes electronics energy engineering equipment laser machine mobility modules motion power powertrain robotics software storage surface systems technology thermal".split()
-VOCABULARY = names.Vocabulary("anna daniel henrike katherine kenji magdalena martin martina michael oskar renee samuel sigrid thomas william yelena zoe".split(), TRADES, [("electronics", "power")])
+VOCABULARY = names.Vocabulary("anna daniel nadia henrike katherine kenji magdalena martin martina michael oskar renee samuel sigrid thomas william yelena zoe".split(), TRADES, [("electronics", "power")])
 
 
 @pytest.mark.parametrize("name,want", [
@@ -245,7 +245,7 @@ def test_linkage(spark):
     schema = "title string, email string, linkedin_url string"
     c = odd(spark.createDataFrame(crm, f"crm_contact_id long, name string, {schema}, company string"))
     p = odd(spark.createDataFrame(ppl, f"person_id long, name string, {schema}, organization_name string"))
-    got = {(r.crm_contact_id, r.person_id): r.confidence for r in entity_linkage.linked(c, p).collect()}
+    got = {(r.crm_contact_id, r.person_id): r.confidence for r in entity_linkage.linked(c, p, VOCABULARY).collect()}
     assert set(got) == {(1, 10), (2, 10), (1, 11), (2, 11), (6, 15), (6, 16)}
     assert all(0.6 < v < 1 for v in got.values()) and got[(6, 16)] < got[(6, 15)]
     assert entity_linkage.linked(c.limit(0), p).count() == 0 and entity_linkage.linked(c, p.limit(0)).count() == 0
@@ -258,7 +258,7 @@ def test_crowded_mailbox(spark):
     schema = "title string, email string, linkedin_url string"
     c = spark.createDataFrame(rows, f"crm_contact_id long, name string, {schema}, company string")
     p = spark.createDataFrame(rows[:5], f"person_id long, name string, {schema}, organization_name string")
-    assert {(r.crm_contact_id, r.person_id) for r in entity_linkage.linked(c, p).collect()} == {(i, i) for i in range(5)}
+    assert {(r.crm_contact_id, r.person_id) for r in entity_linkage.linked(c, p, VOCABULARY).collect()} == {(i, i) for i in range(5)}
 
 
 def test_crowded_profile_and_mailbox_keep_their_person(spark):
@@ -269,13 +269,15 @@ def test_crowded_profile_and_mailbox_keep_their_person(spark):
     c = spark.createDataFrame(rows, f"crm_contact_id long, name string, {schema}, company string")
     ppl = [(1, "A. Beglnd", None, None, url, "Otherfirm Mobility AB"), (2, "Anna Moe", None, None, url, None), (3, None, None, None, url, None), (4, "Oskar Vugradsn", None, "all@one.example", None, None), (5, "O.", None, "all@one.example", None, None), (6, "Sigrid Vugradsen", None, "all@one.example", None, "Zeta Laser Inc"), (7, "Nadia Terej", None, "all@one.example", None, None)]
     p = spark.createDataFrame(ppl, f"person_id long, name string, {schema}, organization_name string")
-    got = {(r.crm_contact_id, r.person_id) for r in entity_linkage.linked(c, p).collect()}
+    got = {(r.crm_contact_id, r.person_id) for r in entity_linkage.linked(c, p, VOCABULARY).collect()}
     assert got == {(i, n) for i in range(120) for n in (1, 2, 3)} | {(200 + i, n) for i in range(120) for n in (4, 5)}
 
 
 def test_near_words_against_all_pairs(spark):
     rnd = random.Random(6)
-    words = {"".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 7))) for _ in range(150)} | {"x" * 80, "x" * 79, "x" * 81, "bacd", "badc"}
+    words = {"".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 7))) for _ in range(150)} | {"x" * 80, "x" * 79, "x" * 81, "bacd", "badc"} | {"".join("abcdefghij"[(i * 7 + i // 9) % 10] for i in range(n)) for n in (37, 38, 39, 40, 41, 42, 43, 44)}
+    long = "".join("abcdefghijklmnop"[(i * 5 + i // 7) % 16] for i in range(60))
+    words |= {long, long[:11] + long[12] + long[11] + long[13:23] + long[24] + long[23] + long[25:], long[2:], "zz" + long, long[:30] + "q" + long[31:]}
     got = [(r.a, r.b) for r in entity_linkage.near_words(spark.createDataFrame([(w,) for w in sorted(words)], "w string")).collect()]
     assert len(got) == len(set(got)) and set(got) == {(a, b) for a in words for b in words if names.edits(a, b) <= 2}
 
@@ -286,4 +288,4 @@ def test_slips_in_both_name_and_firm(spark):
     ppl = [(1, "Oskar J. Degrunanko", None, None, None, "Nepugusåx Test Equipment AB"), (2, "Anna Terjavle", None, None, None, "Soskayrsli Laser Inc"), (3, "Oskar Berg", None, None, None, "Zeta Mobility AB"), (4, "Oskar Lund", None, None, None, "Kobriletun Mobility AB")]
     c = spark.createDataFrame(crm, f"crm_contact_id long, name string, {schema}, company string")
     p = spark.createDataFrame(ppl, f"person_id long, name string, {schema}, organization_name string")
-    assert {(r.crm_contact_id, r.person_id) for r in entity_linkage.linked(c, p).collect()} == {(1, 1), (2, 2)}
+    assert {(r.crm_contact_id, r.person_id) for r in entity_linkage.linked(c, p, VOCABULARY).collect()} == {(1, 1), (2, 2)}
