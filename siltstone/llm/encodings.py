@@ -2,13 +2,17 @@
 
 Method: a multinomial classifier over hashed byte bigrams predicts the encoding chain of a value
 (what its bytes were, and as what they were read) or that it is clean. It is trained on values of
-the table itself, a bounded sample of the distinct ones, each garbled by every chain. A predicted
-chain is inverted and has to decode strictly, and to give the value again when repeated; then the
-original is regained. Values that lost characters or letter case are found, but not restored.
+the table itself, a bounded sample of the distinct ones, and on words of every alphabet, each garbled by
+every chain. A chain that inverts the value strictly (every byte decodes, and the chain leads back to the
+value) gains what that is worth as evidence: how rarely it happens to clean values. The best class is
+the verdict; if it is a chain that inverts, the original is regained. Values that lost characters or
+letter case are found, but not restored.
 """
 
 from __future__ import annotations
 
+import math
+import random
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -112,8 +116,10 @@ def lost(text: str) -> bool:
 
 
 class Model:
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
+    """``weights`` of classes and hashed bigrams, and for each chain what a strict inversion is worth as evidence."""
+
+    def __init__(self, weights: np.ndarray, decodes: np.ndarray):
+        self.weights, self.decodes = weights, decodes
         self.memo: dict[str, tuple[int, str | None]] = {}
 
     def scores(self, text: str) -> np.ndarray:
@@ -134,42 +140,40 @@ class Model:
     def _judge(self, text: str) -> tuple[int, str | None]:
         s = self.scores(text)
         s[CLEAN] += PRIOR
-        order = [int(c) for c in np.argsort(-s) if c != CLEAN]
-        best = order[0]
-        whole = "�" not in text
-        # a chain from UTF-8 that decodes strictly is proof of itself, others need the classifier
-        for c in order:
-            if whole and c in _PROOF and s[c] >= s[CLEAN] - 12.0:
-                back = invert(text, STEPS[c - 1])
-                if back is None and " " in text:
-                    # blanks may stand for the no-break spaces that were
-                    back = next((x for m in _SPACED.finditer(text) if (x := invert(text[: m.start()] + "\xa0" + text[m.end() :], STEPS[c - 1]))), None)
-                if back is not None and not lost(back) and not back.isascii():
-                    return c, back
-        if s[best] > s[CLEAN] and self.recased(text):
-            return best, None
-        for c in order:
-            if whole and c not in _PROOF and s[c] >= s[CLEAN] + 2.0:
-                back = invert(text, STEPS[c - 1])
-                if back is not None and not lost(back) and not back.isascii() and self.likelier(back, text):
-                    return c, back
-        # with its case changed, or in part lost, it can still be what the classifier says
-        if lost(text) or s[best] > s[CLEAN] + 20.0 and (_RUN.search(text) or _RARE.search(text)):
-            return best, None
+        backs: dict[int, str] = {}
+        odd = sum(c > "\x7f" for c in text)
+        for c in np.argsort(-s):
+            # what its decoding may be worth cannot lift the chain above the clean class
+            if s[c] + self.decodes[c] + (math.log(4) * odd if c in _UTF8 else 0.0) < s[CLEAN]:
+                continue
+            if c != CLEAN and c not in _LOSSY and (back := restored(text, STEPS[c - 1])) is not None and self.reads_better(back, text, PRIOR if c in _UTF8 else BETTER):
+                backs[int(c)] = back
+                s[c] += self.decodes[c]
+                if c in _UTF8:
+                    # one value of a byte in four goes on with a character: each that does so is evidence
+                    s[c] += math.log(4) * sum(len(x.encode()) - 1 for x in back)
+        best = int(np.argmax(s))
+        if best != CLEAN and best in backs:
+            return best, backs[best]
+        # what no chain gives back has lost characters, or its letter case was changed after it was garbled
+        first = next(int(c) for c in np.argsort(-s) if c != CLEAN)
+        far = s[first] - s[CLEAN]
+        if lost(text) or best != CLEAN and (self.recased(text) or far > SURE and far > SURE_EACH * len(bigrams(text.encode("utf-8", "surrogatepass")))):
+            return first, None
         return CLEAN, None
 
-    def likelier(self, back: str, text: str) -> bool:
-        """Whether what came back reads better than the value, by the mean weight of its bigrams."""
-        a, b = bigrams(back.encode()), bigrams(text.encode("utf-8", "surrogatepass"))
-        return self.weights[CLEAN, a].mean() > self.weights[CLEAN, b].mean() + 0.7
+    def reads_better(self, back: str, text: str, better: float) -> bool:
+        """Whether what came back is by ``better`` likelier as a clean value than the value is."""
+        w = self.weights[CLEAN]
+        return w[bigrams(back.encode())].sum() > w[bigrams(text.encode("utf-8", "surrogatepass"))].sum() + better
 
     def recased(self, text: str) -> bool:
-        """Whether a value whose letter case changed after it was garbled comes of a chain from UTF-8."""
+        """Whether a value in lower case, with capitals given back to its odd letters, comes of a chain from UTF-8."""
         if text != text.lower():
             return False
         pairs = list(zip(text, text[1:] + " "))
-        for up in ("".join([_up(c, d) for c, d in pairs]), "".join([_up(c, d) if d > "\x7f" or c == "ÿ" else c for c, d in pairs])):
-            if up != text and any((x := invert(up, STEPS[c - 1])) is not None and _USUAL.fullmatch(x) and not x.isascii() for c in _PROOF):
+        for up in {"".join([_up(c, d) for c, d in pairs]), "".join([_up(c, d) if d > "\x7f" or c == "ÿ" else c for c, d in pairs])} - {text}:
+            if any((back := restored(up, STEPS[c - 1])) is not None and self.reads_better(back, text, BETTER) for c in _UTF8):
                 return True
         return False
 
@@ -184,32 +188,77 @@ def _up(c: str, after: str) -> str:
     return u if c > "\x7f" and len(u) == 1 and c not in "µƒßªº" else c
 
 
-#: Classes from UTF-8 over one byte a character.
-_PROOF = frozenset(i + 1 for i, s in enumerate(STEPS) if s[0][0] == "utf-8" and s[0][1] not in _WIDE)
-#: Letters of Western alphabets beyond ASCII stand among ASCII ones; runs of them are no language.
-_RUN = re.compile("[\x80-\u024f]{3,}")
-#: Nor does any that these tables hold use the further letters of Cyrillic.
-_RARE = re.compile("[\u0402-\u040f\u0452-\u045f]")
-#: Characters that names and addresses use.
-_USUAL = re.compile("[\x00-\x7f\xa0-\u017f\u0410-\u044f\u0401\u0451\u2010-\u2122\u3000-\u30ff\u4e00-\u9fff]*")
-_SPACED = re.compile(r"(?<=[^\x00-\x7f]) (?=[^\x00-\x7f]|$)")
-PRIOR = 4.0
+def restored(text: str, steps: tuple[tuple[str, str], ...]) -> str | None:
+    """The strict inversion of a value; blanks may stand for no-break spaces that were part of a character."""
+    back = invert(text, steps)
+    if back is None and " " in text and steps[-1][0] == "utf-8":
+        back = next((x for m in _SPACED.finditer(text) if (x := invert(text[: m.start()] + "\xa0" + text[m.end() :], steps))), None)
+    return None if back is None or lost(back) or back.isascii() else back
+
 
+#: Chains read as UTF-8 leave replacement characters or nothing wrong: there is nothing to invert.
+_LOSSY = frozenset(i + 1 for i, s in enumerate(STEPS) if s[-1][1] == "utf-8")
+_SPACED = re.compile(r"(?<=[^\x00-\x7f]) (?=[^\x00-\x7f]|$)")
+#: What speaks for a clean value from the start, and how far beyond it, in all and for each pair of bytes, a
+#: chain has to be for a value that it does not give back (a blank or a letter of it was changed, too); and how
+#: much likelier the original has to be where a strict decoding alone proves little.
+PRIOR, SURE, SURE_EACH, BETTER = 4.0, 60.0, 2.5, 14.0
+#: Blocks of letters, as ranges of code points, from which words are made so that no script is unknown.
+_BLOCKS = (
+    (0xC0, 0x17F), (0x1E00, 0x1EFF), (0x386, 0x3CE), (0x400, 0x45F), (0x490, 0x4E9), (0x531, 0x586), (0x5D0, 0x5EA), (0x621, 0x64A), (0x671, 0x6D3), (0x905, 0x94D), (0x985, 0x9CD), (0xA85, 0xACD), (0xB85, 0xBCD), (0xC05, 0xC4D), (0xC85, 0xCCD), (0xD05, 0xD4D),
+    (0xE01, 0xE4E), (0xE81, 0xECD), (0x1000, 0x103F), (0x10D0, 0x10F0), (0x1200, 0x1357), (0x1780, 0x17D2), (0x3041, 0x3096), (0x30A1, 0x30FC), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+)
 
-def train(values: list[str]) -> Model:
-    """Learns from clean values: each garbled by every chain, also in lower and in upper case.
 
-    A value that some chain from UTF-8 restores, that lost characters, or with a run of letters that
-    no language has, is taken as garbled already and left out.
+def alphabet_words(each: int = 40, seed: int = 3) -> list[str]:
+    """Words of letters of one script each, by a seeded rule; Latin letters stand among ASCII ones."""
+    r = random.Random(seed)
+    out = []
+    for first, last in _BLOCKS:
+        letters = [c for i in range(first, last + 1) if unicodedata.category(c := chr(i))[0] in "LM"]
+        small = [c for c in letters if unicodedata.category(c) not in ("Lu", "Lt")] or letters
+        for _ in range(each):
+            word = [r.choice(small) for _ in range(r.randint(3, 9))]
+            if first in (0xC0, 0x1E00):
+                word = [r.choice("aeioubcdfglmnrst") if r.random() < 0.7 else c for c in word]
+            elif r.random() < 0.5:
+                word[0] = r.choice(letters)
+            out.append("".join(word))
+    return out
+
+
+def train(values: list[str], rounds: int = 2) -> Model:
+    """Learns from clean values and words of every alphabet: each garbled by every chain, also in lower
+    and in upper case.
+
+    Values that lost characters, and at first those that a chain from UTF-8 restores, are left out as
+    garbled; then, ``rounds`` times, those that the model itself calls garbled, whatever script they are in.
     """
-    clean = [v for v in values if not lost(v) and not _RUN.search(v) and not _RARE.search(v) and not any(invert(v, STEPS[c - 1]) for c in _PROOF)]
+    known = alphabet_words()
+    clean = [v for v in values if not lost(v) and not any(restored(v, STEPS[c - 1]) for c in _UTF8)]
+    model = _fit([*clean, *known])
+    for _ in range(rounds):
+        clean = [v for v in values if not lost(v) and model._judge(v)[0] == CLEAN]
+        model = _fit([*clean, *known])
+    return model
+
+
+#: Chains from UTF-8 over one byte a character.
+_UTF8 = frozenset(i + 1 for i, s in enumerate(STEPS) if s[0][0] == "utf-8" and s[0][1] not in _WIDE)
+
+
+def _fit(clean: list[str]) -> Model:
     groups: list[list[str]] = [[*clean, *(v.lower() for v in clean), *(v.upper() for v in clean)]]
     for steps in STEPS:
         bad = [g for v in clean if not v.isascii() and (g := garble(v, steps))]
         groups.append([*bad, *bad, *(g.lower() for g in bad), *(g.upper() for g in bad)])
     counts = np.stack([np.bincount(bigrams("\n".join(g).encode("utf-8", "surrogatepass")), minlength=BUCKETS) for g in groups]).astype(float)
     total = counts.sum(axis=1, keepdims=True)
-    return Model(np.log((counts + 0.02) / (total + 0.02 * BUCKETS)))
+    weights = np.log((counts + 0.02) / (total + 0.02 * BUCKETS))
+    # how often a chain inverts a clean value by chance tells what an inversion is worth
+    odd = [v for v in clean if not v.isascii()]
+    by_chance = [(sum(restored(v, s) is not None for v in odd) + 0.5) / (len(odd) + 1) for s in STEPS]
+    return Model(weights, np.array([0.0, *(-np.log(by_chance))]))
 
 
 def training_values(rows: DataFrame, columns: list[str], bound: int = 4000) -> list[str]:
@@ -217,7 +266,7 @@ def training_values(rows: DataFrame, columns: list[str], bound: int = 4000) -> l
     values = rows.select(F.explode(F.array(*columns)).alias("v")).where("v is not null and v rlike '[^\\\\x00-\\\\x7f]'").distinct()
     n = values.agg(F.approx_count_distinct("v")).first()[0]
     share = min(1.0, bound / max(1, n))
-    return sorted(r.v for r in values.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(share * (1 << 20))).collect())
+    return sorted(r.v for r in values.where(F.pmod(F.xxhash64("v"), F.lit(1 << 48)) < int(share * (1 << 48))).collect())
 
 
 #: Words with which training does not depend on what a table happens to hold.
@@ -234,12 +283,12 @@ def judged(rows: DataFrame, key: str, columns: list[str], bound: int = 4000) ->
     delivered twice counts once. ``bound`` is the number of values to train on; an empty table
     trains on a few fixed words and gives an empty result.
     """
-    weights = train([*training_values(rows, columns, bound), *_WORDS]).weights.astype(np.float32)
-    shared = rows.sparkSession.sparkContext.broadcast(weights)  # classes x buckets, 5 MB whatever the input
+    made = train([*training_values(rows, columns, bound), *_WORDS])
+    shared = rows.sparkSession.sparkContext.broadcast((made.weights.astype(np.float32), made.decodes))  # classes x buckets, 5 MB whatever the input
     kind = rows.schema[key].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value)
+        model = Model(*shared.value)
         for b in batches:
             ids = b.column(0).to_pylist()
             out: list[list] = [[], [], [], []]

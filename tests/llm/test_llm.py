@@ -232,6 +232,27 @@ def test_encodings_on_held_out_values():
     assert model.judge("M�ller KG")[0] != encodings.CLEAN and model.judge("MÃ¼LLER".lower())[0] != encodings.CLEAN
 
 
+FOREIGN = ["ТОВ Київський завод", "Підприємство Їжак", "Беларуськалій", "Ђорђевић и Љубић доо", "Կոնյակ", "한국전력공사", "göğüs", "Şişli Öğüt", "Ελληνικά Πετρέλαια", "שלום בעמ", "บริษัท ไทย", "شركة النفط", "საქართველო", "Việt Nam Điện lực", "Łódź Żółć", "हिन्दी", "Ωmega®", "Acme™ – Works"]
+
+
+def test_letters_of_scripts_that_training_never_saw_are_no_case():
+    """Held-out scripts: the sample has Western, Russian and Chinese values only."""
+    model = encodings.train([*NAMES, *encodings._WORDS] * 3)
+    wrong = [(w, model.judge(w)) for w in FOREIGN if model.judge(w)[0] != encodings.CLEAN]
+    assert not wrong
+    found = back = whole = 0
+    for w in FOREIGN:
+        for steps in ((("utf-8", "cp1252"),), (("utf-8", "latin-1"),), (("utf-8", "cp1251"),)):
+            g = encodings.garble(w, steps)
+            if g:
+                c, b = model.judge(g)
+                whole += 1
+                found += c != encodings.CLEAN
+                back += b == w
+                assert b in (None, w), (w, steps, b)
+    assert found >= 0.9 * whole and back >= 0.85 * whole
+
+
 def test_encodings(spark):
     bad = [encodings.garble(n, (("utf-8", "cp1252"),)) for n in NAMES[:6]]
     rows = [(i, n, None) for i, n in enumerate(NAMES)] + [(100 + i, b, "") for i, b in enumerate(bad)] + [(200, None, "http://x.example/Ã¼ber"), (201, "Müller Söhne " * 3_000, None), (100, bad[0], "")]
