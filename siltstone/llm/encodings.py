@@ -56,15 +56,19 @@ _TABLES = {n: _tables(n) for n in {w for _, w in CHAINS} - _WIDE}
 def _read(data: bytes, wrong: str) -> str:
     if wrong in _WIDE:
         return data.decode(wrong, errors="replace")
-    there = _TABLES[wrong][0]
-    return "".join([there[b] for b in data])
+    try:
+        return data.decode(wrong)
+    except UnicodeDecodeError:
+        there = _TABLES[wrong][0]
+        return "".join([there[b] for b in data])
 
 
 def _unread(text: str, wrong: str) -> bytes | None:
-    if wrong in _WIDE:
-        try:
-            return text.encode(wrong)
-        except UnicodeEncodeError:
+    try:
+        return text.encode(wrong)
+    except UnicodeEncodeError as e:
+        # only bytes that the encoding lacks are beyond its own table
+        if wrong in _WIDE or not "\x80" <= text[e.start] <= "\x9f":
             return None
     back = _TABLES[wrong][1]
     try:

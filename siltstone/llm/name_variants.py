@@ -130,7 +130,9 @@ def similar_words(words: DataFrame, vectors: Vectors, threshold: float = 0.42) -
             yield b.filter(pa.array([vectors.cosine(x, y) >= threshold for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())], pa.bool_()))
 
     keys = written(words.mapInArrow(cut, "w string, k long"), "keys")
-    met = keys.alias("p").join(keys.alias("q"), "k").where("p.w < q.w").select(F.col("p.w").alias("a"), F.col("q.w").alias("b")).distinct()
+    met = keys.alias("p").join(keys.alias("q"), "k").where("p.w < q.w").select(F.col("p.w").alias("a"), F.col("q.w").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    # long words of such a cosine have three 3-grams in common at least, so two pairs of them
+    met = met.where("n > 1 or least(length(a), length(b)) < 7").select("a", "b")
     found = written(met.mapInArrow(close, "a string, b string"), "near")
     return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(words.select(F.col("w").alias("a"), F.col("w").alias("b")))
 
