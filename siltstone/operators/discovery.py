@@ -95,3 +95,42 @@ def ticker_lookup(accounts: DataFrame, tickers: DataFrame, *, share: float = 0.6
 def headline_fits(headline: Column, name: Column) -> Column:
     """Whether a quote page's headline shares a word with the account's name."""
     return F.arrays_overlap(T.name_tokens(T.core_name(name)), T.name_tokens(headline))
+
+
+# Words that stand where a name of an organisation should, and verbs of headlines.
+NO_ORGANISATIONS = (
+    "undisclosed", "unidentified", "unnamed", "unspecified", "unknown", "anonymous", "confidential", "undetermined", "various", "n/a", "none", "not applicable", "not disclosed", "tbc", "tbd", "multiple", "several", "competitor", "distributor", "reseller",
+    "representative", "supplier", "company profile", "about us", "home", "terms", "conditions", "directory", "listing", "list", "guide", "overview", "profile", "page", "top", "best", "leading", "other", "others",
+)
+HEADLINE_VERBS = ("acquire", "acquires", "acquired", "announce", "announces", "launch", "launches", "report", "reports", "win", "wins", "open", "opens", "expand", "expands", "name", "names", "appoint", "appoints", "complete", "completes", "introduce", "introduces", "unveil", "unveils")
+
+
+def is_proposed_organisation(name: Column, fillers: Sequence[str] = NO_ORGANISATIONS, verbs: Sequence[str] = HEADLINE_VERBS) -> Column:
+    """Whether a proposed name can be an organisation's: no filler as a whole, as its first word or in all its
+    words, no headline, no address, 2 to 120 characters and at most eight words."""
+    t = T.stripped(F.coalesce(name, F.lit("")))
+    low = T.stripped(F.regexp_replace(F.lower(t), r"(?U)[^\w\s]+", " "))
+    words = F.filter(F.split(low, r"(?U)\s+"), lambda w: w != "")
+    small = F.forall(words, lambda w: w.isin(*fillers, "of", "and", "the", "for", "in"))
+    headline = F.exists(F.filter(F.split(F.lower(t), r"(?U)\W+"), lambda w: w != ""), lambda w: w.isin(*verbs))
+    address = F.startswith(t, F.lit("http://")) | F.startswith(t, F.lit("https://")) | F.startswith(t, F.lit("www.")) | (F.regexp_count(t, F.lit("/")) >= 2)
+    filler = low.isin(*fillers) | F.get(words, 0).isin(*fillers) | small
+    return F.length(t).between(2, 120) & (F.size(words) > 0) & ~filler & ~headline & ~address & (F.size(F.split(t, r"(?U)\s+")) <= 8)
+
+
+def useful_coverage(rows: DataFrame, group: str, *, grade: str, good: Sequence[str], category: str, domain: str, organisations: int = 2, categories: int = 2, domains: int = 2) -> DataFrame:
+    """(group) whose evidence is broad enough to stop: enough well-graded rows, categories and domains."""
+    g = rows.groupBy(group).agg(F.count_if(F.col(grade).isin(*good)).alias("o"), F.count_distinct(category).alias("c"), F.count_distinct(domain).alias("d"))
+    return g.where((F.col("o") >= organisations) & (F.col("c") >= categories) & (F.col("d") >= domains)).select(group)
+
+
+def listing(accounts: DataFrame, listings: DataFrame) -> DataFrame:
+    """(account_id, ticker, how): a typed ticker, else the listing of the name, else of the name in the other
+    script; a listing counts if its headline shares a word with the name. Accounts without one have nulls."""
+    known = listings.select(T.org_key(F.col("title")).alias("k"), "title", "ticker").where("k != ''").groupBy("k").agg(F.min_by(F.struct("title", "ticker"), "ticker").alias("x"))
+    a = accounts.select("account_id", "name", "name_cn", T.explicit_ticker(F.col("name")).alias("typed"), T.org_key(F.regexp_replace("name", r"[(\[][^)\]]*[)\]]", "")).alias("k1"), F.nullif(T.org_key(F.col("name_cn")), F.lit("")).alias("k2"))
+    j = a.join(known.select(F.col("k").alias("k1"), F.col("x").alias("by_name")), "k1", "left").join(known.select(F.col("k").alias("k2"), F.col("x").alias("by_other")), "k2", "left")
+    first = F.when(headline_fits(F.col("by_name.title"), F.col("name")), F.col("by_name.ticker"))
+    ticker = F.coalesce("typed", first, F.col("by_other.ticker"))
+    how = F.when(F.col("typed").isNotNull(), "typed").when(first.isNotNull(), "name").when(F.col("by_other.ticker").isNotNull(), "other script")
+    return j.select("account_id", ticker.alias("ticker"), how.alias("how"))

@@ -126,3 +126,34 @@ def roster_markdown(people: DataFrame, group: str) -> DataFrame:
     rows = people.groupBy(group).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col("name").alias("n"), line.alias("l")))).alias("r"))
     head = "| Name | Title | Department | Mail |\n| --- | --- | --- | --- |"
     return rows.select(group, F.concat_ws("\n", F.lit(head), F.array_join(F.transform("r", lambda x: x["l"]), "\n")).alias("markdown"))
+
+
+def contact_outcome(runs: DataFrame) -> DataFrame:
+    """(account_id, outcome, is_warning) of runs (account_id, supplied, from_crm, from_directory, merged, status):
+    which side of the contact search brought something, and if none did, why."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    why = F.coalesce(F.nullif("status", F.lit("")), F.lit("no result"))
+    crm, other = n("from_crm"), n("from_directory")
+    cases = (
+        (F.col("status") == "skipped_crm_sufficient", False, F.format_string("%d CRM contact(s) found, %d relevant, directory not needed", n("supplied"), crm)),
+        ((crm > 0) & (other > 0), False, F.format_string("%d CRM contact(s) and %d of the directory, %d after merge", crm, other, n("merged"))),
+        ((crm > 0) & F.coalesce(F.col("status").isin("ok", "no_people"), F.lit(False)), False, F.format_string("%d CRM contact(s), the directory added none", crm)),
+        (crm > 0, True, F.format_string("%d CRM contact(s) kept, directory unavailable (%s)", crm, why)),
+        (other > 0, False, F.format_string("no CRM contacts, %d of the directory", other)),
+        (F.col("status") == "not_configured", True, F.lit("no CRM contacts and no directory configured")),
+        (n("supplied") == 0, True, F.format_string("no CRM contacts matched and the directory returned none (%s)", why)),
+        (F.lit(True), True, F.format_string("%d CRM contact(s) supplied but none relevant, the directory returned none (%s)", n("supplied"), why)),
+    )
+    text, warn = None, None
+    for when, bad, said in cases:
+        text = (F if text is None else text).when(F.coalesce(when, F.lit(False)), said)
+        warn = (F if warn is None else warn).when(F.coalesce(when, F.lit(False)), F.lit(bad))
+    return runs.select("account_id", text.alias("outcome"), warn.alias("is_warning"))
+
+
+def channel_block(accounts: DataFrame, found: DataFrame, group: str, most_label: str = "none found") -> DataFrame:
+    """(group, block): the found names one a line in order; where the search did not run the reason, which is
+    not the same as a search that found none. accounts: (group, skip_reason); found: (group, seq, name)."""
+    names = found.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "name"))), lambda x: F.concat(F.lit("- "), x["name"])), "\n").alias("b"))
+    skipped = F.when(F.coalesce("skip_reason", F.lit("")) != "", F.concat(F.lit("not searched: "), "skip_reason"))
+    return accounts.join(names, group, "left").select(group, F.coalesce("b", skipped, F.lit(most_label)).alias("block"))

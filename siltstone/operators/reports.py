@@ -139,11 +139,18 @@ def table_cells(rows: DataFrame, key: str, heading: str) -> DataFrame:
     return j.select(key, "section_no", "block", "row_no", F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda z: z["h"])), lambda h: F.struct(h, F.get(F.filter(pairs, lambda z: z["h"] == h), 0)["c"]))).alias("cells"))
 
 
-def people_from_tables(cells: DataFrame, key: str, excluded: str) -> DataFrame:
+#: Cells that stand for no name.
+NO_NAMES = ("not enough evidence", "证据不足", "n/a", "na", "none", "unknown", "tbd", "—", "-", "待定", "未知")
+
+
+def people_from_tables(cells: DataFrame, key: str, excluded: str, placeholders: Sequence[str] = NO_NAMES) -> DataFrame:
     """(key, name, title, source): persons of a report's table; placeholders, over-long and excluded rows left out."""
     pick = lambda words: F.get(F.filter(F.map_entries("cells"), lambda e: T.has_any(e["key"], words)), 0)["value"]
     p = cells.select(key, "row_no", pick(("name", "姓名")).alias("name"), F.coalesce(pick(("title", "role", "position", "职务")), F.lit("")).alias("title"), F.coalesce(pick(("source", "来源")), F.lit("")).alias("where"))
-    ok = F.col("name").isNotNull() & (F.length("name").between(2, 60)) & ~F.col("name").rlike(r"(?i)^(not enough evidence|证据不足|n/?a|none|unknown|tbd|—|-|待定|未知)\b") & ~F.col("title").rlike(f"(?i){excluded}")
+    low = F.lower("name")
+    # a placeholder may go on after a blank or a mark
+    empty = F.exists(F.array(*map(F.lit, placeholders)), lambda w: (low == w) | (F.startswith(low, w) & ~F.substr(low, F.length(w) + 1, F.lit(1)).rlike("[a-z0-9一-鿿]")))
+    ok = F.col("name").isNotNull() & F.length("name").between(2, 60) & ~empty & ~F.col("title").rlike(f"(?i){excluded}")
     return p.where(ok).select(key, "row_no", "name", "title", F.when(F.col("where").rlike("(?i)official|官网"), "official").otherwise("web").alias("source"))
 
 

@@ -86,3 +86,16 @@ def funnel(rows: DataFrame, group: str, stage: str, stages: Sequence[str]) -> Da
     """Distinct stages seen as a percentage of the plan, 95 at most until the end."""
     seen = F.size(F.collect_set(F.when(F.col(stage).isin(*stages), F.col(stage))))
     return rows.groupBy(group).agg(F.least(F.lit(95), F.floor(seen * 100 / (len(stages) + 3))).cast("int").alias("percent"))
+
+
+def run_manifest(calls: DataFrame, pages: DataFrame, key: str, kinds: Sequence[str], *, kind: str, host: str) -> DataFrame:
+    """One row for each run: its calls of each kind, all calls, pages and distinct hosts; 0 where there are none."""
+    c = calls.groupBy(key).agg(F.count("*").alias("calls"), *[F.count_if(F.col(kind) == k).alias(f"calls_{k}") for k in kinds])
+    p = pages.groupBy(key).agg(F.count("*").alias("pages"), F.count_distinct(host).alias("hosts"))
+    return c.join(p, key, "full").na.fill(0)
+
+
+def cost(calls: DataFrame, rates: DataFrame, by: str) -> DataFrame:
+    """(by, cost): tokens by the rate a thousand of their model, to four places; null without a rate."""
+    j = calls.join(rates.select("model", "rate"), "model", "left")
+    return j.groupBy(by).agg(F.round(F.sum(F.coalesce("tokens", F.lit(0)) / 1000 * F.col("rate")), 4).alias("cost"))

@@ -262,10 +262,10 @@ def sources_of_failed(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "gapfill_sources").join(table(s, d, "gapfill_results").where("http_code >= 400"), "result_id", "left_semi").select("source_id", "url").distinct()
 
 
-@query("SELECT result_id, string_agg(source_id, ',' ORDER BY source_index, source_id) AS cited FROM (SELECT DISTINCT result_id, source_id, source_index FROM gapfill_sources WHERE source_index <= 5) GROUP BY 1")
+@query("SELECT result_id, string_agg(source_id, ',' ORDER BY source_index, source_id) AS cited FROM (SELECT DISTINCT result_id, source_id, source_index FROM gapfill_sources) GROUP BY 1")
 def cited_sources(s: SparkSession, d: str) -> DataFrame:
     src = table(s, d, "gapfill_sources").select("result_id", "source_id", "source_index").distinct()
-    rows = src.where("source_index <= 5").groupBy("result_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("source_index", "source_id"))), lambda x: x["source_id"]).alias("evidence_ids"))
+    rows = src.groupBy("result_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("source_index", "source_id"))), lambda x: x["source_id"]).alias("evidence_ids"))
     pages = src.select("result_id", F.col("source_id").alias("id"), F.col("source_id").cast("string").alias("url"))
     out = discovery.ids_to_urls(rows.withColumn("k", F.lit(1)), pages, "result_id", "k")
     return out.select("result_id", F.array_join("source_urls", ",").alias("cited"))
@@ -273,9 +273,14 @@ def cited_sources(s: SparkSession, d: str) -> DataFrame:
 
 _ROLES = ((100, "Executive", r"\b(chief executive|ceo)\b"), (90, "Operations", r"\b(chief operating|coo|plant manager)\b"), (80, "Procurement", r"\b(procurement|purchasing|supply chain)\b"), (70, "Engineering", r"\b(engineer|engineering|automation)\b"), (60, "Quality", r"\bquality\b"))
 _EXCL = r"\b(assistant|secretary|trainee|intern|office of|driver)\b"
-_BONUS = {"c_suite": 12, "vp": 6, "head": 5, "director": 3, "senior": -4, "entry": -8}
+_BONUS = {"c_suite": 7, "vp": 4, "head": 3, "director": 2, "senior": -1, "entry": -5}
 _BASE = _TRIM.format(r"regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9&./ ]+', ' ', 'g'), ' {{2,}}', ' ', 'g')".replace("{{", "{").replace("}}", "}"))
-_TURN = rf"regexp_replace({_BASE}, '\b(director|manager|head|vice president|vp|svp|evp|lead|chief|president|officer|specialist|engineer) (?:of|for) (?:the )?(.+)', '\2 \1')"
+_ROLE_WORDS = "director|head|manager|chief|lead|engineer|officer|vp|vice president"
+_WS = f"list_filter(string_split({_BASE}, ' '), lambda w: w <> 'the')"
+_AT = f"coalesce(list_position(list_transform({_WS}, lambda w: w IN ('of', 'for')), true), 0)"
+_FRONT = f"array_to_string({_WS}[1:{_AT} - 1], ' ')"
+_AREA = f"array_to_string({_WS}[{_AT} + 1:], ' ')"
+_TURN = f"(CASE WHEN {_AT} > 1 AND {_AREA} <> '' AND regexp_matches(' ' || {_FRONT}, ' ({_ROLE_WORDS})$') THEN {_AREA} || ' ' || {_FRONT} ELSE {_BASE} END)"
 
 
 def _matches(p: str) -> str:
@@ -530,7 +535,7 @@ def merged_person_rows(s: SparkSession, d: str) -> DataFrame:
 @query()
 def website_choice(s: SparkSession, d: str) -> DataFrame:
     """The pages on which a firm's first word stands, as candidates for its website."""
-    firms = table(s, d, "batch_items").where("company is not null").groupBy(F.lower("company").alias("name")).agg(F.min("item_id").alias("account_id")).withColumn("w", F.get(T.name_tokens(T.core_name(F.col("name"))), 0)).where("length(w) >= 6")
+    firms = table(s, d, "batch_items").where("company is not null").groupBy(F.lower("company").alias("name")).agg(F.min("item_id").alias("account_id")).withColumn("w", F.get(T.name_tokens(T.core_name(F.col("name"))), 0)).where("w is not null")
     pages = table(s, d, "fetched_pages").dropDuplicates(["page_id"]).select("page_id", "url", "title", F.col("page_text").alias("text"), F.explode(F.array_distinct(T.name_tokens(F.coalesce("title", F.lit(""))))).alias("w"))
     c = pages.join(firms, "w").select("account_id", "name", F.lit("").alias("name_cn"), "url", "title", "text", F.col("text").isNotNull().alias("readable"), F.col("page_id").alias("seq"), F.lit("searched").alias("origin"))
     return websites.resolved(websites.validated(c))

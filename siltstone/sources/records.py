@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import written
+
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of JSON files with the file's name and time; fields that old files lack are null."""
@@ -34,6 +36,15 @@ def record_version(sections: Column, queries: Column, *, least_sections: int = 1
 
 
 def ordered(records: DataFrame, how: str, *, upload: str = "seq", name: str = "company", at: str = "at") -> DataFrame:
-    """Records with their place in upload order, by name or by completion."""
+    """Records with their place in upload order, by name or by completion; ties by upload.
+
+    The table is sorted by ranges, each range numbers its own rows, and the counts of the ranges before it,
+    one number a partition, make the places: no task gets more than its range.
+    """
     order = {"upload": [F.col(upload)], "name": [F.lower(name), F.col(upload)], "completed": [F.col(at).asc_nulls_last(), F.col(upload)]}[how]
-    return records.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    ranged = written(records.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    # the file order of a written range is not promised, so the range numbers its rows by the order itself
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.alias("p").join(counts.alias("q"), F.col("q._part") < F.col("p._part"), "left").groupBy(F.col("p._part").alias("_part")).agg(F.coalesce(F.sum("q._n"), F.lit(0)).alias("_before"))
+    numbered = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return numbered.join(F.broadcast(before), "_part").withColumn("place", (F.col("_before") + F.col("_i")).cast("int")).drop("_part", "_i", "_before")

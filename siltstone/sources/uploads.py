@@ -54,7 +54,7 @@ def items(rows: DataFrame, roles: DataFrame) -> DataFrame:
     """(file, row_no, company, website): named rows, the first of each name, addresses with a scheme."""
     from siltstone.operators.evidence import first_seen
 
-    r = rows.where("row_no > 0").join(F.broadcast(roles), "file")
+    r = rows.where("row_no > 0").join(roles, "file")
     c = r.select("file", "row_no", F.substring(F.coalesce(F.get("cells", "name_col"), F.lit("")), 1, 200).alias("company"), T.website(F.get("cells", "site_col")).alias("website")).where("company != ''")
     return first_seen(c, [F.col("file"), F.lower("company")], F.col("row_no"))
 

@@ -4,7 +4,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import formatting_copies  # noqa: F401
 from siltstone.sinks import tables
 from siltstone.sources import pages, records, uploads
 from siltstone.streaming import queue, sections
