@@ -80,6 +80,31 @@ def _within(short: str, word: str) -> bool:
     return all(c in rest for c in short)
 
 
+def _cuts(w: str) -> set[str]:
+    """The word and what is left of it without one letter; words within one edit share one."""
+    return {w} | {w[:i] + w[i + 1 :] for i in range(len(w))}
+
+
+class _Near:
+    """The words of a list that are within one edit of a token."""
+
+    def __init__(self, words: Iterable[str]):
+        self.by: dict[str, list[str]] = {}
+        for w in sorted(words):
+            for c in _cuts(w):
+                self.by.setdefault(c, []).append(w)
+
+    def of(self, token: str) -> list[str]:
+        found = {w for c in _cuts(token) for w in self.by.get(c, ())}
+        return sorted(w for w in found if edits(w, token) == 1)
+
+
+@lru_cache(maxsize=4)
+def _vocabulary(given: tuple, trades: tuple, together: tuple, nicknames: tuple) -> Vocabulary:
+    """One vocabulary, with what it has worked out, for all tasks of a worker."""
+    return Vocabulary(given, trades, together, dict(nicknames))
+
+
 class Vocabulary:
     """Given names, words of trade and which of these stand together, as :func:`learn` finds them."""
 
@@ -88,9 +113,13 @@ class Vocabulary:
         self.words = frozenset(self.trades)
         self.together = {frozenset(p) for p in together}
         self.nick = {k: tuple(v.split()) for k, v in (NICKNAMES if nicknames is None else nicknames).items()}
+        self._near_names, self._near_trades = _Near(self.names), _Near(self.trades)
         self._given: dict[str, str | None] = {}
         self._trade: dict[str, tuple[str, ...]] = {}
 
+    def __reduce__(self):
+        return _vocabulary, (tuple(sorted(self.names)), self.trades, tuple(sorted(tuple(sorted(p)) for p in self.together)), tuple((k, " ".join(v)) for k, v in sorted(self.nick.items())))
+
     def given(self, token: str) -> str | None:
         """The given name that a token stands for: typed right, shortened or with one slip."""
         if token not in self._given:
@@ -108,7 +137,7 @@ class Vocabulary:
         if token in self.names:
             return token
         if len(token) >= 4:
-            near = [g for g in self.names if abs(len(g) - len(token)) <= 1 and edits(g, token) == 1]
+            near = self._near_names.of(token)
             if len(near) == 1:
                 return near[0]
         return None
@@ -182,7 +211,7 @@ class Vocabulary:
         if not found and n == 2:
             found = [t for t in self.trades if t[0] == token[0] and _within(token, t)]
         if not found and n >= 6:
-            found = [t for t in self.trades if abs(len(t) - n) <= 1 and edits(t, token) == 1]
+            found = self._near_trades.of(token)
         return tuple(found)
 
     def _chosen(self, maybe: tuple[str, ...], sure: set[str]) -> str | None:
