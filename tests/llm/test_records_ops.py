@@ -289,3 +289,15 @@ def test_slips_in_both_name_and_firm(spark):
     c = spark.createDataFrame(crm, f"crm_contact_id long, name string, {schema}, company string")
     p = spark.createDataFrame(ppl, f"person_id long, name string, {schema}, organization_name string")
     assert {(r.crm_contact_id, r.person_id) for r in entity_linkage.linked(c, p, VOCABULARY).collect()} == {(1, 1), (2, 2)}
+
+
+def test_weak_edge_beside_strong_ones_is_kept(spark):
+    """Two spellings of a person, each with a mailbox of its own: name and firm link them though each has much stronger edges."""
+    schema = "title string, email string, linkedin_url string"
+    url = "https://l.example/in/anna-berglund"
+    other = [(10 + i, f"Oskar {a}{b}sen", None, None, None, f"{b}{a}lin Laser Inc") for i, (a, b) in enumerate((x, y) for x in ("Kriba", "Mulan", "Drufi", "Tresos", "Pelgo", "Zufar") for y in ("gosti", "ranep", "vuhol", "jimet", "xedua", "cwiny"))]
+    crm = [(1, "Anna Berglund", None, "anna@acme.example", url, "Acme Robotics GmbH"), (2, "Anna Berglnd", None, "ab@mail.example", None, "Acme Robotics GmbH"), *other]
+    ppl = [(1, "Anna Berglund", "Head", "anna@acme.example", url, "Acme Robotics GmbH"), (2, "Anna Berglnd", "Head", "ab@mail.example", None, "Acme Robotics GmbH")]
+    c = spark.createDataFrame(crm, f"crm_contact_id long, name string, {schema}, company string")
+    p = spark.createDataFrame(ppl, f"person_id long, name string, {schema}, organization_name string")
+    assert {(r.crm_contact_id, r.person_id) for r in entity_linkage.linked(c, p, VOCABULARY).collect()} == {(1, 1), (1, 2), (2, 1), (2, 2)}
