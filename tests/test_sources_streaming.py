@@ -87,6 +87,26 @@ def test_queue_replay_and_stream(spark, tmp_path):
     assert spark.table("q_events").count() == len(LOG)
 
 
+def test_queue_walks_over_no_job():
+    """A command costs little however many jobs there are, and leases end, are extended and taken back as before."""
+
+    class Jobs(dict):
+        def values(self):
+            raise AssertionError("all jobs were walked over")
+
+        items = __iter__ = values
+
+    q = queue.Queue(lease=10.0, attempts=2, ceiling=2)
+    q.jobs = Jobs()
+    do = lambda at, op, job=None, worker="w", attempt=None, value=None: q.handle({"seq": int(at * 10), "at": at, "op": op, "job_id": job, "worker_id": worker, "attempt": attempt, "value": value})
+    for i in range(5):
+        do(i / 10, "enqueue", f"j{i}")
+    assert [do(1.0, "claim")[0] for _ in range(3)] == ["j0", "j1", None]
+    assert do(9.0, "heartbeat", "j0", attempt=1)[4] and do(11.0, "claim")[0::4] == ("j1", True)
+    assert do(12.0, "finish", "j0", attempt=1, value="queued")[3] == "queued" and do(12.0, "claim")[:3] == ("j0", "w", 2)
+    assert do(30.0, "claim")[0] == "j2" and q.jobs["j0"]["status"] == q.jobs["j1"]["status"] == "failed"
+
+
 def test_sections_stream(spark, tmp_path):
     s = {"done": [], "last": -1e18}
     assert sections.flushed(s, 0, "## A\nx", False, 4) == [(1, "A", "x", "partial")]
