@@ -69,27 +69,60 @@ class Vectors:
         (va, na), (vb, nb) = self.of(a), self.of(b)
         return sum(va[g] for g in va.keys() & vb.keys()) / (na * nb)
 
-    def keys(self, w: str) -> np.ndarray:
-        """Two 3-grams at a time, one of them of the rarer ones, as numbers: words of a cosine over the
-        threshold share one. Words of up to five letters have single 3-grams too."""
-        v, _ = self.of(w)
-        tri = sorted((g for g in v if len(g) == 3), key=lambda g: (-v[g], g))
-        code = np.array([_number(g) for g in tri], dtype=np.uint64)
-        total, seen, rare = sum(v[g] for g in tri), 0.0, 0
-        while rare < len(tri) and seen < 0.85 * total:
-            seen += v[tri[rare]]
-            rare += 1
-        i, j = np.triu_indices(len(tri), 1)
-        keep = i < rare
-        lo, hi = np.minimum(code[i[keep]], code[j[keep]]), np.maximum(code[i[keep]], code[j[keep]])
-        out = lo * np.uint64(0x9E3779B97F4A7C15) ^ (hi * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7)) ^ hi << np.uint64(1)
-        if len(w) <= 5:
-            out = np.concatenate([out, code])
-        return np.unique(out).view(np.int64)
+    def numbered(self) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the frequent n-grams in ascending order, and their weights."""
+        code = np.array([_number(g) for g in self.weights], dtype=np.int64)
+        order = np.argsort(code)
+        return code[order], np.array(list(self.weights.values()), dtype=float)[order]
 
 
 def _number(g: str) -> int:
-    return ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2])
+    n = 0
+    for c in g:
+        n = n << 21 | ord(c)
+    return n
+
+
+def _numbered_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`grams` of words as (place of the word, number of the n-gram), the same one of a word once or more."""
+    marked = [f"^{_squeezed(w)}$" for w in words]
+    c = np.frombuffer("".join(marked).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    at = np.repeat(np.arange(len(marked)), [len(m) for m in marked])
+    two, three = at[1:] == at[:-1], at[2:] == at[:-2]
+    bi, tri = c[:-1] << 21 | c[1:], c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+    return np.concatenate([at[:-1][two], at[:-2][three]]), np.concatenate([bi[two], tri[three]])
+
+
+def alike(left: list[str], right: list[str], vectors: Vectors, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in ``left``, in ``right``) of all pairs of words whose cosine is at least ``threshold``. The sums of one
+    left word with all right ones are taken at a time, from lists of the words that have an n-gram; no pair is made."""
+    if not left or not right:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at, code = _numbered_grams(left + right)
+    code, g = np.unique(code, return_inverse=True)
+    known, weights = vectors.numbered()
+    weight = np.full(len(code), vectors.other)
+    if len(known):
+        place = np.minimum(np.searchsorted(known, code), len(known) - 1)
+        weight = np.where(known[place] == code, weights[place], weight)
+    at, g = np.divmod(np.unique(at * len(code) + g), len(code))
+    norm = np.sqrt(np.bincount(at, weights=weight[g], minlength=len(left) + len(right)))
+    of_right = at >= len(left)
+    order = np.argsort(g[of_right], kind="stable")
+    having, by = at[of_right][order] - len(left), g[of_right][order]
+    start = np.searchsorted(by, np.arange(len(code) + 1))
+    lists = [having[i:j] for i, j in zip(start[:-1].tolist(), start[1:].tolist())]
+    size = np.diff(start)
+    own, ends = g[~of_right], np.searchsorted(at[~of_right], np.arange(len(left) + 1)).tolist()
+    least = threshold * norm[len(left) :]
+    xs, ys = [], []
+    for x in range(len(left)):
+        gs = own[ends[x] : ends[x + 1]]
+        top = np.bincount(np.concatenate([lists[i] for i in gs.tolist()]), weights=np.repeat(weight[gs], size[gs]), minlength=len(right))
+        y = np.flatnonzero(top >= norm[x] * least)
+        xs.append(np.full(len(y), x))
+        ys.append(y)
+    return np.concatenate(xs), np.concatenate(ys)
 
 
 def vectors_of(words: DataFrame) -> Vectors:
@@ -116,24 +149,29 @@ def vectors_of(words: DataFrame) -> Vectors:
     return Vectors({r.g: math.log(1 + min(total / r.n, RARE)) for r in often}, math.log(1 + max(1, bound)))
 
 
-def similar_words(words: DataFrame, vectors: Vectors, threshold: float = 0.42) -> DataFrame:
-    """(a, b), both ways round and each with itself: the distinct words (w) whose cosine is at least ``threshold``."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ws = b.column("w").to_pylist()
-            ks = [vectors.keys(w) for w in ws]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ws, dtype=object), [len(k) for k in ks]), pa.string()), pa.array(np.concatenate([*ks, np.empty(0, np.int64)]), pa.int64())], names=["w", "k"])
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([vectors.cosine(x, y) >= threshold for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())], pa.bool_()))
-
-    keys = written(words.mapInArrow(cut, "w string, k long"), "keys")
-    met = keys.alias("p").join(keys.alias("q"), "k").where("p.w < q.w").select(F.col("p.w").alias("a"), F.col("q.w").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
-    # long words of such a cosine have three 3-grams in common at least, so two pairs of them
-    met = met.where("n > 1 or least(length(a), length(b)) < 7").select("a", "b")
-    found = written(met.mapInArrow(close, "a string, b string"), "near")
+def similar_words(words: DataFrame, vectors: Vectors, threshold: float = 0.42, *, block: int = 20_000) -> DataFrame:
+    """(a, b), both ways round and each with itself: the distinct words (w) whose cosine is at least ``threshold``.
+
+    The words lie in blocks of about ``block``, and each two blocks meet in one task (:func:`alike`). What is shuffled is
+    each word once for each block; only pairs that are near are ever rows."""
+    n = words.count()
+    blocks = max(-(-n // block), min(5, -(-n // 500)), 1)
+
+    def close(t: pa.Table) -> pa.Table:
+        k, own = t.column("k")[0].as_py(), t.column("own").to_numpy()
+        i, j = divmod(k, blocks)
+        w = np.array(t.column("w").to_pylist(), dtype=object)
+        left, right = np.sort(w[own == i]), np.sort(w[own == j])
+        x, y = alike(left.tolist(), right.tolist(), vectors, threshold)
+        if i == j:
+            x, y = x[x < y], y[x < y]
+        return pa.table({"a": pa.array(left[x], pa.string()), "b": pa.array(right[y], pa.string())})
+
+    placed = words.withColumn("own", F.pmod(F.xxhash64("w"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    placed = placed.select("w", "own", other.alias("o")).select("w", "own", (F.least("own", "o") * blocks + F.greatest("own", "o")).alias("k"))
+    tasks = blocks * (blocks + 1) // 2
+    found = written(placed.repartition(tasks, "k").groupBy("k").applyInArrow(close, "a string, b string"), "near")
     return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(words.select(F.col("w").alias("a"), F.col("w").alias("b")))
 
 

@@ -215,6 +215,30 @@ def test_similar_words_against_all_pairs(spark):
     assert len(got) == len(set(got)) and set(got) <= want and len(set(got) & want) >= 0.99 * len(want)
 
 
+def _shuffled_rows(spark) -> int:
+    """Rows written to shuffles by this session so far."""
+    jvm, store = spark.sparkContext._gateway.jvm, spark.sparkContext._jsc.sc()
+    store.listenerBus().waitUntilEmpty(30_000)
+    stages = store.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_similar_words_are_no_rows_before_they_are_near(spark):
+    """Words of few syllables share n-grams with most others: what is shuffled grows with the words, and no near pair is missed."""
+    rnd = random.Random(8)
+    words = sorted({"".join(rnd.choice(("bat", "krim", "sok", "tref", "mul", "lan", "fin", "dep")) for _ in range(4)) for _ in range(500)} | {"li", "lii", "kaé", "kae", "x"})
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    vectors = name_variants.vectors_of(df)
+    want = {(a, b) for a in words for b in words if vectors.cosine(a, b) >= 0.42}
+    before = _shuffled_rows(spark)
+    got = [(r.a, r.b) for r in name_variants.similar_words(df, vectors).collect()]
+    assert _shuffled_rows(spark) - before <= 5 * len(words)
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 3 * len(words)
+    parted = [(r.a, r.b) for r in name_variants.similar_words(df, vectors, block=100).collect()]
+    assert len(parted) == len(got) and set(parted) == want
+    assert name_variants.similar_words(df.limit(0), vectors).count() == 0
+
+
 def test_average_linkage():
     """Against one merge at a time over the full matrix."""
     rnd = np.random.default_rng(3)
